@@ -128,6 +128,7 @@ def find_copies(docs: DataFrame, digest_size: int = 16) -> DataFrame:
         recipes = _numbered(docs, recipes, clashes, n_clashes, digest_size)
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")
     groups = recipes.groupBy("recipe").agg(F.min(first).alias("first"), F.count("*").alias("group_size"))
+    groups = cut_lineage(groups)  # so that the join deals out both sides anew, and can split a large group
     return recipes.join(groups, "recipe").select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),

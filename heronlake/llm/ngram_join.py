@@ -9,16 +9,16 @@ k-word shingles. Documents with equal sets form a class; classes are what is joi
    uncounted rest last. Any global order gives exact results; the order sets only the cost.
 2. A class's prefix is its first n - ceil(percent * n / 100) + 1 shingles. Linked classes
    share a prefix shingle. A class whose prefix holds shingles of its own only is done.
-3. Prefixes are joined on their shingles, with the length filter in the join, the
-   positional filter on a pair's first common shingle, and the suffix filter: the sets'
-   counts in 16 fixed hash ranges bound the symmetric difference from below.
+3. Prefixes are joined on their shingles under three filters: length; position (at a
+   pair's first common shingle, what is left of both sets must suffice); and suffix (the
+   sets' counts in 8 fixed hash ranges bound their symmetric difference from below).
 4. Pairs that pass are compared once, on their whole sets.
 
 Only links that can change the components are looked for: in each round, the members of a
-prefix shingle's bucket meet the bucket's first few members (1, then 8, 64, ...), pairs
+prefix shingle's bucket meet the bucket's first few members (1, then 16, 256, ...), pairs
 that are in one component already are left out, and buckets that are within one component
-retire. The last round covers whole buckets, so components are exact, while thousands of
-copies of one text cost about one comparison each instead of all pairs.
+or have been covered retire. Rounds go on until all have, so components are exact, while
+thousands of copies of one text cost about one comparison each instead of all pairs.
 
 Shingles are compared as 64-bit hashes and sets of one class by 128 bits.
 
@@ -48,9 +48,9 @@ HOT_SAMPLE, HOT_SHARE = 2000, 0.01
 #: Ids are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 #: How much further into the buckets each round reaches.
-REACH = 8
+REACH = 16
 
-_SET = "doc_id long, n int, k1 long, k2 long, counts array<int>, counted array<long>, rest array<long>"
+_SET = "doc_id long, n int, k1 long, k2 long, s1 long, s2 long, counted array<long>, rest array<long>"
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -64,6 +64,18 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.add.reduce(mix(u + np.uint64(c))).view(np.int64)) for c in (1, 0x51ED270B))
 
 
+def _ranges(s: np.ndarray) -> tuple[int, int]:
+    """A set's counts in 8 hash ranges, 16 bits each; larger counts stay at the most, which keeps differences bounds."""
+    counts = np.bincount((s.view(np.uint64) >> np.uint64(61)).astype(np.int64), minlength=8)
+    return tuple(np.minimum(counts, 65535).astype("<u2").view("<i8").tolist())
+
+
+def _apart() -> str:
+    """SQL for the least size of the symmetric difference of two sets, from their ranges."""
+    part = "(shiftrightunsigned({c}, {b}) & 65535)"
+    return " + ".join(f"abs({part.format(c=c, b=b)} - {part.format(c=c + '_b', b=b)})" for c in ("s1", "s2") for b in (0, 16, 32, 48))
+
+
 def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
@@ -74,7 +86,7 @@ def _describe(k: int, percent: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # a task describes a set once, as long as it remembers it
         for batch in batches:
-            rows: list[list] = [[] for _ in range(7)]
+            rows: list[list] = [[] for _ in range(8)]
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(_texts(batch), k), strict=True):
                 name = _keys(s)
                 counted = rest = None
@@ -87,10 +99,9 @@ def _describe(k: int, percent: int, hot: np.ndarray):
                     counted = s[first & ~often]
                     lack = max(0, _prefix(len(s), percent) - len(counted))
                     rest = np.concatenate([s[often], s[~first]])[:lack] if lack else s[:0]
-                counts = np.bincount((s.view(np.uint64) >> np.uint64(60)).astype(np.int64), minlength=16)
-                for to, x in zip(rows, (doc, len(s), *name, counts, counted, rest), strict=True):
+                for to, x in zip(rows, (doc, len(s), *name, *_ranges(s), counted, rest), strict=True):
                     to.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], [f.split()[0] for f in _SET.split(", ")])
 
     return run
@@ -127,7 +138,7 @@ def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, cid, n, pos) of the prefix shingles that more than one class may share."""
+    """(token, cid, n, s1, s2, pos) of the prefix shingles that more than one class may share."""
     counted = sets.select(F.explode("counted").alias("token"), "k1")
     bucket = "over (partition by token)"
     shared = (
@@ -136,28 +147,28 @@ def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
     ahead = (
         shared.join(classes, "k1")
-        .selectExpr("token", "cid", "n", "n_counted", "row_number() over (partition by cid order by df, token) as nth", "count(*) over (partition by cid) as n_shared")
-        .selectExpr("token", "cid", "n", "n_counted - n_shared + nth - 1 as pos")
+        .selectExpr("token", "cid", "n", "s1", "s2", "n_counted", "row_number() over (partition by cid order by df, token) as nth", "count(*) over (partition by cid) as n_shared")
+        .selectExpr("token", "cid", "n", "s1", "s2", "n_counted - n_shared + nth - 1 as pos")
     )
     rest = (
         sets.filter(F.size("rest") > 0).select("k1", "k2", F.posexplode("rest").alias("at", "token"))
-        .join(classes, ["k1", "k2"]).selectExpr("token", "cid", "n", "n_counted + at as pos").distinct()
+        .join(classes, ["k1", "k2"]).selectExpr("token", "cid", "n", "s1", "s2", "n_counted + at as pos").distinct()
     )
     return ahead.unionByName(rest).filter(F.expr(f"pos < n - ceil({percent} * n / 100.0) + 1"))
 
 
 def _pairs(entries: DataFrame, low: int, high: int, percent: int) -> DataFrame:
-    """Pairs of entries with members `low` < place <= `high` of their buckets that pass length and position."""
+    """Pairs of entries with members `low` < place <= `high` of their buckets that pass the filters."""
     place = F.expr("row_number() over (partition by token order by cid)")
     heads = entries.withColumn("place", place).filter(F.col("place") <= high).filter(F.col("place") > low)
-    heads = heads.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "pos", "label")))
-    near = f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
-    pairs = entries.join(heads, "token").filter("cid > cid_b and label <> label_b").filter(near)
-    pairs = pairs.groupBy("cid", "cid_b").agg(
-        F.min(F.struct("pos", "pos_b")).alias("at"), *(F.first(c).alias(c) for c in ("n", "n_b", "label", "label_b"))
+    heads = cut_lineage(heads.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "s1", "s2", "pos", "label"))))
+    near = (
+        f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
+        f" and {100 + percent} * least(n - pos, n_b - pos_b) >= {percent} * (n + n_b)"
+        f" and {100 + percent} * (n + n_b - ({_apart()})) >= 2 * {percent} * (n + n_b)"
     )
-    common = f"{100 + percent} * least(n - at.pos, n_b - at.pos_b)"
-    return pairs.filter(f"{common} >= {percent} * (n + n_b)").drop("at")
+    same = (entries["token"] == heads["token"]) & F.expr(f"cid > cid_b and label <> label_b and {near}")
+    return entries.join(heads, same).select("cid", "cid_b", "n", "n_b", "label", "label_b").distinct()
 
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -168,7 +179,8 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = cut_lineage(sets)
     classes = cut_lineage(
         sets.filter("n > 0").groupBy("k1", "k2").agg(
-            F.min("row_id").alias("cid"), F.min("doc_id").alias("class_doc"), F.max("n").alias("n"), F.max(F.size("counted")).alias("n_counted")
+            F.min("row_id").alias("cid"), F.min("doc_id").alias("class_doc"), F.max("n").alias("n"), F.max("s1").alias("s1"), F.max("s2").alias("s2"),
+            F.max(F.size("counted")).alias("n_counted"),
         )
     )
     labels = _labels(docs, sets, classes, k, percent)
@@ -181,58 +193,50 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
 
 
+def _few(rows: DataFrame) -> DataFrame:
+    """Marked for broadcast where its size is bounded."""
+    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
+
+
 def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """(cid, label) of the classes that link with others."""
-    entries = cut_lineage(_alone_dropped(_prefixes(sets, classes, percent)))
-    live = cut_lineage(entries.select("cid").distinct().join(classes, "cid"))
-    profiles = sets.join(live.select("k1", "k2", "cid"), ["k1", "k2"]).filter("cid = row_id").select("cid", "counts")
-    profiles = cut_lineage(profiles)
-    whole: DataFrame | None = None
-    labels = live.select("cid", F.col("cid").alias("label"))
-    entries, failed, low, high = entries.withColumn("label", F.col("cid")), None, 0, 1
+    """(cid, label) of the classes that may link with others; linked classes share a label."""
+    entries = cut_lineage(_prefixes(sets, classes, percent).withColumn("label", F.col("cid")))
+    whole = labels = failed = None
+    low, high = 0, 1
     while True:
-        most = entries.groupBy("token").count().agg(F.max("count")).first()[0]
-        if most is None or most <= low:
-            return labels.filter("true")
+        buckets = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b"))
+        buckets = cut_lineage(buckets.filter(f"size > {low} and a < b").select("token"))
+        entries = cut_lineage(entries.join(_few(buckets), "token", "left_semi"))
+        if labels is None:
+            live = cut_lineage(entries.select("cid").distinct().join(classes, "cid"))
+            labels = live.select("cid", F.col("cid").alias("label"))
+            whole = cut_lineage(_sets_of(docs, live, k))
+        if entries.isEmpty():
+            return labels
         pairs = _pairs(entries, low, high, percent)
         if failed is not None:
             pairs = pairs.join(failed, ["cid", "cid_b"], "left_anti")
-        other = profiles.select(F.col("cid").alias("cid_b"), F.col("counts").alias("counts_b"))
-        apart = "aggregate(zip_with(counts, counts_b, (x, y) -> abs(x - y)), 0, (s, x) -> s + x)"
-        pairs = pairs.join(profiles, "cid").join(other, "cid_b")
-        pairs = pairs.filter(f"{100 + percent} * (n + n_b - {apart}) >= 2 * {percent} * (n + n_b)").drop("counts", "counts_b")
-        pairs = cut_lineage(pairs)
-        if whole is None:
-            whole = cut_lineage(_sets_of(docs, live, k))
         other = whole.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("shingles_b"))
-        checked = pairs.join(whole, "cid").join(other, "cid_b").selectExpr(
+        checked = cut_lineage(pairs).join(whole, "cid").join(other, "cid_b").selectExpr(
             "cid", "cid_b", "label", "label_b",
             f"{100 + percent} * size(array_intersect(shingles, shingles_b)) >= {percent} * (n + n_b) as linked",
         )
         checked = cut_lineage(checked)
-        new = checked.filter("linked").select(F.col("label").alias("u"), F.col("label_b").alias("v"))
         misses = checked.filter("not linked").select("cid", "cid_b")
         failed = misses if failed is None else failed.unionByName(misses)
+        new = checked.filter("linked").select(F.col("label").alias("u"), F.col("label_b").alias("v"))
         if not new.isEmpty():
-            merged = components(new).select(F.col("node").alias("label"), F.col("label").alias("joined"))
-            labels = labels.join(merged, "label", "left").select("cid", F.coalesce("joined", "label").alias("label"))
+            merged = cut_lineage(components(new).select(F.col("node").alias("label"), F.col("label").alias("joined")))
+            labels = labels.join(_few(merged), "label", "left").select("cid", F.coalesce("joined", "label").alias("label"))
             labels = cut_lineage(labels)
-        entries = entries.drop("label").join(labels, "cid")
-        mixed = entries.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a < b").select("token")
-        entries = cut_lineage(entries.join(mixed, "token", "left_semi"))
+            entries = entries.drop("label").join(_few(labels), "cid")
         low, high = high, high * REACH
 
 
-def _alone_dropped(entries: DataFrame) -> DataFrame:
-    """Without the buckets of one class."""
-    return entries.join(entries.groupBy("token").count().filter("count > 1").select("token"), "token", "left_semi")
-
-
 def _sets_of(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of the classes in `live`, computed again from their first documents."""
     ids = live.select(F.col("class_doc").alias("doc_id")).distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
-    some = docs.join(ids, "doc_id", "left_semi")
+    some = docs.join(_few(ids), "doc_id", "left_semi")
     some = some.unionByName(docs.filter("doc_id is null")) if not live.filter("class_doc is null").isEmpty() else some
     sets = some.mapInArrow(_whole_sets(k), "k1 long, k2 long, shingles array<long>")
     return sets.join(live.select("k1", "k2", "cid"), ["k1", "k2"]).dropDuplicates(["cid"]).select("cid", "shingles")
@@ -245,5 +249,4 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     found = cut_lineage(link_components(docs, k, percent))
     gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
