@@ -17,8 +17,11 @@ tokens that bear no loss (null: 0); without it every token bears loss.
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm.token_counts import byte_symbols
+
 #: Words whose ids a worker remembers, and items that wait in a task.
 MEMORY, POOL = 600_000, 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
+_CLOSING = ".,;:!?|"
+_PROBES = ("word", "Words.", "THE", "naïve", "Ünïcode,", "Œuvre!?", "straße", "a", "éé:;", "ÿŝž|")
+_BYTE_LETTERS = {b: c for c, b in byte_symbols().items()}
+
 _state: dict = {}
 
 
@@ -54,6 +63,10 @@ class WordEncoder:
         self.ids: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        self.closings: dict[bytes, bytes] = {}
+        # the short way is taken only if it agrees with the whole tokenizer on these
+        probes = [w.encode() for w in _PROBES]
+        self.latin = sys.byteorder == "little" and all(self._plain(w) == x for w, x in zip(probes, self._fresh(probes), strict=True))
 
     def _fresh(self, words: list[bytes]) -> list[bytes]:
         """Ids of pieces: of many at once between marks, where no piece holds the mark."""
@@ -69,17 +82,43 @@ class WordEncoder:
             last = end + 1
         return out
 
+    def _plain(self, piece: bytes) -> bytes | None:
+        """Ids of a piece of Latin letters and closing punctuation, from the vocabulary's model alone.
+
+        For these the normaliser only lower-cases and the splitter parts letters from the rest.
+        """
+        text = piece.decode().lower()
+        word = text.rstrip(_CLOSING)
+        if not (word.isalpha() and max(word) < "\u0180"):
+            return None
+        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
+        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+        if len(word) == len(text):
+            return ids
+        closing = text[len(word) :].encode()
+        if closing not in self.closings:
+            self.closings[closing] = self._fresh([closing])[0]
+        return ids + self.closings[closing]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         split = [t.split() for t in texts]
         known = self.ids
-        new = {w for words in split for w in words if w not in known}
+        words = set(chain.from_iterable(split))
+        new = words.difference(known)
         if len(known) + len(new) > MEMORY:
             known.clear()
-            new = {w for words in split for w in words}
-        words = list(new)
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
+            self.closings.clear()
+            new = words
+        other = []
+        for w in new:
+            found = self._plain(w) if self.latin else None
+            if found is None:
+                other.append(w)
+            else:
+                known[w] = found
+        for at in range(0, len(other), 1000):
+            part = other[at : at + 1000]
             known.update(zip(part, self._fresh(part), strict=True))
         get = known.__getitem__
         return [b"".join(map(get, w)) for w in split]

@@ -35,6 +35,22 @@ def test_ids_equal_the_tokenizer(path):
     assert found == want
 
 
+def test_ids_of_the_corpus_equal_the_tokenizer(spark, path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    encoder = packing.WordEncoder(path)
+    assert encoder.latin
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(texts, add_special_tokens=False)]
+    assert encoder.encode([x.encode() for x in texts]) == want
+    odd = ["".join(map(chr, range(a, a + 40))) for a in range(32, 0x250, 7)] + ["ŉ ǆ İ ı ſ ĳ. Ŀ, ª º µ", "A." * 50]
+    want = [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(odd, add_special_tokens=False)]
+    assert encoder.encode([x.encode() for x in odd]) == want
+    letters = [chr(c) * 2 + "x" for c in range(0x41, 0x180) if chr(c).isalpha()]
+    assert encoder.encode([x.encode() for x in letters]) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(letters, add_special_tokens=False)]
+
+
 def check_packing(rows, ids, capacity, segments):
     pieces, sequences = {}, {}
     for r in rows:
