@@ -47,6 +47,8 @@ COUNTED = 64
 HOT_SAMPLE, HOT_SHARE = 2000, 0.01
 #: Ids are broadcast up to this many rows; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Documents that a Python worker holds sets of at once.
+SLICE = 500
 #: How much further into the buckets each round reaches.
 REACH = 16
 
@@ -85,7 +87,7 @@ def _describe(k: int, percent: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # a task describes a set once, as long as it remembers it
-        for batch in batches:
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
             rows: list[list] = [[] for _ in range(8)]
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(_texts(batch), k), strict=True):
                 name = _keys(s)
@@ -109,14 +111,13 @@ def _describe(k: int, percent: int, hot: np.ndarray):
 
 def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                sets = shingle_sets(_texts(batch.slice(at, 1000)), k)
-                names = [_keys(s) for s in sets]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
-                    ["k1", "k2", "shingles"],
-                )
+        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
+            sets = shingle_sets(_texts(batch), k)
+            names = [_keys(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
+                ["k1", "k2", "shingles"],
+            )
 
     return run
 

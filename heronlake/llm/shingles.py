@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 #: Bytes hashed at once; bounds a worker's memory to about thirty times this.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 
 _SPACES = b" \t\n\x0b\x0c\r"
 _LOWER = np.arange(256, dtype=np.uint8)
