@@ -11,7 +11,8 @@ k-word shingles. Documents with equal sets form a class; classes are what is joi
    share a prefix shingle. A class whose prefix holds shingles of its own only is done.
 3. Prefixes are joined on their shingles under three filters: length; position (at a
    pair's first common shingle, what is left of both sets must suffice); and suffix (the
-   sets' counts in 8 fixed hash ranges bound their symmetric difference from below).
+   sets are parted by 512 hash ranges; each range where one set has an odd number of
+   shingles and the other an even one holds at least one that they do not share).
 4. Pairs that pass are compared once, on their whole sets.
 
 Only links that can change the components are looked for: in each round, the members of a
@@ -52,7 +53,10 @@ SLICE = 500
 #: How much further into the buckets each round reaches.
 REACH = 16
 
-_SET = "doc_id long, n int, k1 long, k2 long, s1 long, s2 long, counted array<long>, rest array<long>"
+#: Columns of the parities of a set's 512 hash ranges.
+PARITY = [f"s{i}" for i in range(8)]
+
+_SET = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in PARITY) + ", counted array<long>, rest array<long>"
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -66,16 +70,15 @@ def _keys(s: np.ndarray) -> tuple[int, int]:
         return tuple(int(np.add.reduce(mix(u + np.uint64(c))).view(np.int64)) for c in (1, 0x51ED270B))
 
 
-def _ranges(s: np.ndarray) -> tuple[int, int]:
-    """A set's counts in 8 hash ranges, 16 bits each; larger counts stay at the most, which keeps differences bounds."""
-    counts = np.bincount((s.view(np.uint64) >> np.uint64(61)).astype(np.int64), minlength=8)
-    return tuple(np.minimum(counts, 65535).astype("<u2").view("<i8").tolist())
+def _parities(s: np.ndarray) -> list[int]:
+    """For each of 512 hash ranges, whether the set holds an odd number of its values."""
+    counts = np.bincount((s.view(np.uint64) >> np.uint64(55)).astype(np.int64), minlength=512)
+    return np.packbits((counts & 1).astype(np.uint8)).view("<i8").tolist()
 
 
 def _apart() -> str:
-    """SQL for the least size of the symmetric difference of two sets, from their ranges."""
-    part = "(shiftrightunsigned({c}, {b}) & 65535)"
-    return " + ".join(f"abs({part.format(c=c, b=b)} - {part.format(c=c + '_b', b=b)})" for c in ("s1", "s2") for b in (0, 16, 32, 48))
+    """SQL for the least size of the symmetric difference of two sets, from their parities."""
+    return " + ".join(f"bit_count({c} ^ {c}_b)" for c in PARITY)
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -88,7 +91,7 @@ def _describe(k: int, percent: int, hot: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()  # a task describes a set once, as long as it remembers it
         for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            rows: list[list] = [[] for _ in range(8)]
+            rows: list[list] = [[] for _ in range(6 + len(PARITY))]
             for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(_texts(batch), k), strict=True):
                 name = _keys(s)
                 counted = rest = None
@@ -101,9 +104,9 @@ def _describe(k: int, percent: int, hot: np.ndarray):
                     counted = s[first & ~often]
                     lack = max(0, _prefix(len(s), percent) - len(counted))
                     rest = np.concatenate([s[often], s[~first]])[:lack] if lack else s[:0]
-                for to, x in zip(rows, (doc, len(s), *name, *_ranges(s), counted, rest), strict=True):
+                for to, x in zip(rows, (doc, len(s), *name, *_parities(s), counted, rest), strict=True):
                     to.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * len(PARITY), pa.list_(pa.int64()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], [f.split()[0] for f in _SET.split(", ")])
 
     return run
@@ -139,7 +142,7 @@ def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """(token, cid, n, s1, s2, pos) of the prefix shingles that more than one class may share."""
+    """(token, cid, n, pos) of the prefix shingles that more than one class may share."""
     counted = sets.select(F.explode("counted").alias("token"), "k1")
     bucket = "over (partition by token)"
     shared = (
@@ -148,12 +151,12 @@ def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     )
     ahead = (
         shared.join(classes, "k1")
-        .selectExpr("token", "cid", "n", "s1", "s2", "n_counted", "row_number() over (partition by cid order by df, token) as nth", "count(*) over (partition by cid) as n_shared")
-        .selectExpr("token", "cid", "n", "s1", "s2", "n_counted - n_shared + nth - 1 as pos")
+        .selectExpr("token", "cid", "n", "n_counted", "row_number() over (partition by cid order by df, token) as nth", "count(*) over (partition by cid) as n_shared")
+        .selectExpr("token", "cid", "n", "n_counted - n_shared + nth - 1 as pos")
     )
     rest = (
         sets.filter(F.size("rest") > 0).select("k1", "k2", F.posexplode("rest").alias("at", "token"))
-        .join(classes, ["k1", "k2"]).selectExpr("token", "cid", "n", "s1", "s2", "n_counted + at as pos").distinct()
+        .join(classes, ["k1", "k2"]).selectExpr("token", "cid", "n", "n_counted + at as pos").distinct()
     )
     return ahead.unionByName(rest).filter(F.expr(f"pos < n - ceil({percent} * n / 100.0) + 1"))
 
@@ -162,7 +165,7 @@ def _pairs(entries: DataFrame, low: int, high: int, percent: int) -> DataFrame:
     """Pairs of entries with members `low` < place <= `high` of their buckets that pass the filters."""
     place = F.expr("row_number() over (partition by token order by cid)")
     heads = entries.withColumn("place", place).filter(F.col("place") <= high).filter(F.col("place") > low)
-    heads = cut_lineage(heads.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "s1", "s2", "pos", "label"))))
+    heads = cut_lineage(heads.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "pos", "label", *PARITY))))
     near = (
         f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
         f" and {100 + percent} * least(n - pos, n_b - pos_b) >= {percent} * (n + n_b)"
@@ -180,7 +183,7 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sets = cut_lineage(sets)
     classes = cut_lineage(
         sets.filter("n > 0").groupBy("k1", "k2").agg(
-            F.min("row_id").alias("cid"), F.min("doc_id").alias("class_doc"), F.max("n").alias("n"), F.max("s1").alias("s1"), F.max("s2").alias("s2"),
+            F.min("row_id").alias("cid"), F.min("doc_id").alias("class_doc"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in PARITY],
             F.max(F.size("counted")).alias("n_counted"),
         )
     )
@@ -214,7 +217,7 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
             whole = cut_lineage(_sets_of(docs, live, k))
         if entries.isEmpty():
             return labels
-        pairs = _pairs(entries, low, high, percent)
+        pairs = _pairs(entries.join(_few(live.select("cid", *PARITY)), "cid"), low, high, percent)
         if failed is not None:
             pairs = pairs.join(failed, ["cid", "cid_b"], "left_anti")
         other = whole.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("shingles_b"))

@@ -7,6 +7,7 @@ import re
 import pytest
 
 from heronlake.llm import exact_dedup, ngram_join, shingles
+from heronlake.llm import components as component_module
 from heronlake.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
@@ -119,7 +120,9 @@ def test_near_copies_are_dropped_whole(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in brute_components(texts, 5, 80).items() if i == c)
 
 
-def test_components_of_a_path_and_a_star(spark):
+@pytest.mark.parametrize("small", [0, 500_000])
+def test_components_of_a_path_and_a_star(spark, monkeypatch, small):
+    monkeypatch.setattr(component_module, "SMALL", small)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 140)] + [(7, 7)]
     found = {r.node: r.label for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)}
