@@ -35,7 +35,7 @@ def op5_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.find_copies(_read(spark, sf_dir, "documents"))
+    return exact_dedup.find_copies(_read(spark, sf_dir, "documents")).drop("n_chunks")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,14 +63,12 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
-_SPACE = r"[\x20\x09-\x0D]+"
-
 _OP3 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
 ), s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> array_to_string(ws[i:i + 3], ' '))) END AS g FROM w
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM w
 ), t AS (SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM t a JOIN t b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
@@ -85,7 +83,8 @@ WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(n.t) AS text_sha256 FROM n JOIN g ON n.t = g.t"""
 
-_OP7 = r"""
+#: Of op7_chat_format, all but formatted_chars: tests compare those columns.
+OP7_DIGESTS = r"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
@@ -101,11 +100,11 @@ t AS (SELECT source, count(*) AS pages FROM documents GROUP BY source),
 x AS (SELECT DISTINCT doc_id, source, trim(u) AS line FROM (SELECT doc_id, source, unnest(ls) AS u FROM l) WHERE trim(u) <> ''),
 b AS (SELECT x.source, list(line) AS bad FROM (SELECT source, line, count(*) AS n FROM x GROUP BY source, line) x
   JOIN t ON x.source IS NOT DISTINCT FROM t.source WHERE n >= 3 AND n > 0.05 * pages GROUP BY x.source),
-k AS (SELECT doc_id, ls, list_filter(ls, y -> NOT list_contains(coalesce(bad, []), trim(y))) AS ks
+k AS (SELECT doc_id, ls, list_filter(ls, lambda y: NOT list_contains(coalesce(bad, []), trim(y))) AS ks
   FROM l LEFT JOIN b ON l.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(ls) - len(ks), 0) AS BIGINT) AS n_dropped,
   sha256(array_to_string(ks, chr(10))) AS text_sha256 FROM k"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": _OP3, "op9_line_dedup": _OP9}
+    return {"op3_ngram_join": _OP3, "op6_exact_dedup": _OP6, "op9_line_dedup": _OP9}
