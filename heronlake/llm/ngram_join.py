@@ -220,12 +220,7 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
         pairs = _pairs(entries.join(_few(live.select("cid", *PARITY)), "cid"), low, high, percent)
         if failed is not None:
             pairs = pairs.join(failed, ["cid", "cid_b"], "left_anti")
-        other = whole.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("shingles_b"))
-        checked = cut_lineage(pairs).join(whole, "cid").join(other, "cid_b").selectExpr(
-            "cid", "cid_b", "label", "label_b",
-            f"{100 + percent} * size(array_intersect(shingles, shingles_b)) >= {percent} * (n + n_b) as linked",
-        )
-        checked = cut_lineage(checked)
+        checked = cut_lineage(_checked(cut_lineage(pairs), whole, percent))
         misses = checked.filter("not linked").select("cid", "cid_b")
         failed = misses if failed is None else failed.unionByName(misses)
         new = checked.filter("linked").select(F.col("label").alias("u"), F.col("label_b").alias("v"))
@@ -237,13 +232,25 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
         low, high = high, high * REACH
 
 
+def _checked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
+    """Each pair with whether it links. A set goes once to each of its pairs, and to one place as the other side of all."""
+    heads = whole.join(_few(pairs.select(F.col("cid_b").alias("cid")).distinct()), "cid", "left_semi")
+    heads = heads.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("shingles_b"))
+    return whole.join(_few(pairs), "cid").join(heads, "cid_b").selectExpr(
+        "cid", "cid_b", "label", "label_b",
+        f"{100 + percent} * size(array_intersect(shingles, shingles_b)) >= {percent} * (n + n_b) as linked",
+    )
+
+
 def _sets_of(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of the classes in `live`, computed again from their first documents."""
     ids = live.select(F.col("class_doc").alias("doc_id")).distinct()
     some = docs.join(_few(ids), "doc_id", "left_semi")
     some = some.unionByName(docs.filter("doc_id is null")) if not live.filter("class_doc is null").isEmpty() else some
+    repeated = not some.groupBy("doc_id").count().filter("count > 1").isEmpty()
     sets = some.mapInArrow(_whole_sets(k), "k1 long, k2 long, shingles array<long>")
-    return sets.join(live.select("k1", "k2", "cid"), ["k1", "k2"]).dropDuplicates(["cid"]).select("cid", "shingles")
+    sets = sets.join(_few(live.select("k1", "k2", "cid")), ["k1", "k2"]).select("cid", "shingles")
+    return sets.dropDuplicates(["cid"]) if repeated else sets
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
