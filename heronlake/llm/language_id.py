@@ -8,7 +8,7 @@ posteriors over all documents: a host's prior is smoothed towards its suffix's,
 towards the corpus's. The class `und` has uniform text likelihood; documents it wins, and
 documents without a language of at least `least` posterior, are rejected.
 
-Defined cases: null and empty texts, and texts under three bytes, have no text evidence and
+Defined cases: null and empty texts, and texts without trigrams of letters, have no text evidence and
 are rejected, whatever their other evidence. A missing host, suffix or declaration adds no
 evidence of its own (null hosts share one prior). Null labels aren't fitted on. Repeated
 rows get equal results. Without labelled rows, and on an empty table, nothing is accepted.
@@ -38,14 +38,16 @@ BROADCAST_HOSTS = 200_000
 #: Bytes of text scored at once.
 BLOCK = 1 << 21
 
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
+#: Letters in lower case and bytes of other scripts stand for themselves, all else for a space.
+_LETTERS = np.array([c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], np.uint32)
 
 
 def _codes(data: bytes) -> np.ndarray:
-    b = _LOWER[np.frombuffer(data, np.uint8)]
+    """Hashed trigrams with two letters at least: digits and signs say nothing about the language."""
+    b = _LETTERS[np.frombuffer(data, np.uint8)]
+    letter = (b > 32).astype(np.int8)
     x = (b[:-2] << np.uint32(16)) | (b[1:-1] << np.uint32(8)) | b[2:]
-    return (x * np.uint32(2654435761)) >> np.uint32(32 - BITS)
+    return (x[letter[:-2] + letter[1:-1] + letter[2:] >= 2] * np.uint32(2654435761)) >> np.uint32(32 - BITS)
 
 
 @dataclass(frozen=True)
@@ -56,15 +58,16 @@ class TextModel:
     table: np.ndarray
 
     def scores(self, text: bytes) -> np.ndarray | None:
-        """Log likelihoods of the languages and of `und`; None without trigrams."""
+        """Log likelihoods of the languages and of `und`; None without trigrams of letters."""
         if len(text) < 3 or not self.languages:
             return None
-        total = np.zeros(len(self.languages) + 1)
+        total, n = np.zeros(len(self.languages) + 1), 0
         for at in range(0, len(text) - 2, BLOCK):
             codes = _codes(text[at : at + BLOCK + 2])
             total[:-1] += self.table[:, codes].sum(axis=1, dtype=np.float64)
-            total[-1] -= len(codes) * BITS * math.log(2)
-        return total
+            n += len(codes)
+        total[-1] = -n * BITS * math.log(2)
+        return total if n else None
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
