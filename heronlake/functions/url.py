@@ -84,7 +84,7 @@ def join_url(base: Column, href: Column) -> Column:
         F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(F.startswith(ref, F.lit("//")), F.concat(scheme, F.lit(":"), ref))
         .when(F.startswith(ref, F.lit("/")), F.concat(root, _without_dots(ref_path), ref_rest))
-        .when(ref == "", F.regexp_replace(base, "#.*$", ""))
+        .when(ref == "", base)
         .when(F.startswith(ref, F.lit("?")), F.concat(root, path, ref))
         .when(F.startswith(ref, F.lit("#")), F.concat(root, path, query, ref))
         .otherwise(F.concat(root, _without_dots(F.concat(folder, ref_path)), ref_rest))
