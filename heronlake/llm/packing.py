@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from heronlake.llm.token_counts import byte_symbols
 
 #: Words whose ids a worker remembers, and items that wait in a task.
-MEMORY, POOL = 300_000, 1024
+MEMORY, POOL = 450_000, 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
