@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heronlake.functions.text import index_tokens
@@ -106,10 +106,35 @@ def varbyte_length(value):
     """Bytes of a number in 7-bit groups; zero takes one."""
     out = F.lit(1)
     for k in range(1, 9):
-        out = F.when(value >= 1 << (7 * k), k + 1).otherwise(out) if k == 1 else F.when(value >= 1 << (7 * k), k + 1).otherwise(out)
+        out = F.when(value >= 1 << (7 * k), k + 1).otherwise(out)
     return out
 
 
+def varbyte_encode(values: Column) -> Column:
+    """Bytes (as integers) of an array of numbers from 0: groups of 7 bits, low ones first, marked by the high bit where more follow."""
+
+    def one(value: Column) -> Column:
+        places = F.sequence(F.lit(0), varbyte_length(value) - 1)
+        more = lambda i: F.when(i < varbyte_length(value) - 1, 128).otherwise(0)
+        return F.transform(places, lambda i: F.call_function("shiftright", value.cast("long"), 7 * i).bitwiseAND(127).cast("int") + more(i))
+
+    return F.flatten(F.transform(values, one))
+
+
+def varbyte_decode(coded: Column) -> Column:
+    """The array of numbers (long) that `varbyte_encode` made into bytes."""
+    start = F.expr("named_struct('found', array_repeat(0L, 0), 'value', 0L, 'scale', 1L)")
+
+    def step(at: Column, byte: Column) -> Column:
+        value, more = at["value"] + at["scale"] * (byte % 128), byte >= 128
+        return F.struct(
+            F.when(more, at["found"]).otherwise(F.concat(at["found"], F.array(value))).alias("found"),
+            F.when(more, value).otherwise(F.lit(0).cast("long")).alias("value"), F.when(more, at["scale"] * 128).otherwise(F.lit(1).cast("long")).alias("scale"),
+        )
+
+    return F.aggregate(coded, start, step)["found"]
+
+
 def chunk_metadata(postings: DataFrame) -> DataFrame:
     return chunked(postings).groupBy("term", "chunk").agg(
         F.max("doc_id").alias("last_doc_id"), F.count("*").alias("n_postings"),

@@ -12,14 +12,15 @@ from heronlake.functions import url as U
 from heronlake.functions import vectors as V
 from heronlake.operators import bm25, crawl, dense, evaluate, index, rerank, training
 from heronlake.plans import oracles as O
-from heronlake.sources import trec
+from heronlake.session import shared_folder
+from heronlake.sources import collections, trec
 from heronlake.streaming import crawl_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-TOP, STEP = 20, 25  # results per query; every 25th vector asks, a fixed set of queries
+TOP, STEP = 20, 100  # results per query; the vectors whose ids are divisible by 100 ask
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -272,8 +273,7 @@ def mean_metrics(spark, d):
 
 @query(O.MRR)
 def mrr_all_queries(spark, d):
-    odd = vector_qrels(spark, d).filter("doc_id % 2 = 1")
-    return evaluate.mrr(vector_run(spark, d), odd)
+    return evaluate.mrr(vector_run(spark, d), vector_qrels(spark, d).filter("rel = 1"))
 
 
 @query("SELECT item_id AS query_id FROM benchmark WHERE item_id IN (SELECT doc_id FROM labels)")
@@ -287,7 +287,7 @@ def train_positives(spark, d):
     return training.positives(vector_qrels(spark, d), q, vectors(spark, d))
 
 
-@query(O.QRELS + "SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM embeddings q, embeddings c WHERE q.vec_id % 25 = 0 AND (q.vec_id, c.vec_id) NOT IN (SELECT query_id, doc_id FROM qrels)")
+@query(O.QRELS + "SELECT q.vec_id AS query_id, c.vec_id AS doc_id FROM embeddings q, embeddings c WHERE q.vec_id % 100 = 0 AND (q.vec_id, c.vec_id) NOT IN (SELECT query_id, doc_id FROM qrels)")
 def train_negative_candidates(spark, d):
     return training.negative_candidates(vector_qrels(spark, d), vector_queries(spark, d), vectors(spark, d))
 
@@ -406,11 +406,20 @@ def result_line_parse(spark, d):
     return lines.select("p.doc_id", "p.score", "p.content")
 
 
-@query("SELECT lang AS dataset, round(avg(n_chars) FILTER (source = 'src0'), 6) AS src0, round(avg(n_chars) FILTER (source = 'src1'), 6) AS src1 FROM documents WHERE source IN ('src0', 'src1') GROUP BY lang")
+@query("SELECT source AS dataset, " + ", ".join(f"round(avg(n_chars) FILTER (lang = '{x}'), 6) AS {x}" for x in ("en", "fr", "de", "es")) + " FROM documents GROUP BY source")
 def metric_pivot(spark, d):
-    rows = read(spark, d, "documents").filter("source in ('src0', 'src1')")
-    table = rows.groupBy(F.col("lang").alias("dataset"), F.col("source").alias("encoder")).agg(F.round(F.avg("n_chars"), 6).alias("value"))
-    return evaluate.metric_pivot(table, "value", ["src0", "src1"])
+    """Mean length by source and language, as experiments by data set and encoder."""
+    return evaluate.metric_pivot(_experiments(spark, d), "value", ["en", "fr", "de", "es"])
+
+
+def _experiments(spark, d):
+    rows = read(spark, d, "documents").groupBy(F.col("source").alias("dataset"), F.col("lang").alias("encoder"))
+    return rows.agg(F.round(F.avg("n_chars"), 6).alias("value"))
+
+
+@query("SELECT coalesce(round(avg(n_chars) FILTER (source = 'src0' AND lang = 'fr'), 6), 'NaN'::DOUBLE) AS value FROM documents")
+def metric_pick(spark, d):
+    return evaluate.pick(_experiments(spark, d), "value", dataset="src0", encoder="fr")
 
 
 @query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -421,3 +430,160 @@ def json_field(spark, d):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def windowed_counts(spark, d):
     return crawl_stream.windowed_counts(read(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _lines(spark, d):
+    """Lines of a collection file: all documents, and the benchmark's texts, which have no id."""
+    documents_ = documents(spark, d).select(F.concat_ws("\t", F.col("doc_id").cast("string"), F.coalesce("text", F.lit(""))).alias("value"))
+    return documents_.unionByName(asked(spark, d).select(F.col("text").alias("value")))
+
+
+@query("SELECT doc_id, coalesce(text, '') AS text FROM documents")
+def passage_scan(spark, d):
+    return collections.parse_passages(_lines(spark, d))[0]
+
+
+@query("SELECT text AS value FROM benchmark")
+def passage_rejects(spark, d):
+    return collections.parse_passages(_lines(spark, d))[1]
+
+
+@query(O.VECTOR_RUN + "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, score, rank FROM run WHERE rank <= 30")
+def trec_run_file(spark, d):
+    """A run written as a file and read back, its first 30 lines per query."""
+    path = shared_folder(spark, "run")
+    trec.write_run(vector_run(spark, d), path, "run2")
+    return trec.read_run(spark, path, first=30)
+
+
+@query(f"SELECT doc_id, array_to_string({O.tokens('text')}, ' ') AS tokens FROM documents")
+def index_tokenize(spark, d):
+    return documents(spark, d).select("doc_id", F.array_join(T.index_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query(f"SELECT item_id AS query_id, array_to_string({O.tokens('text')}, ' ') AS tokens FROM benchmark")
+def query_tokenize(spark, d):
+    return asked(spark, d).select("query_id", F.array_join(T.query_tokens(F.col("text")), " ").alias("tokens"))
+
+
+@query("SELECT page_id, nullif(regexp_extract(html, '<title>(.*?)</title>', 1, 's'), '') AS title, split_part(html, chr(10), 1) AS first_line, url AS stripped, 'passage: ' || url AS prefixed FROM pages")
+def text_helpers(spark, d):
+    line = F.concat(F.col("page_id").cast("string"), F.lit("\t"), F.col("url"))
+    return pages(spark, d).select(
+        "page_id", T.between_tags(F.col("html"), "<title>", "</title>").alias("title"), T.first_line(F.col("html")).alias("first_line"),
+        T.strip_id_prefix(line).alias("stripped"), T.with_prefix(F.col("url"), "passage").alias("prefixed"),
+    )
+
+
+@query(O.CHUNKS + f", e AS (SELECT term, doc_id, {O.varbyte('delta')} + {O.varbyte('tf')} AS n_bytes, delta, tf FROM chunks) SELECT term, doc_id, CAST(n_bytes AS INTEGER) AS n_bytes, delta, CAST(tf AS BIGINT) AS tf FROM e")
+def varbyte_codec(spark, d):
+    """Each posting's gap and count as bytes, and what the bytes decode to."""
+    rows = index.chunked(index.term_frequencies(documents(spark, d)))
+    coded = rows.select("term", "doc_id", index.varbyte_encode(F.array("delta", "tf")).alias("bytes"))
+    back = index.varbyte_decode(F.col("bytes"))
+    return coded.select("term", "doc_id", F.size("bytes").alias("n_bytes"), back[0].alias("delta"), back[1].alias("tf"))
+
+
+@query("SELECT vec_id, round((v[1] + label % 2 * v[64]) / (1 + label % 2), 6) AS first_part FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)")
+def mean_pooling(spark, d):
+    tokens, mask = F.array("embedding", F.reverse("embedding")), F.array(F.lit(1), F.col("label") % 2)
+    return read(spark, d, "embeddings").select("vec_id", F.round(V.mean_pool(tokens, mask)[0], 6).alias("first_part"))
+
+
+@query(O.bm25(k=100).rsplit("SELECT", 1)[0] + "SELECT query_id, doc_id FROM hits WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def rerank_missing(spark, d):
+    """Candidates that a dense reranker leaves out, having no vector."""
+    run = bm25.search(asked(spark, d), index.build(documents(spark, d)), k=100)
+    return rerank.missing_vectors(run, vectors(spark, d)).select("query_id", "doc_id")
+
+
+@query(O.METRICS + """SELECT query_id, '{"p_10":"' || printf('%.4f', p_10) || '","recip_rank":"' || printf('%.4f', recip_rank) || '"}' AS metrics FROM metrics""")
+def metrics_json(spark, d):
+    return evaluate.metrics_json(evaluate.per_query(vector_run(spark, d), vector_qrels(spark, d)).select("query_id", "p_10", "recip_rank"))
+
+
+def _judged_pairs(spark, d):
+    """Labelled documents as judgements of the benchmark's queries, dealt out by id."""
+    n = F.lit(asked(spark, d).count())
+    return read(spark, d, "labels").select((F.col("doc_id") % n).alias("query_id"), "doc_id", F.col("quality").alias("rel"))
+
+
+@query()
+def training_examples(spark, d):
+    return training.examples(_judged_pairs(spark, d), asked(spark, d), documents(spark, d)).select("query_id", "doc_id", "label")
+
+
+@query()
+def limited_examples(spark, d):
+    rows = training.examples(_judged_pairs(spark, d), asked(spark, d), documents(spark, d)).select("query_id", "doc_id", "label")
+    return training.limited(rows, 2000, 20_000)
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'MIME Type Not HTML' WHEN event_type = 'click' THEN '200' ELSE event_type END AS outcome FROM events")
+def page_outcome(spark, d):
+    """Clicks are fetched pages and views fetched files; all others failed by name."""
+    kind = F.when(F.col("event_type") == "view", "application/json").otherwise("text/html; charset=UTF-8")
+    status = F.when(F.col("event_type").isin("view", "click"), "200").otherwise(F.col("event_type"))
+    return read(spark, d, "events").select("event_id", status.alias("status"), kind.alias("content_type")).select("event_id", crawl.outcome().alias("outcome"))
+
+
+@query("SELECT page_id AS \"order\", 'Depth: 0, Status: 200, (seed)URL: ' || url || ', Time: 2024-01-01 00:00:00, Size: ' || octet_length(encode(html)) || ' bytes' AS line FROM pages")
+def crawl_log(spark, d):
+    """The log of a crawl whose seeds are all pages."""
+    visits_ = pages(spark, d).select(
+        F.col("page_id").alias("order"), "url", F.octet_length("html").alias("size"), F.lit("200").alias("status"), F.lit(0).alias("depth"),
+        F.expr("timestamp_ntz'2024-01-01 00:00:00'").alias("time"), F.lit(None).cast("string").alias("redirect_url"), F.lit(True).alias("is_seed"),
+    )
+    return crawl.log_lines(visits_)
+
+
+@query(O.LINKS + f"SELECT DISTINCT {O.minimized('url')} AS min_url FROM (SELECT url FROM pages UNION ALL SELECT dst_url FROM links WHERE position = 0)")
+def redirects_seen(spark, d):
+    """Each page redirects to its first link; both count as seen."""
+    to = crawl.links(pages(spark, d)).filter("position = 0").select(F.col("src_url").alias("url"), F.col("dst_url").alias("final_url"))
+    return crawl.follow_redirects(pages(spark, d), to)
+
+
+@query("SELECT url, NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/') AS allowed FROM pages")
+def robots_filter(spark, d):
+    """All hosts forbid /en/."""
+    urls = pages(spark, d).select("url")
+    files = urls.select(U.robots_url(F.col("url")).alias("robots_url")).distinct()
+    return crawl.robots_allowed(urls, files.withColumn("text", F.lit("User-agent: *\nDisallow: /en/\n")))
+
+
+@query(f"SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/robots.txt' AS robots_url FROM pages")
+def robots_url(spark, d):
+    return pages(spark, d).select("page_id", U.robots_url(F.col("url")).alias("robots_url"))
+
+
+@query(O.SCALES)
+def priority_scales(spark, d):
+    """The three priority scales at each document's length; labels are the languages."""
+    n = F.col("n_chars")
+    return read(spark, d, "documents").select(
+        "doc_id", U.domain_priority(n).alias("by_domain"), U.in_degree_priority(n).alias("by_in_degree"),
+        U.second_last_priority(F.lit("org"), n).alias("by_known"), U.second_last_priority(F.col("lang"), n).alias("by_label"),
+    )
+
+
+def _visit_stream(spark, d):
+    """Events as a stream of visits of (url, ts), a host per user."""
+    path = f"{d}/events.parquet"
+    # the pattern matches that path alone; a plain path would have to be a folder
+    rows = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{d}/events.parque[t]")
+    url = F.concat(F.lit("https://www.u"), F.col("user_id").cast("string"), F.lit(".org/"), "event_type", F.lit("?e="), F.col("event_id").cast("string"))
+    return rows.select(url.alias("url"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query("SELECT DISTINCT '//u' || user_id || '.org/' || event_type AS min_url FROM events WHERE ts IS NOT NULL")
+def stream_first_visits(spark, d):
+    """Page identities of a stream, each once."""
+    return crawl_stream.drain(crawl_stream.first_visits(_visit_stream(spark, d), delay="3650 days").select("min_url"))
+
+
+@query(O.SCHEDULE)
+def stream_schedule(spark, d):
+    """A stream of visits, each host's two seconds apart at least."""
+    out = crawl_stream.drain(crawl_stream.schedule(_visit_stream(spark, d)))
+    return out.select("url", "domain", F.round("wanted_at", 3).alias("wanted_at"), F.round("visit_at", 3).alias("visit_at"))

@@ -58,26 +58,26 @@ CHUNKS = f"""WITH {_POSTINGS}, c AS (SELECT term, doc_id, tf, CAST((row_number()
 chunks AS (SELECT *, doc_id - coalesce(lag(doc_id) OVER (PARTITION BY term, chunk ORDER BY doc_id), 0) AS delta FROM c) """
 
 
-def _varbyte(x: str) -> str:
+def varbyte(x: str) -> str:
     return "CASE " + " ".join(f"WHEN {x} < {1 << (7 * k)} THEN {k}" for k in range(1, 9)) + " ELSE 9 END"
 
 
 METADATA = CHUNKS.rstrip() + f""", metadata AS (SELECT term, chunk, max(doc_id) AS last_doc_id, count(*) AS n_postings,
-CAST(sum({_varbyte('delta')}) AS BIGINT) AS id_bytes, CAST(sum({_varbyte('tf')}) AS BIGINT) AS tf_bytes FROM chunks GROUP BY term, chunk) """
+CAST(sum({varbyte('delta')}) AS BIGINT) AS id_bytes, CAST(sum({varbyte('tf')}) AS BIGINT) AS tf_bytes FROM chunks GROUP BY term, chunk) """
 
 L2 = "list_sum(list_transform(list_zip(q.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
 _V = "v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)"
 
 
 def vector_topk(score: str, wrap: str = "{}", k: int = 20) -> str:
-    return f"""WITH {_V}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, {wrap.format(score)} AS score FROM v q, v c WHERE q.vec_id % 25 = 0),
+    return f"""WITH {_V}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, {wrap.format(score)} AS score FROM v q, v c WHERE q.vec_id % 100 = 0),
 run AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, doc_id, score, rank FROM run WHERE rank <= {k}"""
 
 
-_RUN = f"""{_V}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.v, c.v), 6) AS score FROM v q, v c WHERE q.vec_id % 25 = 0),
+_RUN = f"""{_V}, s AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.v, c.v), 6) AS score FROM v q, v c WHERE q.vec_id % 100 = 0),
 run AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s) WHERE rank <= 50)"""
-_QRELS = "qrels AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, CAST(2 - c.vec_id % 2 AS INTEGER) AS rel FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 25 = 0)"
+_QRELS = "qrels AS (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, CAST(2 - c.vec_id % 2 AS INTEGER) AS rel FROM embeddings q JOIN embeddings c ON q.label = c.label WHERE q.vec_id % 100 = 0)"
 VECTOR_RUN = f"WITH {_RUN} "
 QRELS = f"WITH {_QRELS} "
 
@@ -90,7 +90,7 @@ metrics AS (SELECT query_id, round(count(*) FILTER (rel >= 1 AND r <= 10) / 10,
   round(coalesce(sum(hits / r) FILTER (rel >= 1), 0) / any_value(n_rel), 6) AS map, round(coalesce(sum(rel / log2(r + 1)) FILTER (r <= 10), 0) / any_value(ideal), 6) AS ndcg_10,
   round(coalesce(1 / min(r) FILTER (rel >= 1), 0), 6) AS recip_rank FROM h JOIN n USING (query_id) GROUP BY query_id) """
 
-MRR = f"""WITH {_RUN}, {_QRELS}, f AS (SELECT query_id, min(rank) FILTER (rel > 0 AND doc_id % 2 = 1) AS r FROM run LEFT JOIN qrels USING (query_id, doc_id) GROUP BY query_id)
+MRR = f"""WITH {_RUN}, {_QRELS}, f AS (SELECT query_id, min(rank) FILTER (rel = 1) AS r FROM run LEFT JOIN qrels USING (query_id, doc_id) GROUP BY query_id)
 SELECT round(avg(coalesce(1 / r, 0)), 6) AS mrr FROM f"""
 
 RERANK = bm25(k=100) .rsplit("SELECT query_id, doc_id, rank, score FROM hits", 1)[0] + """, s AS (
@@ -156,3 +156,11 @@ SELECT page_id, count(*) AS n_unique, count(*) FILTER (NOT valid) AS n_invalid,
 count(DISTINCT dst_domain) AS n_domains FROM v GROUP BY page_id"""
 
 VISITS = "WITH visits AS (SELECT event_id, user_id, ts, CAST(floor(abs(value) * 1000) AS BIGINT) AS size, CASE WHEN event_type = 'click' THEN '200' ELSE event_type END AS status FROM events) "
+
+SCALES = f"""SELECT doc_id, {_grades('n_chars', '0:1 1:2 2:3 5:4 10:5 100:6 1000:7 10000:8 1000000:9', 10)} AS by_domain, {_grades('n_chars', '0:10 1:9 2:8 5:7 10:6 20:5 50:4 500:3 8000:2', 1)} AS by_in_degree,
+{_KNOWN} AS by_known, CASE WHEN lang IS NULL THEN 10 ELSE {_OTHER} END AS by_label FROM (SELECT doc_id, lang, n_chars, n_chars AS visits FROM documents)"""
+
+# a visit's time is the latest of its own wish and two seconds after each wish before it
+SCHEDULE = """WITH v AS (SELECT 'https://www.u' || user_id || '.org/' || event_type || '?e=' || event_id AS url, 'www.u' || user_id || '.org' AS domain, epoch(ts) AS t FROM events),
+n AS (SELECT *, 2 * row_number() OVER (PARTITION BY domain ORDER BY t, url) AS ahead FROM v)
+SELECT url, domain, round(t, 3) AS wanted_at, round(ahead + max(t - ahead) OVER (PARTITION BY domain ORDER BY ahead), 3) AS visit_at FROM n"""

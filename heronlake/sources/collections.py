@@ -13,7 +13,11 @@ def _numbered(spark: SparkSession, path: str) -> DataFrame:
 
 def read_passages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(documents(doc_id, text), rejected(value)) of `id \\t text` lines, split at the first tab."""
-    lines = spark.read.text(path)
+    return parse_passages(spark.read.text(path))
+
+
+def parse_passages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The same of lines(value)."""
     two = F.split("value", "\t", 2)
     number = F.trim(two[0])
     good = (F.size(two) == 2) & number.rlike("^[0-9]+$") & number.try_cast("long").isNotNull()

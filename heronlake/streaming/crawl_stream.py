@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heronlake.functions import url as U
+from heronlake.session import shared_folder
 
 
 def first_visits(visits: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
@@ -50,3 +51,12 @@ def windowed_counts(events: DataFrame, at: str = "ts", size: str = "1 hour", del
     rows = events.withColumn("at", F.col(at).cast("timestamp")).withWatermark("at", delay)
     counts = rows.groupBy(F.window("at", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return counts.select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def drain(stream: DataFrame) -> DataFrame:
+    """All that a stream gives on the input there is now, by way of a table in the shared folder."""
+    spark = stream.sparkSession
+    out = shared_folder(spark, "stream")
+    run = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
