@@ -19,12 +19,13 @@ def first_visits(visits: DataFrame, at: str = "ts", delay: str = "1 hour") -> Da
     return rows.dropDuplicatesWithinWatermark(["min_url"])
 
 
-def schedule(visits: DataFrame, least: float = 2.0) -> DataFrame:
+def schedule(visits: DataFrame, least: float = 2.0, delay: str = "1 hour") -> DataFrame:
     """(url, domain, wanted_at, visit_at): each domain's visits, `least` seconds apart.
 
-    State: the domain's last visit. A domain idle for an hour is forgotten.
+    State: the domain's last visit, until the watermark (`delay` behind the latest visit) has passed it by an hour.
     """
-    rows = visits.select("url", U.domain(F.col("url")).alias("domain"), F.col("ts").cast("timestamp").cast("double").alias("wanted_at"))
+    marked = visits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    rows = marked.select("url", U.domain(F.col("url")).alias("domain"), "ts", F.col("ts").cast("double").alias("wanted_at"))
 
     def place(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -39,10 +40,10 @@ def schedule(visits: DataFrame, least: float = 2.0) -> DataFrame:
                 out.append(last)
             yield batch.assign(visit_at=out)[["url", "domain", "wanted_at", "visit_at"]]
         state.update((last,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
 
     return rows.groupBy("domain").applyInPandasWithState(
-        place, "url string, domain string, wanted_at double, visit_at double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout
+        place, "url string, domain string, wanted_at double, visit_at double", "last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
