@@ -3,9 +3,9 @@
 Three patterns give the base spans. The method adds spans of kind `entropy`: candidate
 strings of 20 or more key characters are read with a window of 20 characters; the window's
 sum of c * log2(c) over its character counts c changes by the counts of the entering and
-the leaving character alone, in whole millionths. A candidate's span runs from its first to
-its last window whose Shannon entropy reaches the threshold of its character class. An
-allow-list suppresses added spans (never base spans): plain words, identifiers of the UUID
+the leaving character alone, in whole millionths. Long candidates are read in parts of
+bounded length. A candidate's span runs from its first to its last window whose Shannon
+entropy reaches the threshold of its character class. An allow-list suppresses added spans (never base spans): plain words, identifiers of the UUID
 form, runs of the alphabet or of digits, and what overlaps a base span.
 
 Positions are code points, ends exclusive. Defined cases: null text counts as empty and
@@ -26,6 +26,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
 
 KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
+#: Windows that start in one part of a candidate: a position costs the length of its part, not of the candidate.
+PART = 128
 #: Bits for hex, for mixed letters and digits, and for letters alone.
 LIMITS = {"hex": 3.0, "mixed": 3.8, "letters": 4.1}
 ALLOWED = r"^[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*$|^[A-Z]+$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|abcdefghij|0123456789|^[-_=+/]+$"
@@ -60,29 +62,42 @@ def _count(body: Column, char: Column) -> Column:
     return F.length(body) - F.length(F.replace(body, char, F.lit("")))
 
 
-def _entropy_span(span: Column) -> Column:
-    """The candidate's part within windows of high entropy; start < 0 if there is none."""
+def _candidate(span: Column) -> Column:
+    """A candidate's start, its limit and its parts, which share WINDOW - 1 characters with the next."""
     body = span["body"]
     most = {k: round((math.log2(WINDOW) - v) * WINDOW * 1e6) for k, v in LIMITS.items()}
     limit = F.when(body.rlike("^[0-9a-fA-F]+$"), F.lit(most["hex"])).when(body.rlike("[0-9]"), F.lit(most["mixed"])).otherwise(F.lit(most["letters"]))
+    places = F.sequence(F.lit(0), F.length(body) - WINDOW, F.lit(PART))
+    parts = F.transform(places, lambda at: F.struct(at.alias("at"), F.substr(body, at + 1, F.lit(PART + WINDOW - 1)).alias("body")))
+    return F.struct(span["start"].alias("start"), limit.alias("limit"), parts.alias("parts"))
+
+
+def _entropy_span(candidate: Column) -> Column:
+    """The candidate's part within windows of high entropy; start < 0 if there is none."""
     zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
-    def step(acc: Column, i: Column) -> Column:
-        full = i > WINDOW
-        start = F.greatest(i - WINDOW + 1, F.lit(1))
-        kept = F.substr(body, start, i - start)
-        leaves, enters = F.substr(body, i - WINDOW, F.lit(1)), F.substr(body, i, F.lit(1))
-        out, into = _count(kept, leaves), _count(kept, enters)
-        total = acc["sum"] + _weight(into + 1) - _weight(into)
-        total = F.when(full, total - _weight(out + 1) + _weight(out)).otherwise(total)
-        hot = (i >= WINDOW) & (total <= limit)
-        first = F.when(hot & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"])
-        return F.struct(total.alias("sum"), first.alias("first"), F.when(hot, i).otherwise(acc["last"]).alias("last"))
-
-    got = F.aggregate(F.sequence(F.lit(1), F.length(body)), zero, step)
-    at = F.transform(F.array(got), lambda g: F.struct(
-        F.when(g["first"] < 0, F.lit(-1)).otherwise(span["start"] + g["first"]).alias("start"),
-        F.lit(4).alias("kind"), (span["start"] + g["last"]).alias("stop"), F.lit("").alias("body")))
+    def scan(part: Column) -> Column:
+        body = part["body"]
+
+        def step(acc: Column, i: Column) -> Column:
+            full = i > WINDOW
+            start = F.greatest(i - WINDOW + 1, F.lit(1))
+            kept = F.substr(body, start, i - start)
+            leaves, enters = F.substr(body, i - WINDOW, F.lit(1)), F.substr(body, i, F.lit(1))
+            out, into = _count(kept, leaves), _count(kept, enters)
+            total = acc["sum"] + _weight(into + 1) - _weight(into)
+            total = F.when(full, total - _weight(out + 1) + _weight(out)).otherwise(total)
+            hot = (i >= WINDOW) & (total <= candidate["limit"])
+            first = F.when(hot & (acc["first"] < 0), i - WINDOW).otherwise(acc["first"])
+            return F.struct(total.alias("sum"), first.alias("first"), F.when(hot, i).otherwise(acc["last"]).alias("last"))
+
+        end = lambda acc: F.struct(acc["first"].alias("first"), (part["at"] + acc["first"]).alias("start"), (part["at"] + acc["last"]).alias("stop"))
+        return F.aggregate(F.sequence(F.lit(1), F.length(body)), zero, step, end)
+
+    hits = F.filter(F.transform(candidate["parts"], scan), lambda x: x["first"] >= 0)
+    at = F.transform(F.array(hits), lambda h: F.struct(
+        F.when(F.size(h) == 0, F.lit(-1)).otherwise(candidate["start"] + F.try_element_at(h, F.lit(1))["start"]).alias("start"),
+        F.lit(4).alias("kind"), (candidate["start"] + F.try_element_at(h, F.lit(-1))["stop"]).alias("stop"), F.lit("").alias("body")))
     return at[0]
 
 
@@ -105,7 +120,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
         _spans(F.col("text"), CANDIDATE, 4, lambda piece: ~piece.rlike(ALLOWED)).alias("strings"),
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
-    rows = rows.withColumn("added", F.when(F.size("strings") > 0, F.filter(F.transform("strings", _entropy_span), lambda s: s["start"] >= 0)).otherwise(none))
+    rows = rows.withColumn("added", F.when(F.size("strings") > 0, F.filter(F.transform(F.transform("strings", _candidate), _entropy_span), lambda s: s["start"] >= 0)).otherwise(none))
     clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
     rows = rows.withColumn("every", F.array_sort(F.concat("base", F.filter("added", clear))))
     return rows.select(

@@ -49,6 +49,14 @@ def test_secrets_equal_a_plain_scan(spark):
     chars = "abcdef0123456789ABCXYZ=:'\" /+-_.AKIA"
     texts = SECRETS + ["".join(r.choice(chars) for _ in range(r.randrange(400))) for _ in range(60)]
     texts += [f"{r.choice(['token', 'Secret', 'pAssword'])} {r.choice('=:')} {''.join(r.choice(chars) for _ in range(30))}" for _ in range(60)]
+    # candidates that end at or about the edges of parts, with one stretch of high entropy anywhere
+    for n in (1, 2):
+        for off in (-2, -1, 0, 1, 18, 19, 20):
+            size = n * secret_scan.PART + off
+            body = ["a", "1"] * (size // 2 + 1)
+            at = r.randrange(size - 19)
+            body[at : at + 20] = r.sample("ABCDEFGHIJKLMNOPQRSTUVWXYZbcdefghijklmnopqrstuvwxyz023456789", 20)
+            texts += [f"é {''.join(body[:size])} x", "".join(r.choice("GHIJKLMNOPQRSTUVWXYZghijklmnop0123") for _ in range(size))]
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, spans int")
     for row in secret_scan.scan_secrets(docs).collect():
         text = texts[row.doc_id] or ""
