@@ -140,7 +140,7 @@ def bm25_floor_avg(spark, d):
     return _search(spark, d, floor_average=True)
 
 
-@query()
+@query(O.bm25(asked=O.cased_tokens("text")))
 def bm25_case_sensitive_query(spark, d):
     return _search(spark, d, canonical=False)
 

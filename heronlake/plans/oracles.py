@@ -20,6 +20,19 @@ def tokens(column: str) -> str:
     return f"list_filter(string_split_regex({cut}, '[{_SEPARATING}{_MARKS}]'), lambda t: regexp_matches(t, '^[a-z0-9]'))"
 
 
+#: Of U+00C0 to U+00FF, what ends a token of a case-keeping query after its first byte; all of U+00A0 to U+00BF end one before it.
+_QUERY_HIGH = {int(b, 16) for b in T.QUERY_HIGH_BYTES.split()}
+_ENDING = "".join(c for c in map(chr, range(0xC0, 0x100)) if c.encode()[1] in _QUERY_HIGH)
+_BETWEEN = "".join(c for c in map(chr, range(0xA0, 0xC0)) if c.encode()[1] in _QUERY_HIGH)
+
+
+def cased_tokens(column: str) -> str:
+    """Tokens of a case-keeping query: bytes outside ASCII that stay in a token keep it from matching."""
+    ended = f"regexp_replace(coalesce({column}, ''), '[{_ENDING}]', chr(1) || ' ', 'g')"
+    cut = f"regexp_replace(regexp_replace({ended}, '[{_BETWEEN}]', ' ', 'g'), '[\u00a0-\u00bf]', ' ' || chr(1), 'g')"
+    return f"list_filter(string_split_regex({cut}, '[{_MARKS}]'), lambda t: t <> '')"
+
+
 _TOKENS = f"toks AS (SELECT doc_id, text, {tokens('text')} AS ts FROM documents)"
 _POSTINGS = f"{_TOKENS}, postings AS (SELECT doc_id, term, CAST(count(*) AS INTEGER) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM toks) GROUP BY doc_id, term)"
 _STATS = "stats AS (SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS INTEGER) AS data_length, CAST(len(list_distinct(ts)) AS INTEGER) AS word_count FROM toks)"
@@ -33,12 +46,12 @@ def _part(length: str, average: str) -> str:
     return f"ln((n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (1.2 * (0.25 + 0.75 * {length} / {average}) + tf)"
 
 
-def bm25(mode: str = "or", length: str = "word_count", average: str | None = None, content: bool = False, k: int = 20) -> str:
+def bm25(mode: str = "or", length: str = "word_count", average: str | None = None, content: bool = False, k: int = 20, asked: str = tokens("text")) -> str:
     average = average or f"avg({length})"
     need = "HAVING count(*) = any_value(n_terms)" if mode == "and" else ""
     head = f"""WITH {_POSTINGS}, {_STATS}, {_LEXICON},
 corpus AS (SELECT count(*) AS n, {average} AS mean FROM stats),
-q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({tokens('text')}) AS term FROM benchmark) GROUP BY query_id, term),
+q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT item_id AS query_id, unnest({asked}) AS term FROM benchmark) GROUP BY query_id, term),
 qn AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM q),
 scored AS (SELECT query_id, doc_id, round(sum(qtf * {_part(length, 'mean')}), 6) AS score
   FROM qn JOIN postings USING (term) JOIN lexicon USING (term) JOIN stats USING (doc_id), corpus GROUP BY query_id, doc_id {need}),

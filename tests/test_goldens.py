@@ -196,3 +196,17 @@ def test_streams(spark, tmp_path):
     assert len(drain(crawl_stream.first_visits(stream()), "firsts")) == 2
     placed = sorted(r.visit_at - 1704067200 for r in drain(crawl_stream.schedule(stream()), "placed") if r.domain == "a.org")
     assert placed == [0.0, 2.0]
+
+
+def test_case_keeping_query_tokens_equal_their_sql_twin(spark):
+    import duckdb
+
+    from heronlake.plans import oracles
+
+    texts = ["für Über Más straße", "«x» 10¼ a·b c¼d", "The CAT naïve Àb foo_bar", "", None, "Ú÷Ý x-y"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    ascii_only = lambda ts: [t for t in ts if t.isascii() and "\x01" not in t]
+    got = {r.i: ascii_only(r.ts) for r in rows.select("i", T.query_tokens(F.col("text"), False).alias("ts")).collect()}
+    one = lambda t: duckdb.execute(f"SELECT {oracles.cased_tokens('x')} FROM (SELECT ?::VARCHAR AS x)", [t]).fetchone()[0]
+    assert got == {i: ascii_only(one(t)) for i, t in enumerate(texts)}
+    assert got[0] == ["r", "ber"]
