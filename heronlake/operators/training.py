@@ -24,21 +24,25 @@ def negative_candidates(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -
 
 
 def negatives(qrels: DataFrame, queries: DataFrame, docs: DataFrame, ratio: int = 10, seed: int = 1, slots: int = 4096) -> DataFrame:
-    """`ratio` negatives per positive of each query, drawn by hash without forming all pairs.
+    """`ratio` negatives per positive of each query, or all candidates where there are fewer, without forming all pairs.
 
-    Documents are dealt into `slots` by hash; each wanted negative names a slot, and one of
-    the slot's first documents in hash order, so the draw is one equi-join. A draw that is judged or
-    repeats is dropped, so a query may get fewer than it asked for.
+    Documents have a place in one hash order, counted within `slots` ranges of it. Each query walks the order, as a ring,
+    from a place of its own: over as many documents as it wants negatives and has judgements, at most all of them. What
+    is not judged of these is enough; the first so many are its negatives. The walk and the places meet in one equi-join.
     """
-    wanted = qrels.filter("rel = 1").join(queries, "query_id", "left_semi").groupBy("query_id").agg((F.count("*") * ratio).alias("n"))
-    draws = wanted.select("query_id", F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("draw"))
-    draws = draws.withColumn("slot", F.pmod(F.xxhash64("query_id", "draw", F.lit(seed)), F.lit(slots)))
-    dealt = docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slots)).alias("slot"))
+    judged = qrels.join(queries, "query_id", "left_semi").select("query_id", "doc_id", "rel")
+    wanted = judged.groupBy("query_id").agg((F.count_if(F.col("rel") == 1) * ratio).alias("n"), F.count("*").alias("n_judged")).filter("n > 0")
+    dealt = docs.select("doc_id").distinct().withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slots)))
     sizes = dealt.groupBy("slot").agg(F.count("*").alias("size"))
-    dealt = dealt.withColumn("nth", F.expr(f"row_number() over (partition by slot order by xxhash64(doc_id, {seed + 1}), doc_id) - 1"))
-    picked = draws.join(sizes, "slot").withColumn("nth", F.pmod(F.xxhash64("draw", "query_id", F.lit(seed + 2)), F.col("size")))
-    pairs = picked.join(dealt, ["slot", "nth"]).select("query_id", "doc_id").distinct()
-    return pairs.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("label", F.lit(0))
+    starts = sizes.select("slot", F.expr("sum(size) over (order by slot) - size").alias("start"))  # at most `slots` rows
+    nth = F.expr(f"row_number() over (partition by slot order by xxhash64(doc_id, {seed + 1}), doc_id) - 1")
+    places = dealt.withColumn("nth", nth).join(F.broadcast(starts), "slot").select((F.col("start") + F.col("nth")).alias("place"), "doc_id")
+    walks = wanted.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("n_docs"))))
+    walks = walks.select("query_id", "n", "n_docs", F.explode(F.expr("sequence(0L, least(n_docs, n + n_judged) - 1)")).alias("step"))
+    walks = walks.withColumn("place", F.pmod(F.pmod(F.xxhash64("query_id", F.lit(seed + 2)), F.col("n_docs")) + F.col("step"), F.col("n_docs")))
+    pairs = walks.join(places, "place").join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    pairs = pairs.withColumn("taken", F.expr("row_number() over (partition by query_id order by step)")).filter("taken <= n")
+    return pairs.select("query_id", "doc_id", F.lit(0).alias("label"))
 
 
 def examples(qrels: DataFrame, queries: DataFrame, docs: DataFrame, ratio: int = 10, seed: int = 1) -> DataFrame:

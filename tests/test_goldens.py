@@ -144,6 +144,21 @@ def test_training(spark, docs):
     assert training.limited(rows, 1, 1).count() <= 2 and {r.label for r in training.label_counts(rows).collect()} <= {0, 1}
 
 
+def test_each_query_gets_all_its_negatives(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"))
+    queries = spark.createDataFrame([(q, "x") for q in range(4)], "query_id long, text string")
+    judged = [(0, d, 1 if d < 3 else 2) for d in range(40)] + [(1, d, 1) for d in range(25)] + [(1, 30, 0), (2, 5, 2), (3, 999, 1), (9, 1, 1)]
+    qrels = spark.createDataFrame(judged, "query_id long, doc_id long, rel int")
+    for slots in (1, 7, 4096):
+        rows = [(r.query_id, r.doc_id) for r in training.negatives(qrels, queries, docs, slots=slots).collect()]
+        assert len(rows) == len(set(rows)) and not set(rows) & {(q, d) for q, d, _ in judged}
+        # 10 for each positive, judged or not in the table; 250 of query 1's 274 candidates; none without positives
+        assert {q: sum(x == q for x, _ in rows) for q in range(4)} == {0: 30, 1: 250, 2: 0, 3: 10}
+    rows = training.negatives(qrels, queries, docs, ratio=20).filter("query_id = 1").collect()
+    assert sorted(r.doc_id for r in rows) == [d for d in range(300) if d >= 25 and d != 30]
+    assert training.negatives(qrels, queries, docs.limit(0)).count() == 0
+
+
 def test_vectors(spark, docs):
     a, b = F.array(F.lit(3.0), F.lit(4.0)), F.array(F.lit(0.0), F.lit(0.0))
     assert one(spark, V.dot(a, a)) == 25.0 and one(spark, V.squared_l2(a, b)) == 25.0
