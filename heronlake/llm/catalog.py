@@ -26,6 +26,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(_read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_counts(_read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
@@ -59,7 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_token_counts, op3_ngram_join, op4_packing, op5_vector_tree, op6_exact_dedup, op7_chat_format, op8_secret_scan, op9_line_dedup, op10_mixing)
+    found = (op1_language_id, op2_token_counts, op3_ngram_join, op4_packing, op5_vector_tree, op6_exact_dedup, op7_chat_format, op8_secret_scan, op9_line_dedup, op10_mixing, op3_ngram_links)
     return {f.__name__: f for f in found}
 
 
@@ -78,6 +82,10 @@ r(doc_id, root) AS (SELECT doc_id, doc_id FROM s UNION SELECT e.b, r.root FROM r
 SELECT s.doc_id, CAST(len(s.g) AS BIGINT) AS n_shingles, c.component_id FROM s
 JOIN (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id) c USING (doc_id)"""
 
+#: The same with the number of a document's links.
+_OP3_LINKS = _OP3.replace("c.component_id FROM s", "c.component_id, coalesce(d.n_links, 0) AS n_links FROM s") + """
+LEFT JOIN (SELECT a AS doc_id, count(*) AS n_links FROM e GROUP BY a) d USING (doc_id)"""
+
 _OP6 = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
 g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY t)
@@ -107,4 +115,4 @@ SELECT doc_id, CAST(coalesce(len(ls), 0) AS BIGINT) AS n_lines, CAST(coalesce(le
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_ngram_join": _OP3, "op6_exact_dedup": _OP6, "op9_line_dedup": _OP9}
+    return {"op3_ngram_join": _OP3, "op3_ngram_links": _OP3_LINKS, "op6_exact_dedup": _OP6, "op9_line_dedup": _OP9}

@@ -20,6 +20,8 @@ prefix shingle's bucket meet the bucket's first few members (1, then 16, 256, ..
 that are in one component already are left out, and buckets that are within one component
 or have been covered retire. Rounds go on until all have, so components are exact, while
 thousands of copies of one text cost about one comparison each instead of all pairs.
+`link_counts` does the whole join: classes of different components don't link, so it then
+compares all pairs of classes within each component, by blocks, and counts every link.
 
 Shingles are compared as 64-bit hashes and sets of one class by 128 bits.
 
@@ -52,6 +54,8 @@ BROADCAST_ROWS = 500_000
 SLICE = 500
 #: How much further into the buckets each round reaches.
 REACH = 16
+#: Classes of a component that are compared with as many others in one group, about.
+BLOCK = 256
 
 #: Columns of the parities of a set's 512 hash ranges.
 PARITY = [f"s{i}" for i in range(8)]
@@ -177,6 +181,20 @@ def _pairs(entries: DataFrame, low: int, high: int, percent: int) -> DataFrame:
 
 def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (least doc_id it links to, at any number of steps)."""
+    _, sets, classes, labels = _joined(docs, k, percent)
+    return _named(sets, classes, labels)
+
+
+def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """`link_components` with n_links: the number of other rows whose document links directly."""
+    docs, sets, classes, labels = _joined(docs, k, percent)
+    sizes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.count("*").alias("size"))
+    classes = cut_lineage(classes.join(sizes, ["k1", "k2"]))
+    return _named(sets, classes.join(_class_links(docs, classes, labels, k, percent), "cid", "left"), labels, "coalesce(size - 1 + coalesce(links, 0), 0) as n_links")
+
+
+def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents, their sets, the classes of equal sets, and the labels of `_labels`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = _hot_shingles(docs, k)
     sets = docs.mapInArrow(_describe(k, percent, hot), _SET).withColumn("row_id", F.monotonically_increasing_id())
@@ -187,16 +205,65 @@ def link_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             F.max(F.size("counted")).alias("n_counted"),
         )
     )
-    labels = _labels(docs, sets, classes, k, percent)
+    return docs, sets, classes, _labels(docs, sets, classes, k, percent)
+
+
+def _named(sets: DataFrame, classes: DataFrame, labels: DataFrame, *more: str) -> DataFrame:
+    """One row per document, with `more` expressions on its class."""
     named = classes.join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     linked = named.join(labels.select("label").distinct(), "label", "left_semi")
     least = linked.groupBy("label").agg(F.min("class_doc").alias("least_doc"))
-    named = named.join(least, "label", "left").select("k1", "k2", F.coalesce("least_doc", "class_doc").alias("component_id"))
-    return sets.join(named, ["k1", "k2"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    named = named.join(least, "label", "left").withColumn("component_id", F.coalesce("least_doc", "class_doc")).drop("n")
+    return sets.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        *map(F.expr, more),
     )
 
 
+def _class_links(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int, percent: int) -> DataFrame:
+    """(cid, links): rows of other classes that link with the class. All pairs within a component of over two classes are compared."""
+    counts = labels.groupBy("label").agg(F.count("*").alias("n_classes")).filter("n_classes > 1")
+    members = cut_lineage(labels.join(counts, "label").join(classes.select("cid", "class_doc", "k1", "k2", "size"), "cid"))
+    two = members.filter("n_classes = 2")
+    two = two.join(two.groupBy("label").agg(F.sum("size").alias("both")), "label").selectExpr("cid", "both - size as links")
+    many = members.filter("n_classes > 2")
+    dealt = many.withColumn("n_blocks", F.ceil(F.col("n_classes") / BLOCK)).withColumn("block", F.expr("pmod(xxhash64(cid), n_blocks)"))
+    dealt = dealt.join(_sets_of(docs, many, k), "cid").withColumn("other", F.explode(F.expr("sequence(0L, n_blocks - 1)")))
+    met = dealt.select("label", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "cid", "size", "shingles")
+    found = met.groupBy("label", "i", "j").applyInArrow(_count_links(percent), "cid long, links long")
+    return cut_lineage(two.unionByName(found.groupBy("cid").agg(F.sum("links").alias("links"))))
+
+
+def _count_links(percent: int):
+    """Sums of the sizes that link, over the pairs between two blocks of classes or within one."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        i, j = key[1].as_py(), key[2].as_py()
+        block, size = rows.column("block").to_numpy(), rows.column("size").to_numpy()
+        sets = rows.column("shingles").combine_chunks()
+        n = sets.value_lengths().to_numpy().astype(np.int64)
+        tokens, token = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        ends, owner = np.cumsum(n), np.repeat(np.arange(len(n)), n)
+        right = block[owner] == j
+        held = owner[right][np.argsort(token[right], kind="stable")]  # classes of block j by shingle
+        count = np.bincount(token[right], minlength=len(tokens))
+        start = np.cumsum(count) - count
+        links = np.zeros(len(n), np.int64)
+        for a in np.flatnonzero(block == i):
+            own = token[ends[a] - n[a] : ends[a]]
+            many = count[own]
+            at = np.repeat(start[own] - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common = np.bincount(held[at], minlength=len(n))
+            linked = (common > 0) & ((100 + percent) * common >= percent * (n[a] + n))
+            linked[a] = False
+            links[a] += size[linked].sum()
+            if i != j:
+                links[linked] += size[a]
+        return pa.table({"cid": rows.column("cid"), "links": pa.array(links)})
+
+    return run
+
+
 def _few(rows: DataFrame) -> DataFrame:
     """Marked for broadcast where its size is bounded."""
     return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows

@@ -95,6 +95,26 @@ def test_many_near_copies_are_one_component(spark):
     assert {r.doc_id: r.component_id for r in rows} == {i: x[1] for i, x in brute_components(texts, 4, 85).items()}
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_every_link_is_counted(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    texts = corpus()
+    for i in range(60):
+        c = list(base)
+        for _ in range(r.choice([0, 1, 1, 2, 3])):
+            c[r.randrange(80)] = f"u{r.randrange(10**6)}"
+        texts.append((1000 + i, " ".join(c)))
+    sets = {i: grams(t, 4) for i, t in texts}
+    linked = lambda a, b: a != b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    want = {a: (*x, sum(bool(linked(a, b)) for b in sets)) for a, x in brute_components(texts, 4, 85).items()}
+    rows = ngram_join.link_counts(frame(spark, texts), 4, 85).collect()
+    assert {x.doc_id: (x.n_shingles, x.component_id, x.n_links) for x in rows} == want
+    group = [n for i, (_, c, n) in want.items() if c == 1000]
+    assert len(group) > 30 and sum(group) < len(group) * (len(group) - 1)  # a large component, but not all of its pairs
+
+
 def test_hot_shingles_do_not_change_links(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_SHARE", 0.0)
     monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
