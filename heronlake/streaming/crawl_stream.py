@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import pickle
+import tempfile
 from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -12,6 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from heronlake.functions import url as U
 from heronlake.session import shared_folder
 
+#: Rows of one domain that a task sorts at once; beyond, sorted runs are spilled and merged by pieces of so many rows.
+RUN, PIECE = 200_000, 2000
+
 
 def first_visits(visits: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
     """Visits(url, ts) whose page identity is new; identities are remembered for `delay` of event time."""
@@ -19,21 +26,59 @@ def first_visits(visits: DataFrame, at: str = "ts", delay: str = "1 hour") -> Da
     return rows.dropDuplicatesWithinWatermark(["min_url"])
 
 
+def _in_order(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:
+    """The rows (url, domain, wanted_at) of all batches by time and URL, as one order over several frames."""
+    parts: list[pd.DataFrame] = []
+    runs: list[list[int]] = []
+    by_time = lambda: pd.concat(parts, ignore_index=True).sort_values(["wanted_at", "url"])
+    with tempfile.TemporaryFile() as spilled:
+
+        def spill() -> None:
+            rows, places = by_time(), []
+            for at in range(0, len(rows), PIECE):
+                places.append(spilled.seek(0, 2))
+                pickle.dump(rows.iloc[at : at + PIECE], spilled)
+            runs.append(places)
+            parts.clear()
+
+        def read(places: list[int]) -> Iterator[tuple]:
+            for at in places:
+                spilled.seek(at)
+                yield from pickle.load(spilled).itertuples(index=False, name=None)
+
+        for batch in batches:
+            parts.append(batch[["url", "domain", "wanted_at"]])
+            if sum(map(len, parts)) >= run:
+                spill()
+        if not runs:
+            if parts:
+                yield by_time()
+            return
+        if parts:
+            spill()
+        # as in sort_values, missing times and URLs come last
+        merged = heapq.merge(*map(read, runs), key=lambda r: (r[2] != r[2], r[2] if r[2] == r[2] else 0.0, r[0] is None, r[0] or ""))
+        while rows := list(islice(merged, PIECE)):
+            yield pd.DataFrame(rows, columns=["url", "domain", "wanted_at"])
+
+
 def schedule(visits: DataFrame, least: float = 2.0, delay: str = "1 hour") -> DataFrame:
     """(url, domain, wanted_at, visit_at): each domain's visits, `least` seconds apart.
 
+    A domain's visits of one trigger are placed in the order of (wanted_at, url), over all batches they come in.
     State: the domain's last visit, until the watermark (`delay` behind the latest visit) has passed it by an hour.
     """
     marked = visits.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
     rows = marked.select("url", U.domain(F.col("url")).alias("domain"), "ts", F.col("ts").cast("double").alias("wanted_at"))
 
+    run = RUN
+
     def place(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         last = state.get[0] if state.exists else float("-inf")
-        for batch in batches:
-            batch = batch.sort_values(["wanted_at", "url"])
+        for batch in _in_order(batches, run):
             out = []
             for t in batch.wanted_at:
                 last = max(t, last + least)

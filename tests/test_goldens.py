@@ -213,6 +213,39 @@ def test_streams(spark, tmp_path):
     assert placed == [0.0, 2.0]
 
 
+@pytest.mark.parametrize("run", [4, 200_000])
+def test_a_host_of_many_batches_is_scheduled_in_one_order(spark, tmp_path, monkeypatch, run):
+    monkeypatch.setattr(crawl_stream, "RUN", run)
+    rows = [(f"http://a.org/{i % 7}", 1704067200 + (i * 37) % 50) for i in range(50)]
+    spark.createDataFrame(rows, "url string, s long").select("url", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("url string, ts timestamp").parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        found = [(r.wanted_at, r.url, r.visit_at) for r in crawl_stream.drain(crawl_stream.schedule(stream)).collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want, last = [], 0.0
+    for url, at in sorted(rows, key=lambda r: (r[1], r[0])):
+        last = max(float(at), last + 2)
+        want.append((float(at), url, last))
+    assert sorted(found) == want
+
+
+def test_order_over_spilled_runs_equals_one_sort(monkeypatch):
+    import random
+
+    import pandas as pd
+
+    monkeypatch.setattr(crawl_stream, "PIECE", 3)
+    r = random.Random(1)
+    rows = [(r.choice(["a", "b", "é", None]), "d", r.choice([0.0, 1.0, 2.5, float("nan")])) for _ in range(40)]
+    frame = pd.DataFrame(rows, columns=["url", "domain", "wanted_at"])
+    batches = lambda: (frame.iloc[at : at + 4] for at in range(0, 40, 4))
+    whole, parts = (pd.concat(crawl_stream._in_order(batches(), run), ignore_index=True) for run in (10**6, 8))
+    assert whole.fillna("-").values.tolist() == parts.fillna("-").values.tolist()
+
+
 def test_case_keeping_query_tokens_equal_their_sql_twin(spark):
     import duckdb
 
