@@ -60,7 +60,7 @@ BLOCK = 256
 #: Columns of the parities of a set's 512 hash ranges.
 PARITY = [f"s{i}" for i in range(8)]
 
-_SET = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in PARITY) + ", counted array<long>, rest array<long>"
+_SET = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in PARITY) + ", counted array<long>, rest array<long>, text_key long"
 
 
 def _texts(batch: pa.RecordBatch) -> list[bytes]:
@@ -111,7 +111,8 @@ def _describe(k: int, percent: int, hot: np.ndarray):
                 for to, x in zip(rows, (doc, len(s), *name, *_parities(s), counted, rest), strict=True):
                     to.append(x)
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * len(PARITY), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=True)], [f.split()[0] for f in _SET.split(", ")])
+            columns = [*[pa.array(r, t) for r, t in zip(rows, types, strict=True)], batch.column("text_key")]
+            yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SET.split(", ")])
 
     return run
 
@@ -197,7 +198,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
     """The documents, their sets, the classes of equal sets, and the labels of `_labels`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     hot = _hot_shingles(docs, k)
-    sets = docs.mapInArrow(_describe(k, percent, hot), _SET).withColumn("row_id", F.monotonically_increasing_id())
+    sets = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(k, percent, hot), _SET).withColumn("row_id", F.monotonically_increasing_id())
     sets = cut_lineage(sets)
     classes = cut_lineage(
         sets.filter("n > 0").groupBy("k1", "k2").agg(
@@ -214,7 +215,7 @@ def _named(sets: DataFrame, classes: DataFrame, labels: DataFrame, *more: str) -
     linked = named.join(labels.select("label").distinct(), "label", "left_semi")
     least = linked.groupBy("label").agg(F.min("class_doc").alias("least_doc"))
     named = named.join(least, "label", "left").withColumn("component_id", F.coalesce("least_doc", "class_doc")).drop("n")
-    return sets.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left").select(
+    return sets.select("doc_id", "n", "k1", "k2", "text_key").join(named, ["k1", "k2"], "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         *map(F.expr, more),
     )
@@ -323,8 +324,11 @@ def _sets_of(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The input's rows and columns with one document of each component: that of the least doc_id.
 
-    Rows whose doc_id is null or repeated are kept: nothing tells them apart.
+    Rows whose doc_id is null are kept. Rows of one doc_id are told apart by their texts; those in a component that
+    the doc_id itself names are all kept.
     """
-    found = cut_lineage(link_components(docs, k, percent))
-    gone = found.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(_few(gone), "doc_id", "left_anti").select(docs.columns)
+    _, sets, classes, labels = _joined(docs, k, percent)
+    found = cut_lineage(_named(sets, classes, labels, "text_key"))
+    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
+    same = (F.col("doc_id").cast("long") == F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
+    return docs.join(_few(gone), same, "left_anti").select(docs.columns)

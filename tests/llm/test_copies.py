@@ -140,6 +140,13 @@ def test_near_copies_are_dropped_whole(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, (_, c) in brute_components(texts, 5, 80).items() if i == c)
 
 
+def test_a_clean_text_outlives_a_near_copy_of_its_doc_id(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, near), (5, near + " end"), (5, "clean and other words that nobody else uses"), (6, near + " stop"), (7, None), (7, near)])
+    kept = sorted(((r.doc_id, r.text) for r in ngram_join.drop_near_copies(docs).collect()), key=str)
+    assert kept == [(1, near), (5, "clean and other words that nobody else uses"), (7, None)]
+
+
 @pytest.mark.parametrize("small", [0, 500_000])
 def test_components_of_a_path_and_a_star(spark, monkeypatch, small):
     monkeypatch.setattr(component_module, "SMALL", small)
