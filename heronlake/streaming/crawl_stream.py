@@ -20,10 +20,12 @@ from heronlake.session import shared_folder
 RUN, PIECE = 200_000, 2000
 
 
-def first_visits(visits: DataFrame, at: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """Visits(url, ts) whose page identity is new; identities are remembered for `delay` of event time."""
-    rows = visits.withColumn("min_url", U.minimize(F.col("url"))).withWatermark(at, delay)
-    return rows.dropDuplicatesWithinWatermark(["min_url"])
+def first_visits(visits: DataFrame, at: str = "ts", delay: str | None = None) -> DataFrame:
+    """Visits(url, ts) whose page identity is new. Identities are remembered for ever, or for `delay` of event time where it is given."""
+    rows = visits.withColumn("min_url", U.minimize(F.col("url")))
+    if delay is None:
+        return rows.dropDuplicates(["min_url"])
+    return rows.withWatermark(at, delay).dropDuplicatesWithinWatermark(["min_url"])
 
 
 def _in_order(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFrame]:

@@ -213,6 +213,16 @@ def test_streams(spark, tmp_path):
     assert placed == [0.0, 2.0]
 
 
+def test_a_visit_is_given_out_once_however_late_it_repeats(spark, tmp_path):
+    for day in (1, 5, 9):  # each run reads one more file; the watermark passes between them
+        rows = [("http://a.org/x", f"2024-01-0{day} 00:00:00"), (f"http://a.org/{day}", f"2024-01-0{day} 00:00:00")]
+        spark.createDataFrame(rows, "url string, ts string").select("url", F.col("ts").cast("timestamp").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = crawl_stream.first_visits(spark.readStream.schema("url string, ts timestamp").parquet(str(tmp_path / "in")))
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert q.awaitTermination(90)
+    assert sorted(r.min_url for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["//a.org/1", "//a.org/5", "//a.org/9", "//a.org/x"]
+
+
 @pytest.mark.parametrize("run", [4, 200_000])
 def test_a_host_of_many_batches_is_scheduled_in_one_order(spark, tmp_path, monkeypatch, run):
     monkeypatch.setattr(crawl_stream, "RUN", run)
