@@ -5,14 +5,19 @@ and are sequences of their own; what is left of each text is an item with a size
 dimensions: tokens, segments and loss-bearing tokens. Items wait in a pool of bounded
 size. A sequence takes, again and again, the item whose size vector has the largest dot
 product with the room left, among those that fit in all dimensions; when none fits, one
-waiting item is cut so that its first part fills the sequence. So only a task's last
-sequence is padded, and a text never leaves the task that reads it: no shuffle, and a task
-that is run again gives the same rows.
+waiting item is cut so that its first part fills the sequence. A task's last tokens, too few
+for a whole sequence, fill sequences of falling powers of two. So nothing is padded unless
+the limit on segments or on loss closes a sequence early, however small the partitions are.
+A text never leaves the task that reads it: no shuffle, and a task that is run again gives
+the same rows.
 
 Defined cases: null text counts as empty and gives the closing id alone. Null doc_ids are
-carried. Repeated rows are packed like any others. An empty table gives no rows. Texts of
-any length are cut as they come. `prompt_col` names a column with the count of leading
-tokens that bear no loss (null: 0); without it every token bears loss.
+carried; rows that repeat a doc_id, or a whole row, are packed each on its own, and their
+pieces can be told apart by sequence and offset only. An empty table gives no rows. Texts of
+any length are tokenised in parts of about 1 MB, cut at white space (a longer piece without
+white space is tokenised at once), and cut as they come. Columns other than those named in
+the call are ignored, whatever their names are. A null or negative prompt counts as 0, a
+prompt beyond the text as its length.
 """
 
 from __future__ import annotations
@@ -21,7 +26,6 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +33,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm import worker
 from heronlake.llm.token_counts import byte_symbols
 
-#: Words whose ids a worker remembers, and items that wait in a task.
-MEMORY, POOL = 450_000, 1024
+#: Items that wait in a task; more only while they are fewer tokens than a sequence holds.
+POOL = 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
@@ -40,9 +45,6 @@ _CLOSING = ".,;:!?|"
 _PROBES = ("word", "Words.", "THE", "naïve", "Ünïcode,", "Œuvre!?", "straße", "a", "éé:;", "ÿŝž|")
 _BYTE_LETTERS = {b: c for c, b in byte_symbols().items()}
 
-_state: dict = {}
-
-
 def vocabulary_path() -> str:
     import public_tokenizers
 
@@ -53,20 +55,21 @@ class WordEncoder:
     """Ids of whole texts, by remembered ids of the pieces between ASCII white space.
 
     The vocabulary's normaliser and splitter never reach across white space, so a text's
-    ids are those of its pieces one after the other.
+    ids are those of its pieces one after the other. What is remembered is bounded in bytes.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = worker.MEMORY):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[bytes, bytes] = {}
+        self.known = worker.Remembered(memory)
         mark = self.tokenizer.encode("\x01", add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
-        self.closings: dict[bytes, bytes] = {}
+        self.closings: dict[str, bytes] = {}
         # the short way is taken only if it agrees with the whole tokenizer on these
         probes = [w.encode() for w in _PROBES]
-        self.latin = sys.byteorder == "little" and all(self._plain(w) == x for w, x in zip(probes, self._fresh(probes), strict=True))
+        short = self._plain(probes) if sys.byteorder == "little" else {}
+        self.latin = [short.get(w) for w in probes] == self._fresh(probes)
 
     def _fresh(self, words: list[bytes]) -> list[bytes]:
         """Ids of pieces: of many at once between marks, where no piece holds the mark."""
@@ -82,52 +85,52 @@ class WordEncoder:
             last = end + 1
         return out
 
-    def _plain(self, piece: bytes) -> bytes | None:
-        """Ids of a piece of Latin letters and closing punctuation, from the vocabulary's model alone.
+    def _plain(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of the pieces of Latin letters and closing punctuation, from the vocabulary's model alone.
 
         For these the normaliser only lower-cases and the splitter parts letters from the rest.
         """
-        text = piece.decode().lower()
-        word = text.rstrip(_CLOSING)
-        if not (word.isalpha() and max(word) < "\u0180"):
-            return None
-        letters = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_LETTERS)
-        ids = array("I", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
-        if len(word) == len(text):
-            return ids
-        closing = text[len(word) :].encode()
-        if closing not in self.closings:
-            self.closings[closing] = self._fresh([closing])[0]
-        return ids + self.closings[closing]
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit integers."""
-        split = [t.split() for t in texts]
-        known = self.ids
-        words = set(chain.from_iterable(split))
-        new = words.difference(known)
-        if len(known) + len(new) > MEMORY:
-            known.clear()
-            self.closings.clear()
-            new = words
-        other = []
-        for w in new:
-            found = self._plain(w) if self.latin else None
-            if found is None:
-                other.append(w)
+        tokenize, closings, out = self.tokenizer.model.tokenize, self.closings, {}
+        lower = b"\n".join(pieces).decode().lower().split("\n")  # no piece holds a line feed
+        for piece, text in zip(pieces, lower, strict=True):
+            word = text.rstrip(_CLOSING)
+            if not word.isalpha():
+                continue
+            if word.isascii():
+                letters = word
+            elif max(word) < "\u0180":
+                letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
             else:
-                known[w] = found
+                continue
+            ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            if len(word) != len(text):
+                closing = text[len(word) :]
+                if closing not in closings:
+                    if len(closings) >= 10_000 or len(closing) > worker.LONGEST:
+                        continue
+                    closings[closing] = self._fresh([closing.encode()])[0]
+                ids += closings[closing]
+            out[piece] = ids
+        return out
+
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, bytes]:
+        found = self._plain(pieces) if self.latin and pieces else {}
+        other = [w for w in pieces if w not in found]
         for at in range(0, len(other), 1000):
             part = other[at : at + 1000]
-            known.update(zip(part, self._fresh(part), strict=True))
-        get = known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+            found.update(zip(part, self._fresh(part), strict=True))
+        return found
 
+    def _encode(self, texts: list[bytes]) -> list[bytes]:
+        split = [t.split() for t in texts]
+        get = self.known.lookup(worker.words(split), self._learn).__getitem__
+        return [b"".join(map(get, w)) for w in split]
 
-def _encoder(path: str) -> WordEncoder:
-    if _state.get("path") != path:
-        _state.update(path=path, encoder=WordEncoder(path))
-    return _state["encoder"]
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        if sum(map(len, texts)) <= 2 * worker.SIZE:
+            return self._encode(texts)
+        return [b"".join(self._encode([part])[0] for part in worker.parts(t)) for t in texts]
 
 
 class Packer:
@@ -136,7 +139,7 @@ class Packer:
     def __init__(self, capacity: int, max_segments: int, max_loss: int, first_sequence: int):
         self.room = np.array([capacity, max_segments, max_loss], np.int64)
         self.scale = 1.0 / self.room
-        self.sequence = first_sequence
+        self.sequence, self.tokens = first_sequence, 0
         self.items: list[tuple] = []  # (doc_id, start, prompt left, ids, doc_tokens)
         self.rows: list[tuple] = []
 
@@ -162,36 +165,53 @@ class Packer:
             self.sequence += 1
         if item[3]:
             self.items.append(item)
-        if len(self.items) >= POOL:
+            self.tokens += len(item[3]) // 4
+        if len(self.items) >= POOL and self.tokens >= 2 * self.room[0]:
             self.fill(POOL // 2)
 
     def fill(self, keep: int) -> None:
-        """Finish sequences until at most `keep` items wait."""
-        items = self.items
-        size = np.array([(len(x[3]) // 4, 1, self._loss(x)) for x in items], np.int64).reshape(-1, 3)
-        free, n_free = np.ones(len(items), bool), len(items)
-        while n_free > keep:
-            left, offset = self.room.copy(), 0
-            while n_free:
-                fits = free & (size <= left).all(axis=1)
-                if fits.any():
-                    at = int(np.argmax(np.where(fits, (size * self.scale) @ (left * self.scale), -1.0)))
-                    item, free[at], n_free = items[at], False, n_free - 1
-                else:
-                    at = int(np.argmax(np.where(free, size[:, 0], -1)))
-                    n = self._most(items[at], left)
-                    if n < 1:
-                        break
-                    item, items[at] = self._cut(items[at], n)
-                    size[at] = (len(items[at][3]) // 4, 1, self._loss(items[at]))
-                self._put(item, offset)
-                n = len(item[3]) // 4
-                left -= (n, 1, self._loss(item))
-                offset += n
-                if left[0] == 0:
+        """Finish sequences until at most `keep` items wait, or fewer tokens than a sequence holds."""
+        sizes = np.array([(len(x[3]) // 4, 1, self._loss(x)) for x in self.items], np.int64).reshape(-1, 3)
+        free = np.ones(len(self.items), bool)
+        while free.sum() > keep and self.tokens >= self.room[0]:
+            self._sequence(sizes, free, self.room)
+        self.items = [x for x, f in zip(self.items, free, strict=True) if f]
+
+    def flush(self) -> None:
+        """Finish all sequences. The last tokens, too few for a whole sequence, make sequences of falling powers of
+        two, so that none of them is padded unless the limits on segments or loss close it early."""
+        self.fill(0)
+        while self.items:
+            sizes = np.array([(len(x[3]) // 4, 1, self._loss(x)) for x in self.items], np.int64).reshape(-1, 3)
+            free = np.ones(len(self.items), bool)
+            room = self.room.copy()
+            room[0] = min(room[0], 1 << (self.tokens.bit_length() - 1))
+            self._sequence(sizes, free, room)
+            self.items = [x for x, f in zip(self.items, free, strict=True) if f]
+
+    def _sequence(self, size: np.ndarray, free: np.ndarray, room: np.ndarray) -> None:
+        """Fill one sequence from the waiting items that are `free`."""
+        items, left, offset = self.items, room.copy(), 0
+        while left[0]:
+            fits = free & (size <= left).all(axis=1)
+            if fits.any():
+                at = int(np.argmax(np.where(fits, (size * self.scale) @ (left * self.scale), -1.0)))
+                item, free[at] = items[at], False
+            else:
+                if not free.any():
                     break
-            self.sequence += 1
-        self.items = [x for x, f in zip(items, free, strict=True) if f]
+                at = int(np.argmax(np.where(free, size[:, 0], -1)))
+                n = self._most(items[at], left)
+                if n < 1:
+                    break
+                item, items[at] = self._cut(items[at], n)
+                size[at] = (len(items[at][3]) // 4, 1, self._loss(items[at]))
+            self._put(item, offset)
+            n = len(item[3]) // 4
+            left -= (n, 1, self._loss(item))
+            offset += n
+            self.tokens -= n
+        self.sequence += 1
 
     def taken(self) -> list[tuple]:
         rows, self.rows = self.rows, []
@@ -200,7 +220,7 @@ class Packer:
 
 def _pack(path: str, end_id: int, capacity: int, max_segments: int, max_loss: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = worker.owned("packing", (path,), lambda: WordEncoder(path)), np.array([end_id], "<u4").tobytes()
         packer = Packer(capacity, max_segments, max_loss, TaskContext.get().partitionId() << 40)
         schema = pa.schema([(f.split()[0], pa.int64()) for f in SCHEMA.split(", ")])
 
@@ -208,25 +228,29 @@ def _pack(path: str, end_id: int, capacity: int, max_segments: int, max_loss: in
             rows = packer.taken()
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 8)], schema=schema)
 
-        for batch in batches:
-            docs, prompts = batch.column("doc_id").to_pylist(), batch.column("prompt").to_pylist()
-            texts = batch.column("text").cast(pa.binary())
-            for at in range(0, batch.num_rows, 500):
-                ids = encoder.encode([t or b"" for t in texts.slice(at, 500).to_pylist()])
-                for doc, prompt, x in zip(docs[at : at + 500], prompts[at : at + 500], ids, strict=True):
-                    packer.add((doc, 0, prompt or 0, x + end, len(x) // 4 + 1))
-            yield out()
-        packer.fill(0)
+        for batch in worker.slices(batches):
+            asked, ids = encoder.encode(worker.texts(batch, "ask")), encoder.encode(worker.texts(batch))
+            for doc, prompt, a, x in zip(batch.column("doc_id").to_pylist(), batch.column("prompt").to_pylist(), asked, ids, strict=True):
+                packer.add((doc, 0, max(0, prompt or 0) + len(a) // 4, a + x + end, (len(a) + len(x)) // 4 + 1))
+            if len(packer.rows) >= 5000:
+                yield out()
+        packer.flush()
         yield out()
+        worker.give_back()
 
     return run
 
 
 def pack(
-    docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 2048, max_segments: int = 64,
-    max_loss: int | None = None, prompt_col: str | None = None,
+    docs: DataFrame, path: str | None = None, end_id: int = 1, capacity: int = 2048, max_segments: int | None = None,
+    max_loss: int | None = None, prompt_col: str | None = None, ask_col: str | None = None,
 ) -> DataFrame:
-    """One row per piece: its document and place there, its ids' CRC-32, its sequence and place there."""
+    """One row per piece: its document and place there, its ids' CRC-32, its sequence and place there.
+
+    `max_segments` and `max_loss` are as wide as `capacity` unless they are given. `prompt_col`: number of a text's
+    leading tokens that bear no loss. `ask_col`: text whose ids come before the text's and bear no loss.
+    """
     prompt = F.col(prompt_col).cast("long") if prompt_col else F.lit(None).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), prompt.alias("prompt"))
-    return rows.mapInArrow(_pack(path or vocabulary_path(), end_id, capacity, max_segments, max_loss or capacity), SCHEMA)
+    ask = F.col(ask_col).cast("string") if ask_col else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), prompt.alias("prompt"), ask.alias("ask"))
+    return rows.mapInArrow(_pack(path or vocabulary_path(), end_id, capacity, max_segments or capacity, max_loss or capacity), SCHEMA)

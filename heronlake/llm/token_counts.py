@@ -4,14 +4,16 @@ The vocabulary becomes a trie over bytes plus an end-of-word mark. Each node has
 link and the number of tokens that are popped on the way there, so one pass over a word
 gives the number of pieces that greedy longest-match-first splitting would make, without
 making them. Each step either reads a symbol or pops tokens, so a word takes linear time.
-Counts of the pieces between white space are remembered up to a bound.
+Counts of the pieces between white space are remembered up to a bound in bytes.
 
 Words are found as the vocabulary's own splitter finds them: lower-cased runs of letters,
 single digits, runs of other symbols, and the English contractions.
 
 Defined cases: null and empty texts have no words and no tokens; null doc_ids are carried
 and repeated rows repeat. A word with a symbol that no token begins with counts as one
-unknown token.
+unknown token. Texts of any length are read whole, in parts of about 1 MB cut at white space
+(a longer piece without white space is one part). An empty table gives no rows. Columns other
+than doc_id and text are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -25,12 +27,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pieces between white space whose counts a worker remembers.
-MEMORY = 600_000
+from heronlake.llm import worker
 
 END = 256
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-_state: dict = {}
 
 
 def byte_symbols() -> dict[str, int]:
@@ -108,47 +108,46 @@ class Automaton:
 
 
 class Counter:
-    """(words, tokens) of texts."""
+    """(words, tokens) of texts. Counts of the pieces between white space are remembered, bounded in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = worker.MEMORY):
         tokens = vocabulary(path)
         self.end = (END,) if any(t[-1] == END for t in tokens) else ()
         self.automaton = Automaton(tokens)
-        self.known: dict[bytes, tuple[int, int]] = {}
+        self.known = worker.Remembered(memory, lambda values: 32 * len(values))
 
-    def piece(self, piece: bytes) -> tuple[int, int]:
+    def piece(self, piece: bytes) -> int:
+        """Words << 32 | tokens of a piece."""
         words = _WORDS.findall("".join(c.lower() for c in unicodedata.normalize("NFC", piece.decode())))
-        found = len(words), sum(self.automaton.count((*w.encode(), *self.end)) for w in words)
-        if len(self.known) >= MEMORY:
-            self.known.clear()
-        self.known[piece] = found
-        return found
+        return len(words) << 32 | sum(self.automaton.count((*w.encode(), *self.end)) for w in words)
 
-    def text(self, text: bytes) -> tuple[int, int]:
-        words = tokens = 0
-        get, make = self.known.get, self.piece
-        for piece in text.split():
-            w, t = get(piece) or make(piece)
-            words += w
-            tokens += t
-        return words, tokens
+    def _learn(self, pieces: list[bytes]) -> dict[bytes, int]:
+        return {p: self.piece(p) for p in pieces}
 
+    def _texts(self, texts: list[bytes]) -> list[int]:
+        split = [t.split() for t in texts]
+        get = self.known.lookup(worker.words(split), self._learn).__getitem__
+        return [sum(map(get, w)) for w in split]
 
-def _counter(path: str) -> Counter:
-    if _state.get("path") != path:
-        _state.update(path=path, counter=Counter(path))
-    return _state["counter"]
+    def texts(self, texts: list[bytes]) -> list[tuple[int, int]]:
+        """(words, tokens) of each text."""
+        if sum(map(len, texts)) <= 2 * worker.SIZE:
+            sums = self._texts(texts)
+        else:
+            sums = [sum(self._texts([part])[0] for part in worker.parts(t)) for t in texts]
+        return [(x >> 32, x & 0xFFFFFFFF) for x in sums]
 
 
 def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(path)
-        for batch in batches:
-            found = [counter.text(x or b"") for x in batch.column("text").cast(pa.binary()).to_pylist()]
+        counter = worker.owned("token_counts", (path,), lambda: Counter(path))
+        for batch in worker.slices(batches):
+            found = counter.texts(worker.texts(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())],
                 ["doc_id", "n_words", "n_tokens"],
             )
+        worker.give_back()
 
     return run
 

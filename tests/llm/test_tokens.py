@@ -2,12 +2,13 @@
 
 import json
 import random
+import sys
 import zlib
 
 import numpy as np
 import pytest
 
-from heronlake.llm import packing, token_counts
+from heronlake.llm import packing, token_counts, worker
 
 
 @pytest.fixture(scope="module")
@@ -80,9 +81,84 @@ def test_every_id_is_packed_once(spark, path):
     t = Tokenizer.from_file(path)
     ids = {i: [*t.encode(x or "", add_special_tokens=False).ids, 1] for i, x in enumerate(texts)}
     rows = packing.pack(frame(spark, texts)).collect()
-    sequences = check_packing(rows, ids, 2048, 64)
-    total = sum(map(len, ids.values()))
-    assert len(sequences) <= total // 2048 + 1 + 3  # one part-filled sequence a task
+    check_unpadded(check_packing(rows, ids, 2048, 2048))
+
+
+def check_unpadded(sequences):
+    sizes = [sum(r.length for r in own) for own in sequences.values()]
+    assert all(n & (n - 1) == 0 for n in sizes)
+    return sizes
+
+
+def test_short_texts_are_not_padded(spark):
+    rows = packing.pack(frame(spark, ["a b c d", None, ""] * 1500)).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.sequence_id, []).append(r)
+    sizes = check_unpadded(by)
+    assert sum(sizes) == 1500 * 7 and sizes.count(2048) >= 1500 * 7 // 2048 - 3
+
+
+def test_odd_ids_and_clashing_columns(spark, path):
+    rows = [(None, "one two", "x"), (None, None, "x"), (3, "same", "x"), (3, "same", "x"), (3, "other text", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id string").selectExpr("*", "1 as ask", "'y' as offset", "2 as prompt").coalesce(1)
+    got = packing.pack(docs).collect()
+    ids = packing.WordEncoder(path).encode([(t or "").encode() for _, t, _ in rows])
+    whole = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        whole.setdefault(r.doc_id, []).append(r.length)
+    assert sum(whole[None]) == sum(len(x) // 4 + 1 for x in ids[:2]) and sum(whole[3]) == sum(len(x) // 4 + 1 for x in ids[2:])
+    counted = token_counts.count_tokens(docs.withColumn("n_words", docs["text"])).collect()
+    assert sorted((r.doc_id is None, r.n_words, r.n_tokens) for r in counted) == sorted((d is None, len((t or "").split()), len(x) // 4) for (d, t, _), x in zip(rows, ids, strict=True))
+
+
+def test_asks_bear_no_loss(spark, path):
+    encoder = packing.WordEncoder(path)
+    pairs = [(i, "what is this " * (i % 9), "an answer " * (i % 5 + 1)) for i in range(200)] + [(200, None, None), (201, "q " * 90, "a " * 9000)]
+    docs = spark.createDataFrame(pairs, "doc_id long, ask string, text string").repartition(3)
+    rows = packing.pack(docs, max_segments=24, max_loss=256, capacity=512, ask_col="ask").collect()
+    ids = {d: np.frombuffer(encoder.encode([(q or "").encode()])[0] + encoder.encode([(a or "").encode()])[0], "<u4").tolist() + [1] for d, q, a in pairs}
+    asked = {d: len(encoder.encode([(q or "").encode()])[0]) // 4 for d, q, a in pairs}
+    sequences = check_packing(rows, ids, 512, 24)
+    assert all(sum(r.loss_tokens for r in own) <= 256 for own in sequences.values())
+    for r in rows:
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, asked[r.doc_id]))
+    # each limit closes some sequence
+    for of, most in (("length", 512), ("loss_tokens", 256)):
+        assert any(sum(r[of] for r in own) == most for own in sequences.values())
+    assert any(len(own) == 24 for own in sequences.values())
+
+
+def test_memory_is_bounded_in_bytes(path):
+    r = random.Random(1)
+    unspaced = "".join(chr(r.randrange(0x4E00, 0x9F00)) for _ in range(3000))
+    texts = [unspaced.encode()] + [" ".join("".join(r.choice("abcdefgh") for _ in range(40)) for _ in range(400)).encode() for _ in range(40)]
+    for found in (packing.WordEncoder(path, 1 << 20), token_counts.Counter(path, 1 << 20)):
+        run = found.encode if hasattr(found, "encode") else found.texts
+        want = [run([t])[0] for t in texts]
+        assert run(texts) == want
+        held = [x for d in (found.known.young, found.known.old) for x in d.items()]
+        assert held and max(len(k) for k, _ in held) <= worker.LONGEST
+        assert sum(sys.getsizeof(k) + sys.getsizeof(v) + 40 for k, v in held) <= 1 << 20
+
+
+def test_long_texts_are_read_in_parts(path, monkeypatch):
+    texts = [x.encode() for x in TEXTS if x] + [b"word, word " * 300, b"x" * 900 + b" y"]
+    encoder, counter = packing.WordEncoder(path), token_counts.Counter(path)
+    ids, counts = encoder.encode(texts), counter.texts(texts)
+    monkeypatch.setattr(worker, "SIZE", 100)
+    assert all(b"".join(worker.parts(t, 100)) == t for t in texts)
+    assert [encoder.encode([t])[0] for t in texts] == ids and counter.texts(texts) == counts
+
+
+def test_a_worker_keeps_one_operators_memory():
+    made = []
+    get = lambda owner: worker.owned(owner, (1,), lambda: made.append(owner) or len(made))
+    assert [get("a"), get("a"), get("b"), get("a")] == [1, 1, 2, 3]
+    worker.forget("a")
+    assert get("a") == 3
+    worker.forget("c")
+    assert get("a") == 4
 
 
 def test_all_three_limits_hold(spark):
@@ -132,6 +208,6 @@ def test_counts_equal_greedy_on_the_vocabulary(spark, path):
     for text in TEXTS:
         words = [w for p in (text or "").encode().split() for w in token_counts._WORDS.findall("".join(x.lower() for x in token_counts.unicodedata.normalize("NFC", p.decode())))]
         want = len(words), sum(greedy((*w.encode(), token_counts.END), tokens) for w in words)
-        assert c.text((text or "").encode()) == want
+        assert c.texts([(text or "").encode()]) == [want]
     rows = {r.doc_id: (r.n_words, r.n_tokens) for r in token_counts.count_tokens(frame(spark, TEXTS)).collect()}
-    assert rows == {i: c.text((t or "").encode()) for i, t in enumerate(TEXTS)}
+    assert rows == dict(enumerate(c.texts([(t or "").encode() for t in TEXTS])))
