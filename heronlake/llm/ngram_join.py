@@ -3,10 +3,13 @@
 Two documents link when 100 * |A & B| >= percent * |A | B| for their sets of distinct
 k-word shingles. Documents with equal sets form a class; classes are what is joined.
 
-1. Every shingle gets a place in one global order. A fixed share of the shingles (by
-   hash) is counted over all documents and comes first, rarest first; the shingles that a
-   bounded sample shows to be in over HOT_SHARE of the documents come after them, and the
-   uncounted rest last. Any global order gives exact results; the order sets only the cost.
+1. Every shingle gets a place in one global order, rare ones first. Shingles fall into tiers by
+   hash; of a set, the first tiers that can fill its prefix are counted: a quarter of a long
+   text's shingles, all of a very short one's. Within a tier the number of sets that gave a
+   shingle to be counted decides. Shingles that some task finds in HEAVY sets of one stretch of
+   the corpus, reading all documents, come last, ordered by that number, and are never grouped:
+   so a counted shingle's group has fewer than HEAVY sets a stretch. Any global order gives
+   exact results; the order sets only the cost.
 2. A class's prefix is its first n - ceil(percent * n / 100) + 1 shingles. Linked classes
    share a prefix shingle. A class whose prefix holds shingles of its own only is done.
 3. Prefixes are joined on their shingles under three filters: length; position (at a
@@ -28,7 +31,8 @@ Shingles are compared as 64-bit hashes and sets of one class by 128 bits.
 Defined cases: null and blank texts have the empty set and link with nothing, not even
 each other; a text of fewer than k words is one shingle. Null doc_ids take part but never
 name a component unless all of its doc_ids are null. Repeated rows give repeated results.
-Columns other than doc_id and text are ignored.
+Texts of any length are hashed whole, in blocks. An empty table gives an empty result.
+Columns other than doc_id and text are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -40,31 +44,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm import worker
 from heronlake.llm.components import components
 from heronlake.llm.shingles import mix, shingle_sets
+from heronlake.llm.sides import bounded, free_names
 from heronlake.session import cut_lineage
 
-#: Of 256 hash values of a shingle, so many are counted and ordered rarest first.
-COUNTED = 64
-#: Documents sampled for very frequent shingles, and the share of them that is too frequent to count.
-HOT_SAMPLE, HOT_SHARE = 2000, 0.01
-#: Ids are broadcast up to this many rows; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 500_000
-#: Documents that a Python worker holds sets of at once.
-SLICE = 500
+#: Of 256 hash values of a shingle, those below are in the first tier, the second, the third.
+TIERS = (64, 128, 256)
+#: A shingle in HEAVY sets of a stretch of STRETCH shingles is very frequent; the HEAVY_MOST most frequent of them come last.
+HEAVY, STRETCH, HEAVY_MOST = 16, 1 << 22, 100_000
 #: How much further into the buckets each round reaches.
 REACH = 16
+#: The first members of buckets of more members are found in two steps, over so many parts.
+LARGE, PARTS = 4096, 64
 #: Classes of a component that are compared with as many others in one group, about.
 BLOCK = 256
 
 #: Columns of the parities of a set's 512 hash ranges.
 PARITY = [f"s{i}" for i in range(8)]
 
-_SET = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in PARITY) + ", counted array<long>, rest array<long>, text_key long"
-
-
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
+_SET = "doc_id long, n int, k1 long, k2 long, " + ", ".join(f"{c} long" for c in PARITY) + ", c0 int, c1 int, c2 int, counted array<long>, rest array<long>, text_key long"
 
 
 def _keys(s: np.ndarray) -> tuple[int, int]:
@@ -89,61 +89,103 @@ def _prefix(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _describe(k: int, percent: int, hot: np.ndarray):
-    """Sets' sizes, names and the parts that prefixes are made of. `hot`: sorted shingles."""
+def _ahead(s: np.ndarray, need: int, heavy: np.ndarray, rank: np.ndarray) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """The part of a set that its prefix of `need` shingles is made of: how many shingles of each tier
+    are to be counted, these shingles, and the very frequent ones that may follow."""
+    last = s[:0]
+    if len(heavy):
+        at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
+        hot = heavy[at] == s
+        if hot.any():
+            last = s[hot][np.argsort(rank[at[hot]])]
+            s = s[~hot]
+    tier = s & 255
+    upto = [int(np.count_nonzero(tier < t)) for t in TIERS]
+    used = next((i for i, n in enumerate(upto) if n >= need), len(TIERS) - 1)
+    sizes = [n - m if i <= used else 0 for i, (n, m) in enumerate(zip(upto, [0, *upto], strict=False))]
+    return sizes, s[tier < TIERS[used]], last[: max(0, need - upto[used])]
+
+
+def _describe(k: int, percent: int, heavy: np.ndarray, rank: np.ndarray):
+    """Sets' sizes, names and the parts that prefixes are made of. `heavy`: sorted shingles; `rank`: their places, rarest first."""
+    longs, ints = pa.int64(), pa.int32()
+    types = [longs, ints, longs, longs, *[longs] * len(PARITY), ints, ints, ints, pa.list_(longs), pa.list_(longs)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[tuple[int, int]] = set()  # a task describes a set once, as long as it remembers it
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            rows: list[list] = [[] for _ in range(6 + len(PARITY))]
-            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(_texts(batch), k), strict=True):
-                name = _keys(s)
-                counted = rest = None
-                if len(s) and name not in seen:
-                    if len(seen) >= 200_000:
+        worker.forget("ngram_join")
+        seen: set[int] = set()  # a task describes a set once, as long as it remembers it
+        for batch in worker.slices(batches, size=4 << 20):
+            rows: list[list] = [[] for _ in types]
+            for doc, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(worker.texts(batch), k), strict=True):
+                name, parities = _keys(s), _parities(s)
+                sizes, counted, rest = [0, 0, 0], None, None
+                if len(s) and (both := name[0] << 64 | name[1] & (1 << 64) - 1) not in seen:
+                    if len(seen) >= 100_000:
                         seen.clear()
-                    seen.add(name)
-                    first = (s & 255) < COUNTED
-                    often = first & np.isin(s, hot) if len(hot) else np.zeros(len(s), bool)
-                    counted = s[first & ~often]
-                    lack = max(0, _prefix(len(s), percent) - len(counted))
-                    rest = np.concatenate([s[often], s[~first]])[:lack] if lack else s[:0]
-                for to, x in zip(rows, (doc, len(s), *name, *_parities(s), counted, rest), strict=True):
+                    seen.add(both)
+                    sizes, counted, rest = _ahead(s, _prefix(len(s), percent), heavy, rank)
+                for to, x in zip(rows, (doc, len(s), *name, *parities, *sizes, counted, rest), strict=True):
                     to.append(x)
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.int64()] * len(PARITY), pa.list_(pa.int64()), pa.list_(pa.int64())]
             columns = [*[pa.array(r, t) for r, t in zip(rows, types, strict=True)], batch.column("text_key")]
             yield pa.RecordBatch.from_arrays(columns, [f.split()[0] for f in _SET.split(", ")])
+        worker.give_back()
 
     return run
 
 
 def _whole_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, SLICE) for b in batches for at in range(0, b.num_rows, SLICE)):
-            sets = shingle_sets(_texts(batch), k)
+        worker.forget("ngram_join")
+        for batch in worker.slices(batches, size=4 << 20):
+            sets = shingle_sets(worker.texts(batch), k)
             names = [_keys(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x[0] for x in names], pa.int64()), pa.array([x[1] for x in names], pa.int64()), pa.array(sets, pa.list_(pa.int64()))],
                 ["k1", "k2", "shingles"],
             )
+        worker.give_back()
 
     return run
 
 
-def _hot_shingles(docs: DataFrame, k: int) -> np.ndarray:
-    """Counted shingles in over HOT_SHARE of a sample of at most HOT_SAMPLE documents: at most
-    the documents' mean length / HOT_SHARE values. They only move back in the order."""
-    share = F.pmod(F.xxhash64("doc_id"), F.lit(1000))
-    n = docs.count()
-    sample = docs.filter(share < max(1, -(-1000 * HOT_SAMPLE // max(n, 1)))).limit(HOT_SAMPLE)
-    sets = sample.mapInArrow(_whole_sets(k), "k1 long, k2 long, shingles array<long>")
-    found = (
-        sets.select(F.explode("shingles").alias("t"))
-        .filter(F.col("t").bitwiseAND(F.lit(255)) < COUNTED)
-        .groupBy("t").count()
-        .filter(F.col("count") > max(20, int(HOT_SHARE * min(n, HOT_SAMPLE))))
-    )
-    return np.sort(np.array([r.t for r in found.collect()], np.int64))
+def _heavy_of(k: int):
+    """(token, n) of the shingles in HEAVY different sets, or more, of a stretch of STRETCH shingles."""
+
+    def found(sets: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(sets), return_counts=True)
+        often = n >= HEAVY
+        return pa.RecordBatch.from_arrays([pa.array(tokens[often]), pa.array(n[often].astype(np.int64))], ["token", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker.forget("ngram_join")
+        held, size, names = [np.zeros(0, np.int64)], 0, set()
+        for batch in worker.slices(batches, size=4 << 20):
+            for s in shingle_sets(worker.texts(batch), k):
+                name = (len(s), int(s.sum()))
+                if name in names:
+                    continue
+                names.add(name)
+                held.append(s)
+                size += len(s)
+                if size >= STRETCH:
+                    yield found(held)
+                    held, size, names = held[:1], 0, set()
+        yield found(held)
+        worker.give_back()
+
+    return run
+
+
+def _heavy_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The very frequent shingles, sorted, and their places in the order, rarest first; HEAVY_MOST (1.6 MB) at most."""
+    found = docs.select("text").mapInArrow(_heavy_of(k), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    rows = found.orderBy(F.desc("n"), "token").limit(HEAVY_MOST).collect()
+    token, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+    order = np.argsort(token)
+    token, n = token[order], n[order]
+    rank = np.empty(len(token), np.int64)
+    rank[np.lexsort((token, n))] = np.arange(len(token))
+    return token, rank
 
 
 def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -154,22 +196,32 @@ def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         counted.selectExpr("token", "k1", f"count(*) {bucket} as df", f"min(k1) {bucket} as low", f"max(k1) {bucket} as high")
         .filter("low < high").select("token", "k1", "df").distinct()
     )
+    tier = f"if(token & 255 < {TIERS[0]}, 0, if(token & 255 < {TIERS[1]}, 1, 2))"
+    own = "over (partition by cid, tier order by df, token)"
     ahead = (
-        shared.join(classes, "k1")
-        .selectExpr("token", "cid", "n", "n_counted", "row_number() over (partition by cid order by df, token) as nth", "count(*) over (partition by cid) as n_shared")
-        .selectExpr("token", "cid", "n", "n_counted - n_shared + nth - 1 as pos")
+        shared.join(classes, "k1").selectExpr("token", "df", "cid", "n", "c0", "c1", "c2", f"{tier} as tier")
+        .selectExpr("token", "cid", "n", "c0", "c1", "c2", "tier", f"row_number() {own} as nth", "count(*) over (partition by cid, tier) as n_shared")
+        # a tier's shingles of one class alone come before those that others have too
+        .selectExpr("token", "cid", "n", "case tier when 0 then c0 when 1 then c0 + c1 else c0 + c1 + c2 end - n_shared + nth - 1 as pos")
     )
     rest = (
         sets.filter(F.size("rest") > 0).select("k1", "k2", F.posexplode("rest").alias("at", "token"))
-        .join(classes, ["k1", "k2"]).selectExpr("token", "cid", "n", "n_counted + at as pos").distinct()
+        .join(classes, ["k1", "k2"]).selectExpr("token", "cid", "n", "c0 + c1 + c2 + at as pos").distinct()
     )
     return ahead.unionByName(rest).filter(F.expr(f"pos < n - ceil({percent} * n / 100.0) + 1"))
 
 
-def _pairs(entries: DataFrame, low: int, high: int, percent: int) -> DataFrame:
+def _first_members(entries: DataFrame, most: int, large: bool) -> DataFrame:
+    """The first `most` members of each bucket, with their `place`. Large buckets are ranked in parts first."""
+    if large:
+        rows = entries.withColumn("part", F.pmod(F.xxhash64("cid"), F.lit(PARTS)))
+        entries = rows.withColumn("place", F.expr("row_number() over (partition by token, part order by cid)")).filter(F.col("place") <= most).drop("part", "place")
+    return entries.withColumn("place", F.expr("row_number() over (partition by token order by cid)")).filter(F.col("place") <= most)
+
+
+def _pairs(entries: DataFrame, low: int, high: int, percent: int, large: bool) -> DataFrame:
     """Pairs of entries with members `low` < place <= `high` of their buckets that pass the filters."""
-    place = F.expr("row_number() over (partition by token order by cid)")
-    heads = entries.withColumn("place", place).filter(F.col("place") <= high).filter(F.col("place") > low)
+    heads = _first_members(entries, high, large).filter(F.col("place") > low)
     heads = cut_lineage(heads.select("token", *(F.col(c).alias(f"{c}_b") for c in ("cid", "n", "pos", "label", *PARITY))))
     near = (
         f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)"
@@ -197,13 +249,12 @@ def link_counts(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents, their sets, the classes of equal sets, and the labels of `_labels`."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hot = _hot_shingles(docs, k)
-    sets = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(k, percent, hot), _SET).withColumn("row_id", F.monotonically_increasing_id())
+    sets = docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(_describe(k, percent, *_heavy_shingles(docs, k)), _SET).withColumn("row_id", F.monotonically_increasing_id())
     sets = cut_lineage(sets)
     classes = cut_lineage(
         sets.filter("n > 0").groupBy("k1", "k2").agg(
             F.min("row_id").alias("cid"), F.min("doc_id").alias("class_doc"), F.max("n").alias("n"), *[F.max(c).alias(c) for c in PARITY],
-            F.max(F.size("counted")).alias("n_counted"),
+            *[F.max(c).alias(c) for c in ("c0", "c1", "c2")],
         )
     )
     return docs, sets, classes, _labels(docs, sets, classes, k, percent)
@@ -265,11 +316,6 @@ def _count_links(percent: int):
     return run
 
 
-def _few(rows: DataFrame) -> DataFrame:
-    """Marked for broadcast where its size is bounded."""
-    return F.broadcast(rows) if rows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else rows
-
-
 def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(cid, label) of the classes that may link with others; linked classes share a label."""
     entries = cut_lineage(_prefixes(sets, classes, percent).withColumn("label", F.col("cid")))
@@ -277,15 +323,16 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
     low, high = 0, 1
     while True:
         buckets = entries.groupBy("token").agg(F.count("*").alias("size"), F.min("label").alias("a"), F.max("label").alias("b"))
-        buckets = cut_lineage(buckets.filter(f"size > {low} and a < b").select("token"))
-        entries = cut_lineage(entries.join(_few(buckets), "token", "left_semi"))
+        buckets = cut_lineage(buckets.filter(f"size > {low} and a < b").select("token", "size"))
+        large = not buckets.filter(F.col("size") > LARGE).isEmpty()
+        entries = cut_lineage(entries.join(bounded(buckets.select("token")), "token", "left_semi"))
         if labels is None:
             live = cut_lineage(entries.select("cid").distinct().join(classes, "cid"))
             labels = live.select("cid", F.col("cid").alias("label"))
             whole = cut_lineage(_sets_of(docs, live, k))
         if entries.isEmpty():
             return labels
-        pairs = _pairs(entries.join(_few(live.select("cid", *PARITY)), "cid"), low, high, percent)
+        pairs = _pairs(entries.join(bounded(live.select("cid", *PARITY)), "cid"), low, high, percent, large)
         if failed is not None:
             pairs = pairs.join(failed, ["cid", "cid_b"], "left_anti")
         checked = cut_lineage(_checked(cut_lineage(pairs), whole, percent))
@@ -294,17 +341,17 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
         new = checked.filter("linked").select(F.col("label").alias("u"), F.col("label_b").alias("v"))
         if not new.isEmpty():
             merged = cut_lineage(components(new).select(F.col("node").alias("label"), F.col("label").alias("joined")))
-            labels = labels.join(_few(merged), "label", "left").select("cid", F.coalesce("joined", "label").alias("label"))
+            labels = labels.join(bounded(merged), "label", "left").select("cid", F.coalesce("joined", "label").alias("label"))
             labels = cut_lineage(labels)
-            entries = entries.drop("label").join(_few(labels), "cid")
+            entries = entries.drop("label").join(bounded(labels), "cid")
         low, high = high, high * REACH
 
 
 def _checked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
     """Each pair with whether it links. A set goes once to each of its pairs, and to one place as the other side of all."""
-    heads = whole.join(_few(pairs.select(F.col("cid_b").alias("cid")).distinct()), "cid", "left_semi")
+    heads = whole.join(bounded(pairs.select(F.col("cid_b").alias("cid")).distinct()), "cid", "left_semi")
     heads = heads.select(F.col("cid").alias("cid_b"), F.col("shingles").alias("shingles_b"))
-    return whole.join(_few(pairs), "cid").join(heads, "cid_b").selectExpr(
+    return whole.join(bounded(pairs), "cid").join(heads, "cid_b").selectExpr(
         "cid", "cid_b", "label", "label_b",
         f"{100 + percent} * size(array_intersect(shingles, shingles_b)) >= {percent} * (n + n_b) as linked",
     )
@@ -313,11 +360,11 @@ def _checked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
 def _sets_of(docs: DataFrame, live: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of the classes in `live`, computed again from their first documents."""
     ids = live.select(F.col("class_doc").alias("doc_id")).distinct()
-    some = docs.join(_few(ids), "doc_id", "left_semi")
+    some = docs.join(bounded(ids), "doc_id", "left_semi")
     some = some.unionByName(docs.filter("doc_id is null")) if not live.filter("class_doc is null").isEmpty() else some
     repeated = not some.groupBy("doc_id").count().filter("count > 1").isEmpty()
     sets = some.mapInArrow(_whole_sets(k), "k1 long, k2 long, shingles array<long>")
-    sets = sets.join(_few(live.select("k1", "k2", "cid")), ["k1", "k2"]).select("cid", "shingles")
+    sets = sets.join(bounded(live.select("k1", "k2", "cid")), ["k1", "k2"]).select("cid", "shingles")
     return sets.dropDuplicates(["cid"]) if repeated else sets
 
 
@@ -329,6 +376,7 @@ def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     """
     _, sets, classes, labels = _joined(docs, k, percent)
     found = cut_lineage(_named(sets, classes, labels, "text_key"))
-    gone = found.filter("doc_id <> component_id").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
-    same = (F.col("doc_id").cast("long") == F.col("__d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
-    return docs.join(_few(gone), same, "left_anti").select(docs.columns)
+    doc, key = free_names(docs, "gone_id", "gone_key")
+    gone = cut_lineage(found.filter("doc_id <> component_id").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct())
+    same = (F.col("doc_id").cast("long") == F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(key))
+    return docs.join(bounded(gone), same, "left_anti")

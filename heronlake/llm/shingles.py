@@ -49,11 +49,14 @@ def _hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _long_text_words(text: bytes) -> np.ndarray:
-    """Word hashes of a text over BLOCK bytes, block by block, cut between words."""
+    """Word hashes of a text of BLOCK bytes or more, block by block, cut between words.
+
+    A word of BLOCK bytes or more is hashed piece by piece wherever it stands.
+    """
     out, at = [], 0
     while at < len(text):
         end = min(len(text), at + BLOCK)
-        if end < len(text):
+        if end - at == BLOCK:
             cut = max(text.rfind(bytes([s]), at, end) for s in _SPACES)
             if cut < 0:  # one word fills the block: hash it piece by piece
                 gap = re.compile(rb"[ \t\n\x0b\x0c\r]").search(text, end)
@@ -98,7 +101,7 @@ def shingle_sets(texts: list[bytes], k: int) -> list[np.ndarray]:
     with np.errstate(over="ignore"):
         at = 0
         while at < len(texts):
-            if len(texts[at]) > BLOCK:
+            if len(texts[at]) >= BLOCK:
                 groups = [(at, _long_text_words(texts[at]))]
                 stop = at + 1
             else:

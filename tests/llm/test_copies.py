@@ -4,9 +4,10 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
-from heronlake.llm import exact_dedup, ngram_join, shingles
+from heronlake.llm import exact_dedup, ngram_join, shingles, sides
 from heronlake.llm import components as component_module
 from heronlake.llm.components import components
 
@@ -116,13 +117,72 @@ def test_every_link_is_counted(spark, monkeypatch, block):
 
 
 def test_hot_shingles_do_not_change_links(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT_SHARE", 0.0)
-    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(ngram_join, "LARGE", 1)
+    monkeypatch.setattr(sides, "BROADCAST_BYTES", 0)
+    real = ngram_join._heavy_shingles
     texts = corpus(8)
+    sets = shingles.shingle_sets([(t or "").encode() for _, t in texts], 4)
+    token, n = np.unique(np.concatenate(sets), return_counts=True)
+    often = token[n >= 3]
+    order = np.random.default_rng(1).permutation(len(often))
+    monkeypatch.setattr(ngram_join, "_heavy_shingles", lambda docs, k: (often, order))
+    assert len(often) > 50 and len(real(frame(spark, texts), 4)[0]) < len(often)
     rows = ngram_join.link_components(frame(spark, texts), 4, 85).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute_components(texts, 4, 85)
 
 
+def test_frequent_shingles_come_last_and_rare_ones_first():
+    r = np.random.default_rng(3)
+    heavy = np.sort(r.choice(10**9, 50, replace=False))
+    rank = r.permutation(50)
+    for n in (1, 3, 5, 12, 40, 400):
+        s = np.unique(np.concatenate([r.choice(10**9, n), r.choice(heavy, n % 7)]))
+        for percent in (85, 80, 50):
+            need = ngram_join._prefix(len(s), percent)
+            sizes, counted, rest = ngram_join._ahead(s, need, heavy, rank)
+            cold = set(s.tolist()) - set(heavy.tolist())
+            assert sum(sizes) == len(counted) and set(counted.tolist()) <= cold
+            assert len(counted) + len(rest) >= need or len(counted) + len(rest) == len(s)
+            assert not len(rest) or set(counted.tolist()) == cold  # very frequent ones only when nothing else is left
+            places = [rank[np.searchsorted(heavy, x)] for x in rest]
+            assert places == sorted(places) and set(rest.tolist()) <= set(heavy.tolist())
+
+
+def test_frequent_shingles_are_found_in_all_documents(spark):
+    texts = [(i, f"own{i} a{i} b{i} c{i} " + "the same passage is here again " * (i % 2)) for i in range(200)] + [(1000 + i, "copies of one text are one set") for i in range(50)]
+    token, rank = ngram_join._heavy_shingles(frame(spark, texts).coalesce(1), 4)
+    same = shingles.shingle_sets([b"the same passage is here again"], 4)[0]
+    assert set(same.tolist()) <= set(token.tolist()) and sorted(rank) == list(range(len(token)))
+    one = shingles.shingle_sets([b"copies of one text are one set"], 4)[0]
+    assert not set(one.tolist()) & set(token.tolist())
+
+
+def test_words_of_a_whole_block_hash_alike(monkeypatch):
+    monkeypatch.setattr(shingles, "BLOCK", 64)
+    for size in (63, 64, 65, 128, 200):
+        word = b"w" * size
+        for before in range(0, 70, 3):
+            text = b"x" * before + b" " * (before > 0) + word + b" y"
+            have = shingles.shingle_sets([text], 1)[0]
+            assert shingles.shingle_sets([word], 1)[0][0] in have, (size, before)
+
+
+def test_columns_that_clash(spark):
+    texts = corpus()
+    docs = frame(spark, texts)
+    names = ["gone_id", "__d", "__s", "__sha", "__n", "gone_key", "digest", "n", "a.b", "row"]
+    for c in names:
+        docs = docs.withColumn(c, docs["doc_id"])
+    for drop in (ngram_join.drop_near_copies, exact_dedup.drop_copies):
+        kept = drop(docs)
+        assert kept.columns == docs.columns
+        assert all(r[c] == r.doc_id for r in kept.collect() for c in names)
+    odd = docs.unionByName(docs.filter("doc_id < 30").withColumn("doc_id", docs["doc_id"] * 0))
+    kept = exact_dedup.drop_copies(odd)
+    assert kept.columns == docs.columns and kept.select("__sha").distinct().count() > 1
+    assert ngram_join.link_components(docs).columns == ["doc_id", "n_shingles", "component_id"]
+
+
 def test_join_of_odd_tables(spark):
     empty = frame(spark, []).limit(0)
     assert ngram_join.link_components(empty).count() == 0
