@@ -2,8 +2,12 @@
 
 import hashlib
 import random
+import re
+import time
 
 import numpy as np
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from heronlake.llm import chat_format, vector_tree
@@ -24,34 +28,118 @@ def talks(seed=1):
     return rows + [(None, None, None, None, "x"), (77, 0, "system", "alone", "x"), (78, None, "assistant", "last", "x"), (78, 5, "user", "first", "x"), (78, 5, "user", "first", "x")]
 
 
-def test_windows_read_back(spark):
-    rows = talks()
-    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    big = (1 << 63) - 1
+def in_order(rows):
+    def place(x):
+        role, text = x[1], x[2]
+        h = xxhash.xxh64(text, seed=xxhash.xxh64(role, seed=42).intdigest()).intdigest()
+        return x[0], role[:64], text[:64], h - (1 << 64) * (h >> 63)
+
+    return sorted((((1 << 63) - 1 if x[1] is None else x[1], x[2] or "", x[3] or "") for x in rows), key=place)
+
+
+def digests(rows):
     want = {}
     for conv in {x[0] for x in rows}:
-        own = sorted((big if x[1] is None else x[1], x[2] or "", x[3] or "") for x in rows if x[0] == conv)
+        own = in_order(x for x in rows if x[0] == conv)
         loss = "".join(t for _, r, t in own if r == "assistant")
         sha = hashlib.sha256("".join(f"{r}\n{t}\n" for _, r, t in own).encode()).hexdigest()
         want[conv] = (len(own), sha, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    return want
+
+
+@pytest.mark.parametrize("block", [64, 1])
+def test_windows_read_back(spark, monkeypatch, block):
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    rows = talks()
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.digest(docs).collect()}
-    assert got == want
-
-
-def test_windows_keep_to_the_budget(spark):
-    docs = spark.createDataFrame(talks(), SCHEMA)
-    rows = chat_format.format_windows(docs, 300, 80).collect()
-    first = {}
-    for r in rows:
-        first.setdefault(r.conv_id, []).append(r)
-        assert r.over_budget == (r.n_tokens > 300)
-        assert not r.over_budget or r.n_new == 1 or r.conv_id in (0, 3, 6)
-    for own in first.values():
-        own.sort(key=lambda r: (r.block, r.window))
-        if own[0].formatted.startswith("[INST]system[/INST]"):
-            head = own[0].formatted.split("</s>")[0]
-            assert all(r.formatted.startswith(head + "</s>") and r.n_context >= 1 for r in own[1:])
-    assert any(r.n_context > 1 for r in rows)
+    assert got == digests(rows)
+
+
+def plain_windows(turns, budget, history, block):
+    """Windows of one conversation's turns in order: (repeated turns, new turns, tokens)."""
+    size = [len(re.findall(r"\w+|[^\w\s]", t)) + 4 for _, _, t in turns]
+    before = [sum(size[:i]) for i in range(len(turns))]
+    system = turns[0][1] == "system"
+    fixed = size[0] if system else 0
+    room = max(1, budget - history - fixed)
+    out = []
+    for i in range(1 if system else 0, len(turns)):
+        if out and before[i] // block == before[out[-1][0]] // block and sum(size[j] for j in out[-1]) + size[i] <= room:
+            out[-1].append(i)
+        else:
+            out.append([i])
+    found = []
+    for nth, own in enumerate(out or [[]]):
+        n, past = sum(size[j] for j in own), []
+        spare = min(history, budget - fixed - n)
+        for j in range((own or [0])[0] - 1, 0 if system else -1, -1):
+            if sum(size[x] for x in past) + size[j] > spare:
+                break
+            past.insert(0, j)
+        lead = [0] * (system and nth > 0) + past
+        found.append((len(lead), [0] * (system and nth == 0) + own, fixed + n + sum(size[j] for j in past)))
+    return found
+
+
+@pytest.mark.parametrize("block", [1, 64])
+def test_windows_equal_a_plain_scan(spark, monkeypatch, block):
+    monkeypatch.setattr(chat_format, "BLOCK", block)
+    rows = talks(2)
+    got = {}
+    for r in chat_format.format_windows(spark.createDataFrame(rows, SCHEMA).repartition(5), 300, 80).collect():
+        got.setdefault(r.conv_id, []).append(((r.block, r.window), r.n_context, r.n_new, r.n_tokens, r.over_budget, r.formatted))
+    assert set(got) == {x[0] for x in rows}
+    for conv, own in got.items():
+        turns = in_order(x for x in rows if x[0] == conv)
+        want = plain_windows(turns, 300, 80, block * 300)
+        own.sort()
+        assert [(c, n, t, over) for _, c, n, t, over, _ in own] == [(c, len(new), t, t > 300) for c, new, t in want]
+        for (_, c, n, _, _, formatted), (_, new, _) in zip(own, want, strict=True):
+            said = [p.split("[/INST]") for p in formatted.split("</s>")[:-1]]
+            code = lambda x: x.replace("\\", "\\b").replace("<", "\\l").replace("[", "\\i")
+            assert [(r[6:], t) for r, t in said[c:]] == [(code(turns[i][1]), code(turns[i][2])) for i in new]
+    assert any(x[1] > 1 for own in got.values() for x in own)
+    if block == 1:
+        assert max(key[0] for own in got.values() for key, *_ in own) > 5
+
+
+def test_only_the_order_of_turns_counts(spark):
+    def windows(numbers):
+        rows = [(1, n, "user" if i % 2 else "assistant", f"turn {i} " + "word " * (i % 11), "x") for i, n in enumerate(numbers)]
+        found = chat_format.format_windows(spark.createDataFrame(rows, SCHEMA), 64, 16).collect()
+        return sorted((r.block, r.window, r.n_context, r.n_new, r.formatted, r.n_tokens) for r in found)
+
+    dense = windows(range(300))
+    assert dense == windows([i * 1000 - 7 for i in range(300)]) and len(dense) > 20
+
+
+def test_history_shrinks_before_the_budget_is_exceeded(spark):
+    docs = spark.createDataFrame([(1, 0, "user", "w " * 46, "x"), (1, 1, "assistant", "w " * 256, "x"), (1, 2, "user", "w " * 400, "x"), (1, 3, "user", "w", "x")], SCHEMA)
+    rows = sorted(chat_format.format_windows(docs, 300, 80).collect(), key=lambda r: r.window)
+    assert [(r.n_context, r.n_new, r.n_tokens, r.over_budget) for r in rows] == [(0, 1, 50, False), (0, 1, 260, False), (0, 1, 404, True), (0, 1, 5, False)]
+
+
+def test_token_column_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, i, "assistant", "é ü", "x") for i in range(10)], SCHEMA).selectExpr("*", "100L as n", "1 as turns", "2 as at", "3 as h", "4 as tokens")
+    rows = chat_format.format_windows(docs, 300, 0, tokens="n").collect()
+    assert [r.n_new for r in sorted(rows, key=lambda r: r.window)] == [3, 3, 3, 1]
+    assert chat_format.format_windows(docs, 300, 0).collect()[0].n_tokens == 60
+
+
+def test_many_equal_turns_end_soon(spark):
+    """20,000 turns of one number, a third of them equal, and one very long text."""
+    docs = spark.range(20_000).selectExpr("1L as conv_id", "cast(null as long) as turn", "'assistant' as role", "if(id % 3 = 0, 'same', concat('text ', id)) as text")
+    docs = docs.unionByName(spark.createDataFrame([(2, 0, "assistant", "long [words] " * 100_000)], docs.schema))
+    began = time.time()
+    rows = {r.conv_id: r for r in chat_format.digest(docs).collect()}
+    assert rows[1].n_turns == 20_000 and rows[2].loss_chars == 1_300_000
+    assert rows[1].loss_chars == 4 * 6667 + sum(len(f"text {i}") for i in range(20_000) if i % 3)
+    assert time.time() - began < 60
+
+
+def test_windows_run_no_python(spark):
+    docs = spark.createDataFrame([(1, 0, "user", "a", "x")], SCHEMA)
     plan = chat_format.digest(docs)
     assert "Python" not in plan._jdf.queryExecution().toString()
     assert chat_format.digest(docs.limit(0)).count() == 0
