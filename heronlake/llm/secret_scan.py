@@ -5,11 +5,17 @@ strings of 20 or more key characters are read with a window of 20 characters; th
 sum of c * log2(c) over its character counts c changes by the counts of the entering and
 the leaving character alone, in whole millionths. Long candidates are read in parts of
 bounded length. A candidate's span runs from its first to its last window whose Shannon
-entropy reaches the threshold of its character class. An allow-list suppresses added spans (never base spans): plain words, identifiers of the UUID
-form, runs of the alphabet or of digits, and what overlaps a base span.
+entropy reaches the threshold of its character class. An allow-list suppresses added spans
+(never base spans): plain words, identifiers of the UUID form, runs of the alphabet or of
+digits, and what overlaps a base span.
+
+Lists of matches are folded in groups of GROUP, so the work grows with a text's length, not
+with the square of its matches.
 
 Positions are code points, ends exclusive. Defined cases: null text counts as empty and
-has no spans; doc_ids may be null or repeated. An empty table gives an empty result.
+has no spans; doc_ids may be null or repeated, each row is scanned on its own. Texts of any
+length are scanned whole. An empty table gives an empty result. Columns other than doc_id
+and text are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -28,17 +34,36 @@ KINDS = ("assign", "access", "hex", "entropy")
 WINDOW = 20
 #: Windows that start in one part of a candidate: a position costs the length of its part, not of the candidate.
 PART = 128
+#: Parts are cut from stretches of so many windows, as finding a place in a text costs its distance from the start.
+STRETCH = 128 * PART
+#: Matches that are folded at once.
+GROUP = 64
 #: Bits for hex, for mixed letters and digits, and for letters alone.
 LIMITS = {"hex": 3.0, "mixed": 3.8, "letters": 4.1}
-ALLOWED = r"^[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*$|^[A-Z]+$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|abcdefghij|0123456789|^[-_=+/]+$"
+ALLOWED = r"^[A-Za-z]?[a-z]+(?:[-_/=+][A-Za-z]?[a-z]+)*+$|^[A-Z]+$|^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$|abcdefghij|0123456789|^[-_=+/]+$"
 
 _MARK, _OTHER = "\u0001", "\u0002"
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with `value` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _groups(items: Column) -> Column:
+    """An array in parts of GROUP elements; `items` must be a column or bound by `_let`."""
+    starts = F.sequence(F.lit(0), F.size(items) - 1, F.lit(GROUP))
+    return F.when(F.size(items) > 0, F.transform(starts, lambda at: F.slice(items, at + 1, F.lit(GROUP))))
+
+
+def _running(values: Column, start: Column, step) -> Column:
+    """For each value, what `step` has made of `start` and the values before it. One value a group, so the list is short."""
+    return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
+
+
 def _spans(text: Column, pattern: str, kind: int, fits=None) -> Column:
     """Spans of a pattern's matches: one pass puts marks around them, the pieces' lengths place them."""
     marked = F.regexp_replace(F.translate(text, _MARK, _OTHER), pattern, f"{_MARK}$0{_MARK}")
-    pieces = F.split(marked, _MARK)
     empty = F.array().cast("array<struct<start:int,kind:int,stop:int,body:string>>")
     zero = F.struct(F.lit(0).alias("at"), F.lit(False).alias("hit"), empty.alias("found"))
 
@@ -49,7 +74,21 @@ def _spans(text: Column, pattern: str, kind: int, fits=None) -> Column:
         found = F.when(good, F.concat(acc["found"], F.array(span))).otherwise(acc["found"])
         return F.struct(stop.alias("at"), (~acc["hit"]).alias("hit"), found.alias("found"))
 
-    return F.when(F.size(pieces) > 1, F.aggregate(pieces, zero, step, lambda acc: acc["found"])).otherwise(empty)
+    def moved(span: Column, by: Column) -> Column:
+        return F.struct((span["start"] + by).alias("start"), span["kind"].alias("kind"), (span["stop"] + by).alias("stop"), span["body"].alias("body"))
+
+    def placed(pieces: Column) -> Column:
+        # matches are every second piece, so each group of an even number of pieces begins between two
+        done = F.transform(_groups(pieces), lambda group: F.aggregate(group, zero, step))
+
+        def join(done: Column) -> Column:
+            ends = F.transform(done, lambda d: d["at"])
+            starts = _running(ends, F.lit(0), lambda at, n: at + n)
+            return F.flatten(F.zip_with(done, F.slice(starts, 1, F.size(done)), lambda d, at: F.transform(d["found"], lambda x: moved(x, at))))
+
+        return F.when(F.size(pieces) > 1, _let(done, join)).otherwise(empty)
+
+    return _let(F.split(marked, _MARK), placed)
 
 
 def _weight(count: Column) -> Column:
@@ -67,8 +106,15 @@ def _candidate(span: Column) -> Column:
     body = span["body"]
     most = {k: round((math.log2(WINDOW) - v) * WINDOW * 1e6) for k, v in LIMITS.items()}
     limit = F.when(body.rlike("^[0-9a-fA-F]+$"), F.lit(most["hex"])).when(body.rlike("[0-9]"), F.lit(most["mixed"])).otherwise(F.lit(most["letters"]))
-    places = F.sequence(F.lit(0), F.length(body) - WINDOW, F.lit(PART))
-    parts = F.transform(places, lambda at: F.struct(at.alias("at"), F.substr(body, at + 1, F.lit(PART + WINDOW - 1)).alias("body")))
+
+    def cut(text: Column, size: int) -> Column:
+        places = F.sequence(F.lit(0), F.length(text) - WINDOW, F.lit(size))
+        return F.transform(places, lambda at: F.struct(at.alias("at"), F.substr(text, at + 1, F.lit(size + WINDOW - 1)).alias("body")))
+
+    def shifted(part: Column, by: Column) -> Column:
+        return F.struct((part["at"] + by).alias("at"), part["body"].alias("body"))
+
+    parts = F.flatten(F.transform(cut(body, STRETCH), lambda long: F.transform(cut(long["body"], PART), lambda part: shifted(part, long["at"]))))
     return F.struct(span["start"].alias("start"), limit.alias("limit"), parts.alias("parts"))
 
 
@@ -101,6 +147,32 @@ def _entropy_span(candidate: Column) -> Column:
     return at[0]
 
 
+def _clear(base: Column, added: Column) -> Column:
+    """The added spans that overlap no base span.
+
+    All spans are put in order, base spans by their start, added ones by their stop and first among equals. So the
+    base spans before an added one are those that start before its end; it overlaps one if their largest stop is
+    beyond its start.
+    """
+    event = lambda s, at, own: F.struct(s[at].alias("at"), F.lit(own).alias("own"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))
+    events = F.array_sort(F.concat(F.transform(base, lambda s: event(s, "start", 1)), F.transform(added, lambda s: event(s, "stop", 0))))
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int,body:string>>")
+
+    def step(acc: Column, e: Column) -> Column:
+        span = F.struct(e["start"].alias("start"), e["kind"].alias("kind"), e["stop"].alias("stop"), F.lit("").alias("body"))
+        keep = (e["own"] == 0) & (acc["top"] <= e["start"])
+        top = F.when(e["own"] == 1, F.greatest(acc["top"], e["stop"])).otherwise(acc["top"])
+        return F.struct(top.alias("top"), F.when(keep, F.concat(acc["found"], F.array(span))).otherwise(acc["found"]).alias("found"))
+
+    def swept(groups: Column) -> Column:
+        tops = F.transform(groups, lambda g: F.array_max(F.transform(g, lambda e: F.when(e["own"] == 1, e["stop"]).otherwise(F.lit(-1)))))
+        before = _running(tops, F.lit(-1), lambda top, x: F.greatest(top, x))
+        begin = lambda top: F.struct(top.alias("top"), none.alias("found"))
+        return F.flatten(F.zip_with(groups, F.slice(before, 1, F.size(groups)), lambda g, top: F.aggregate(g, begin(top), step, lambda acc: acc["found"])))
+
+    return F.when(F.size(added) > 0, _let(events, lambda all_: _let(_groups(all_), swept))).otherwise(none)
+
+
 def _joined(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
@@ -121,8 +193,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
     rows = rows.withColumn("added", F.when(F.size("strings") > 0, F.filter(F.transform(F.transform("strings", _candidate), _entropy_span), lambda s: s["start"] >= 0)).otherwise(none))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-    rows = rows.withColumn("every", F.array_sort(F.concat("base", F.filter("added", clear))))
+    rows = rows.withColumn("every", F.array_sort(F.concat("base", _clear(F.col("base"), F.col("added")))))
     return rows.select(
         "doc_id",
         *[F.size(c).cast("long").alias(f"n_{c}") for c in ("assign", "access", "hex")],
