@@ -13,9 +13,18 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _read(spark, sf_dir, "documents")
-    found = language_id.identify(docs, language_id.fit_text_model(docs), host=F.col("source"))
-    return found.select("doc_id", F.col("lang").alias("detected_lang"), "posterior", "accepted")
+    """All documents and all pages, judged together; a page's doc_id is -1 - page_id.
+
+    A document's host is its source. Of a page, host and suffix come from the address and the declared language from the markup.
+    """
+    docs, pages = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "pages")
+    none = F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.col("source").alias("host"), none.alias("suffix"), none.alias("declared"))
+    evidence = {k: v.alias(k) for k, v in language_id.page_evidence(pages).items()}
+    rows = rows.unionByName(pages.select((-1 - F.col("page_id")).alias("doc_id"), language_id.page_texts(pages).alias("text"), *evidence.values()))
+    found = language_id.identify(rows, language_id.fit_text_model(docs), host=F.col("host"), suffix=F.col("suffix"), declared=F.col("declared"))
+    page = F.when(F.col("doc_id") < 0, -1 - F.col("doc_id")).alias("page_id")
+    return found.select("doc_id", page, F.col("lang").alias("detected_lang"), "posterior", "accepted")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +43,15 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"))
 
 
+def op4_packing_instructions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instruction data: every assistant turn of `conversations` with the turn before it, which bears no loss, under all three limits."""
+    turns = _read(spark, sf_dir, "conversations")
+    answers = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    asks = turns.filter("role <> 'assistant'").select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), F.col("text").alias("ask"))
+    pairs = answers.join(asks, (F.col("doc_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left")
+    return packing.pack(pairs, max_segments=64, max_loss=1536, ask_col="ask")
+
+
 def op5_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_tree.search(_read(spark, sf_dir, "embeddings"), k=20, query_step=20)
 
@@ -63,7 +81,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_token_counts, op3_ngram_join, op4_packing, op5_vector_tree, op6_exact_dedup, op7_chat_format, op8_secret_scan, op9_line_dedup, op10_mixing, op3_ngram_links)
+    found = (op1_language_id, op2_token_counts, op3_ngram_join, op4_packing, op5_vector_tree, op6_exact_dedup, op7_chat_format, op8_secret_scan, op9_line_dedup, op10_mixing, op3_ngram_links, op4_packing_instructions)
     return {f.__name__: f for f in found}
 
 

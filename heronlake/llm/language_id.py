@@ -11,7 +11,9 @@ documents without a language of at least `least` posterior, are rejected.
 Defined cases: null and empty texts, and texts without trigrams of letters, have no text evidence and
 are rejected, whatever their other evidence. A missing host, suffix or declaration adds no
 evidence of its own (null hosts share one prior). Null labels aren't fitted on. Repeated
-rows get equal results. Without labelled rows, and on an empty table, nothing is accepted.
+rows get equal results. Texts of any length are scored whole, in blocks. Without labelled
+rows, and on an empty table, nothing is accepted. Columns other than those named are ignored
+by `identify` and kept by `drop_unidentified`, whatever their names are.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm import worker
+from heronlake.llm.sides import bounded, free_names
 from heronlake.session import cut_lineage
 
 #: Labelled rows that the text model is fitted on, at most.
@@ -33,8 +37,6 @@ FIT_ROWS = 5000
 BITS = 16
 #: Rows' worth of a parent's prior in a child's; tempering of text; prior of `und`.
 SMOOTHING, TEMPER, OPEN = 20.0, 1 / 3, 0.01
-#: Priors of up to this many hosts are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_HOSTS = 200_000
 #: Bytes of text scored at once.
 BLOCK = 1 << 21
 
@@ -70,14 +72,11 @@ class TextModel:
         return total if n else None
 
 
-def _texts(batch: pa.RecordBatch) -> list[bytes]:
-    return [x or b"" for x in batch.column("text").cast(pa.binary()).to_pylist()]
-
-
 def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    worker.forget("language_id")
     counts: dict[str, np.ndarray] = {}
-    for batch in batches:
-        for label, text in zip(batch.column("label").to_pylist(), _texts(batch), strict=True):
+    for batch in worker.slices(batches):
+        for label, text in zip(batch.column("label").to_pylist(), worker.texts(batch), strict=True):
             into = counts.setdefault(label, np.zeros(1 << BITS, np.int64))
             for at in range(0, len(text) - 2, BLOCK):
                 into += np.bincount(_codes(text[at : at + BLOCK + 2]), minlength=1 << BITS)
@@ -101,12 +100,14 @@ def fit_text_model(labelled: DataFrame, label: str = "lang", rows: int = FIT_ROW
 
 def _score(model: TextModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = [model.scores(t) for t in _texts(batch)]
+        worker.forget("language_id")
+        for batch in worker.slices(batches):
+            scores = [model.scores(t) for t in worker.texts(batch)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in ("doc_id", "text_key", "host", "suffix", "declared")], pa.array([None if s is None else TEMPER * s for s in scores], pa.list_(pa.float64()))],
                 ["doc_id", "text_key", "host", "suffix", "declared", "scores"],
             )
+        worker.give_back()
 
     return run
 
@@ -158,9 +159,8 @@ def identify(
     for name, v in table.items():
         declared_logs = F.when(F.col("declared") == name, F.array(*[F.lit(math.log((v[i] + 1) / columns[i])) for i in range(n)])).otherwise(declared_logs)
     neutral = F.array(*[F.lit(0.0)] * n)
-    small = priors.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
     fused = scored.join(
-        F.broadcast(priors) if small else priors, scored["host"].eqNullSafe(priors["h"]) & scored["suffix"].eqNullSafe(priors["x"]), "left"
+        bounded(priors), scored["host"].eqNullSafe(priors["h"]) & scored["suffix"].eqNullSafe(priors["x"]), "left"
     )
     prior = F.transform(F.coalesce("prior", overall), lambda p: F.log(p * (1 - OPEN)))
     told = F.zip_with(prior, F.coalesce(declared_logs, neutral), lambda a, b: a + b)
@@ -181,10 +181,16 @@ def page_evidence(pages: DataFrame) -> dict[str, Column]:
     return {"host": host, "suffix": F.element_at(F.split(host, r"\."), -1), "declared": F.when(declared != "", declared)}
 
 
+def page_texts(pages: DataFrame) -> Column:
+    """The text of rows with html: without scripts, styles and tags."""
+    bare = F.regexp_replace("html", r"(?is)<(script|style)\b[^>]*>.*?</\1\s*>", " ")
+    return F.regexp_replace(bare, r"<[^>]*>", " ")
+
+
 def drop_unidentified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The input's rows and columns without documents that `identify` rejects; `source` is the host."""
     found = cut_lineage(identify(docs, fit_text_model(docs), host=F.col("source").cast("string"), least=least))
-    gone = found.filter("not accepted").select(F.col("doc_id").alias("__d"), F.col("text_key").alias("__t")).distinct()
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_HOSTS else gone
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64("text") == F.col("__t"))
-    return docs.join(gone, same, "left_anti")
+    doc, key = free_names(docs, "gone_id", "gone_key")
+    gone = cut_lineage(found.filter("not accepted").select(F.col("doc_id").alias(doc), F.col("text_key").alias(key)).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(key))
+    return docs.join(bounded(gone), same, "left_anti")

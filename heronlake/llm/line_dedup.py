@@ -8,7 +8,9 @@ before they are shuffled, so neither a hot host nor a hot line gathers in one ta
 has at most its mean number of lines per page / ratio such lines.
 
 Defined cases: null text counts as a page without lines and stays null; null hosts are one
-host; repeated rows are pages of their own. An empty table gives an empty result.
+host; repeated rows are pages of their own. Texts of any length are read whole. An empty
+table gives an empty result. Columns named n_lines and n_dropped are replaced by the result's;
+all others are kept, whatever their names are.
 """
 
 from __future__ import annotations
@@ -16,11 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm.sides import bounded, col, free_names
 from heronlake.session import cut_lineage
 
-#: Hosts' boilerplate lists are broadcast up to this many lines in all; beyond, they are joined by a shuffle.
-BROADCAST_LINES = 200_000
-
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
@@ -33,29 +33,26 @@ def _key(line: Column) -> Column:
 
 def boilerplate(docs: DataFrame, host: str, ratio: float, least_pages: int) -> DataFrame:
     """(host, lines): each host's list of line keys over the ratio."""
-    pages = docs.select(F.col(host).alias("host"), F.col("text").alias("text"))
-    totals = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    pages = docs.select(col(host).alias("host"), F.col("text").cast("string").alias("text"))
+    totals = pages.groupBy("host").agg(F.count("*").alias("pages")).withColumnRenamed("host", "of")
     keys = F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(x) != ""), _key))
     counts = pages.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("with_line"))
     counts = counts.filter(F.col("with_line") >= least_pages)
-    totals = totals.withColumnRenamed("host", "__host")
-    over = counts.join(totals, F.col("host").eqNullSafe(F.col("__host"))).filter(F.col("with_line") > ratio * F.col("pages"))
+    over = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("with_line") > ratio * F.col("pages"))
     return over.groupBy("host").agg(F.collect_list("line").alias("lines"))
 
 
 def strip_boilerplate(docs: DataFrame, host: str = "source", ratio: float = 0.05, least_pages: int = 3) -> DataFrame:
     """The input's columns with the lines dropped from `text`, and n_lines and n_dropped."""
-    lists = cut_lineage(boilerplate(docs, host, ratio, least_pages)).select(F.col("host").alias("__host"), F.col("lines").alias("__drop"))
-    small = (lists.agg(F.sum(F.size("__drop"))).first()[0] or 0) <= BROADCAST_LINES
-    columns = docs.columns
-    rows = docs.join(F.broadcast(lists) if small else lists, docs[host].eqNullSafe(F.col("__host")), "left")
-    kept = F.filter(_lines(F.col("text")), lambda x: ~F.array_contains(F.col("__drop"), _key(x)))
-    rows = rows.withColumn("__kept", F.when(F.col("__drop").isNull(), _lines(F.col("text"))).otherwise(kept))
-    n = F.coalesce(F.size(_lines(F.col("text"))), F.lit(0))
-    left = F.coalesce(F.size("__kept"), F.lit(0))
-    n, left = F.greatest(n, F.lit(0)), F.greatest(left, F.lit(0))
-    text = F.when(n == left, F.col("text")).otherwise(F.array_join("__kept", "\n"))
+    of, drop = free_names(docs, "boilerplate_of", "boilerplate")
+    lists = cut_lineage(boilerplate(docs, host, ratio, least_pages)).toDF(of, drop)
+    rows = docs.join(bounded(lists), col(host).eqNullSafe(F.col(of)), "left")
+    before = _lines(F.col("text").cast("string"))
+    after = F.filter(before, lambda x: ~F.array_contains(F.col(drop), _key(x)))
+    kept = F.when(F.col(drop).isNull(), before).otherwise(after)
+    n, left = (F.greatest(F.coalesce(F.size(x), F.lit(0)), F.lit(0)) for x in (before, kept))
+    text = F.when(n == left, F.col("text").cast("string")).otherwise(F.array_join(kept, "\n"))
     return rows.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in columns if c not in ("n_lines", "n_dropped")],
+        *[text.alias(c) if c == "text" else col(c) for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")],
         n.cast("long").alias("n_lines"), (n - left).cast("long").alias("n_dropped"),
     )

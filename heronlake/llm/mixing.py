@@ -7,31 +7,37 @@ again by weight until none is above.
 Rates: among all rates in [0, 2] whose words meet a source's target, the ones of largest
 (two-sided) entropy around 1 are 2 / (1 + exp(-tilt * size / mean size)), an exponential
 tilt of the odds. The tilt solves the convex dual of the token constraint. Newton steps,
-kept within a bracket, are grouped sums over (source, size, number of documents), so an
-iteration reads one row per distinct size. Sums are decimal, so reruns agree exactly.
+kept within a bracket and begun at the tilt that equal sizes would need, are grouped sums over
+(source, size, number of documents), so an iteration reads one row per distinct size. Sums are
+decimal, so reruns agree exactly. Should STEPS not meet the tolerance, a warning says so; the
+copies end at the target all the same.
 
 Copies: a document gets the whole part of its rate. Its fraction orders the documents of a
 source by hash / fraction (sequential Poisson sampling); extra copies go along that order
 until the source has its target, and the last one is cut to the words still missing. The
-place in the order comes from sums over 4096 ranges of the key, and one range per source
-is sorted.
+place in the order comes from sums over 256 ranges of the key, over 256 ranges of the one
+where the copies end, and so on, three times; a sixteen-millionth of a source is sorted.
 
 Defined cases: null text has size 0 and gets nothing; null sources are one source. Rows
-that repeat doc_id, source and size share what they get, rounded down. Empty sources have
-target 0, and an empty table gives an empty result.
+that repeat doc_id, source and size share what they get, rounded down; null doc_ids are
+such too. Empty sources have target 0, and an empty table gives an empty result. Texts of any
+length count whole. `mix` keeps all columns, whatever their names are; `mix_rates` ignores
+those other than doc_id, source and text.
 """
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm.sides import bounded, own
 from heronlake.session import cut_lineage
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
-RANGES = 4096
-#: Source tables are broadcast up to this many rows; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 100_000
+#: Ranges of the key at each level, and levels.
+RANGES, LEVELS = 256, 3
 #: Newton stops when every source is this close to its target, relative to it.
 TOLERANCE, STEPS = 1e-6, 60
 
@@ -78,7 +84,7 @@ def _with_tilts(sources: DataFrame, sizes: DataFrame) -> DataFrame:
     """`sources` with the tilt that meets its target; null where every document is taken twice."""
     sources = sources.withColumn("mean", F.col("source_size") / F.col("n_docs"))
     state = sources.filter(f"source_size > 0 and target < {CAP} * source_size").selectExpr(
-        "place", "target", "mean", "0.0D as tilt", "-1e9D as low", "1e9D as high", "1.0D as miss"
+        "place", "target", "mean", f"ln(greatest(target, 1e-9) / ({CAP} * source_size - target)) as tilt", "-1e9D as low", "1e9D as high", "1.0D as miss"
     )
     state = cut_lineage(state)
     for _ in range(STEPS):
@@ -101,6 +107,8 @@ def _with_tilts(sources: DataFrame, sizes: DataFrame) -> DataFrame:
         state = cut_lineage(moved)
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"a source's words miss its target by more than {TOLERANCE} after {STEPS} steps", stacklevel=2)
     return sources.join(state.select("place", "tilt"), "place", "left")
 
 
@@ -111,7 +119,7 @@ def _keyed(rows: DataFrame) -> DataFrame:
     chance = (F.pmod(F.xxhash64("doc_id", "place"), F.lit(1 << 50)) + 1) / float(1 << 50)
     key = F.when(F.col("part") > 0, chance / F.col("part"))
     rows = rows.withColumn("key", F.coalesce(key / (1 + key), F.lit(1.0)))
-    return rows.withColumn("range", F.floor(F.col("key") * RANGES).cast("int"))
+    return rows.withColumn("range", F.floor(F.col("key") * RANGES**LEVELS).cast("int"))
 
 
 def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -120,21 +128,30 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     sources = cut_lineage(_with_targets(_ranked(sources)))
     counted = sized.filter("size > 0").groupBy("source", "size").agg(F.count("*").alias("n"))
-    same = counted["source"].eqNullSafe(sources["source"])
-    sizes = cut_lineage(counted.join(sources.select("source", "place"), same).select("place", "size", "n"))
+    other = bounded(sources.select("source", "place"))
+    sizes = cut_lineage(counted.alias("a").join(other.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("place", "size", "n"))
     sources = cut_lineage(_with_tilts(sources, sizes))
-    keyed = _keyed(_attach(sized, sources)).filter("size > 0")
-    ranges = keyed.groupBy("place", "range").agg(
-        F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("base")
-    )
-    ranges = cut_lineage(ranges)
-    base = ranges.groupBy("place").agg(F.sum("base").alias("base"))
-    need = sources.join(base, "place").selectExpr("place", "greatest(0, cast(round(target) as bigint) - base) as need")
-    running = ranges.selectExpr("place", "range", "words", "sum(words) over (partition by place order by range) - words as before")
-    end = running.join(need, "place").filter("before <= need and need < before + words")
-    end = end.selectExpr("place", "range as end_range", "need - before as left_words")
-    sources = cut_lineage(sources.join(end, "place", "left"))
-    last = keyed.join(end, "place").filter("range = end_range").groupBy("place", "key", "doc_id", "size", "left_words").agg(F.count("*").alias("rows"))
+    rows = _keyed(_attach(sized, sources)).filter("size > 0")
+    end = None
+    for level in range(1, LEVELS + 1):
+        width = RANGES ** (LEVELS - level)
+        if end is not None:  # of the ranges so far, only the one where a source's copies end
+            rows = rows.drop("left_words", "upper").join(bounded(end), "place").filter(f"range div {width * RANGES} = upper")
+            rows = cut_lineage(rows) if level == 2 else rows
+        sums = rows.withColumn("part", F.expr(f"range div {width}")).groupBy("place", "part").agg(
+            F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("base")
+        )
+        sums = cut_lineage(sums)
+        if end is None:
+            base = sums.groupBy("place").agg(F.sum("base").alias("base"))
+            need = sources.join(base, "place").selectExpr("place", "greatest(0, cast(round(target) as bigint) - base) as left_words")
+        else:
+            need = end.select("place", "left_words")
+        running = sums.selectExpr("place", "part", "words", "sum(words) over (partition by place order by part) - words as before")  # RANGES rows a source
+        end = running.join(need, "place").filter("before <= left_words and left_words < before + words")
+        end = cut_lineage(end.selectExpr("place", "part as upper", "left_words - before as left_words"))
+    sources = cut_lineage(sources.join(end.selectExpr("place", "upper as end_range", "left_words"), "place", "left"))
+    last = rows.drop("left_words", "upper").join(bounded(end), "place").filter("range = upper").groupBy("place", "key", "doc_id", "size", "left_words").agg(F.count("*").alias("rows"))
     last = last.selectExpr(
         "place", "doc_id", "size", "rows", "left_words",
         "sum(size * rows) over (partition by place order by key, doc_id, size) - size * rows as before",
@@ -143,42 +160,40 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _attach(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    small = sources.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    other = sources.withColumnRenamed("source", "__source").drop("n_docs", "weight")
-    joined = rows.join(F.broadcast(other) if small else other, rows["source"].eqNullSafe(F.col("__source")))
-    return joined.drop("__source")
+    """`rows` (with source) with their source's columns but its name, n_docs and weight."""
+    other = bounded(sources.withColumnRenamed("source", "of").drop("n_docs", "weight"))
+    return rows.join(other, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
 def take(rows: DataFrame, sources: DataFrame, last: DataFrame) -> DataFrame:
-    """`rows` (with doc_id, source, size) with source_size, target and taken."""
+    """`rows` (doc_id, source, size, and `row` or nothing else) with source_size, target and taken."""
     keep = rows.columns
     keyed = _keyed(_attach(rows, sources))
-    small = last.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    some = last.select(F.col("place").alias("__p"), F.col("doc_id").alias("__d"), F.col("size").alias("__s"), "extra")
-    same = (F.col("place") == F.col("__p")) & F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("size") == F.col("__s"))
-    keyed = keyed.join(F.broadcast(some) if small else some, same & (F.col("range") == F.col("end_range")), "left")
+    some = bounded(last.select(F.col("place").alias("p"), F.col("doc_id").alias("d"), F.col("size").alias("s"), "extra"))
+    same = (F.col("place") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("size") == F.col("s"))
+    keyed = keyed.join(some, same & (F.col("range") == F.col("end_range")), "left")
     extra = F.expr("case when range < coalesce(end_range, 0) then size when range = end_range then coalesce(extra, 0) else 0 end")
     return keyed.withColumn("taken", F.col("whole") * F.col("size") + extra).select(*keep, "source_size", "target", "taken")
 
 
+def _sized(docs: DataFrame, *more: Column) -> DataFrame:
+    return docs.select(*more, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
+
+
 def mix_rates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken."""
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"))
-    sized = cut_lineage(sized)
+    sized = cut_lineage(_sized(docs))
     return take(sized, *plan(sized)).drop("source")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The input's columns, each row as often as the mix takes it; a cut copy has the first words, one space between."""
-    columns = docs.columns
-    named = docs.select(*columns, F.col("doc_id").alias("__id"), F.col("source").alias("__src"), size_of(F.col("text")).alias("__size"))
-    sized = cut_lineage(named.select(F.col("__id").cast("long").alias("doc_id"), F.col("__src").cast("string").alias("source"), F.col("__size").alias("size")))
-    whole = F.struct(*[F.col(c) for c in columns]).alias("__row")
-    rows = named.select(whole, F.col("__id").cast("long").alias("doc_id"), F.col("__src").cast("string").alias("source"), F.col("__size").alias("size"))
-    taken = take(rows, *plan(sized)).filter("taken > 0")
-    copies = taken.select("__row", F.explode(F.expr(
+    rows = _sized(docs, F.struct(*own(docs)).alias("row"))  # so that no name clashes
+    taken = take(rows, *plan(cut_lineage(_sized(docs)))).filter("taken > 0")
+    copies = taken.select("row", F.explode(F.expr(
         "concat(array_repeat(size, cast(taken div size as int)), if(taken % size > 0, array(taken % size), array()))"
     )).alias("words"), "size")
-    words = F.filter(F.split(F.col("__row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.col("row").getField("text")
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), " "))
-    return copies.select(*[F.coalesce(cut, F.col("__row.text")).alias(c) if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in columns])
+    return copies.select(*[(F.coalesce(cut, text) if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns])

@@ -2,19 +2,23 @@
 
 The tree is fitted on a bounded sample and every vector is put into a leaf. A query opens
 nodes by a priority queue, largest inner product with the node's mean first. How many
-leaves to visit is calibrated: a bounded set of queries is also searched in all leaves, in
-blocks, and visits are widened until its mean recall reaches the aim.
+leaves to visit is calibrated: a bounded set of queries is also searched in all leaves, and
+visits are widened until its mean recall reaches the aim.
 
-Leaves are searched in blocks of one subtree and at most about BLOCK_ROWS vectors, so a hot
-leaf is split; a query goes once to each block it needs. Equal vectors are searched as one,
+Leaves are searched in blocks: neighbouring small leaves share a block, and a leaf of more
+vectors than a block holds is split. A query goes only to the blocks of the leaves that it
+visits, once to each. Where very many queries visit a block, they are searched in tiles, so a
+task holds a bounded number of vectors and of queries. Equal vectors are searched as one,
 with their k + 1 smallest ids, which are all that can be among the k nearest. Scores are
 sums over the dimensions in order, in double precision, on the original vectors, so ties
 are exact.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no
-part, nor do those whose length isn't the most frequent one; null ids are candidates of no
-query. Repeated ids stand for rows of their own; a query never finds rows with its own id.
-Fewer candidates than k give fewer rows, and an empty table none. Other columns are ignored.
+part, nor do those whose length isn't the most frequent one (the smaller one of equals); rows
+with a null id take no part. A query's own row alone is no candidate of it: other rows with its
+id are. Where rows of one id divisible by the step hold different vectors, the least vector
+(component by component) asks. Fewer candidates than k give fewer rows, and an empty table
+none. Columns other than vec_id and embedding are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -25,28 +29,32 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.llm import worker
+from heronlake.llm.sides import bounded
 from heronlake.session import cut_lineage
 
 #: Vectors that the tree is fitted on and queries that calibrate it, at most.
-SAMPLE, CALIBRATION = 20_000, 200
+SAMPLE, CALIBRATION = 50_000, 200
 BRANCHES, LEAF_ROWS, LEAST_SAMPLE_LEAF = 8, 128, 8
-BLOCK_ROWS = 8192
+#: Vectors of a block, at least and at most, and queries of a tile, at most about.
+BLOCK_ROWS, TILE_ROWS = (1024, 32_768), 32_768
 #: Mean recall aimed at on the calibration queries.
 AIM = 0.96
 
+_FOUND = "query_id long, vec_id long, score double, leaf long"
+
 
 @dataclass
 class Tree:
-    """Nodes by number; children of leaves are empty. `leaf` and `subtree` number the leaves."""
+    """Nodes by number; children of leaves are empty. `leaf` numbers the leaves, neighbours next to each other."""
 
     means: list[np.ndarray] = field(default_factory=list)
     children: list[list[int]] = field(default_factory=list)
     leaf: dict[int, int] = field(default_factory=dict)
-    subtree: list[int] = field(default_factory=list)
 
     def assign(self, x: np.ndarray) -> np.ndarray:
         """Each vector's leaf: the nearest child at every level."""
@@ -79,17 +87,16 @@ class Tree:
 def fit_tree(x: np.ndarray, leaf_size: int, seed: int = 11) -> Tree:
     """Split by k-means into BRANCHES until a node holds at most `leaf_size` of the sample."""
     tree, rng = Tree([x.mean(0) if len(x) else np.zeros(1)], [[]]), np.random.default_rng(seed)
-    todo = [(0, np.arange(len(x)), -1)]
+    todo = [(0, np.arange(len(x)))]
     while todo:
-        node, rows, top = todo.pop()
+        node, rows = todo.pop()
         parts = _split(x[rows], rng) if len(rows) > leaf_size else []
         if len(parts) < 2:
-            tree.leaf[node] = len(tree.subtree)
-            tree.subtree.append(max(top, 0))
+            tree.leaf[node] = len(tree.leaf)
             continue
-        for i, p in enumerate(parts):
+        for p in parts:
             tree.children[node].append(len(tree.means))
-            todo.append((len(tree.means), rows[p], i if node == 0 else top))
+            todo.append((len(tree.means), rows[p]))
             tree.means.append(x[rows[p]].mean(0))
             tree.children.append([])
     return tree
@@ -103,49 +110,78 @@ def _split(x: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
     return [p for i in range(len(m)) if len(p := np.flatnonzero(near == i))]
 
 
-def _matrix(s: pd.Series) -> np.ndarray:
-    return np.stack(s.to_numpy()).astype(np.float64) if len(s) else np.zeros((0, 1))
+def blocks_of(counts: dict[int, int], n_leaves: int, rows: int) -> tuple[list[int], list[int]]:
+    """For each leaf its first block and its number of blocks: neighbours of at most `rows` vectors in all share one."""
+    first, n_blocks, block, used = [], [], -1, rows + 1
+    for leaf in range(n_leaves):
+        n = counts.get(leaf, 0)
+        parts = max(1, -(-n // rows))
+        if used + n > rows:
+            block, used = block + 1, 0
+        first.append(block)
+        n_blocks.append(parts)
+        block += parts - 1
+        used = rows if parts > 1 else used + n
+    return first, n_blocks
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
 def _search_block(k: int):
     """Top k of one block for the queries that visit it."""
 
-    def run(vectors: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def one(x: np.ndarray, leaf: np.ndarray, ids: list, spans: dict, part: pa.Table) -> tuple[np.ndarray, ...]:
+        q, own = _matrix(part.column("embedding")), part.column("query_id").to_numpy()
+        score = np.full((len(q), len(x)), -np.inf)
+        by_leaf: dict[int, list[int]] = {}
+        for i, leaves in enumerate(part.column("leaves").to_pylist()):
+            for v in spans if leaves is None else leaves:
+                by_leaf.setdefault(v, []).append(i)
+        for v, rows in by_leaf.items():
+            if v in spans:
+                a, b = spans[v]
+                score[rows, a:b] = q[rows] @ x[a:b].T
+        # one more: a query's own vector may be among them; 1e-9 covers the order of summation
+        kth = np.partition(score, -(k + 1), axis=1)[:, -(k + 1)] if len(x) > k else np.full(len(q), -np.inf)
+        margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
+        rows, cols = np.nonzero((score >= (kth - margin)[:, None]) & np.isfinite(score))
+        exact = np.zeros(len(rows))
+        for d in range(x.shape[1]):
+            exact += q[rows, d] * x[cols, d]
+        n = np.array([len(ids[c]) for c in cols], np.int64)
+        r, c = np.repeat(rows, n), np.repeat(cols, n)
+        found = np.concatenate([ids[c] for c in cols]).astype(np.int64) if len(cols) else np.zeros(0, np.int64)
+        exact = np.repeat(exact, n)
+        # the query's own row: the first of its id among the copies of its own vector
+        mine = np.flatnonzero(own[r] == found)
+        mine = mine[(q[r[mine]] == x[c[mine]]).all(axis=1)]
+        keep = np.ones(len(r), bool)
+        keep[mine[np.unique(r[mine], return_index=True)[1]]] = False
+        r, c, found, exact = r[keep], c[keep], found[keep], exact[keep]
+        order = np.lexsort((found, -exact, r))
+        r, c, found, exact = r[order], c[order], found[order], exact[order]
+        starts = np.concatenate(([0], np.flatnonzero(r[1:] != r[:-1]) + 1)) if len(r) else np.zeros(0, np.int64)
+        place = np.arange(len(r)) - np.repeat(starts, np.diff(np.append(starts, len(r))))
+        top = place < k
+        return own[r[top]], found[top], exact[top], leaf[c[top]]
+
+    def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        worker.forget("vector_tree")
         out = []
         if len(vectors) and len(queries):
-            vectors = vectors.sort_values("leaf", kind="stable").reset_index(drop=True)
-            x, leaf = _matrix(vectors.embedding), vectors.leaf.to_numpy()
+            vectors = vectors.sort_by("leaf")
+            x, leaf, ids = _matrix(vectors.column("embedding")), vectors.column("leaf").to_numpy(), vectors.column("ids").to_pylist()
             names, begins = np.unique(leaf, return_index=True)
-            spans = dict(zip(names.tolist(), zip(begins, [*begins[1:], len(leaf)], strict=True), strict=True))
-            ids = vectors.ids.to_list()
-            for at in range(0, len(queries), 128):
-                part = queries.iloc[at : at + 128]
-                q = _matrix(part.embedding)
-                score = np.full((len(q), len(x)), -np.inf)
-                by_leaf: dict[int, list[int]] = {}
-                for i, leaves in enumerate(part.leaves):
-                    for v in spans if leaves is None else leaves:
-                        by_leaf.setdefault(int(v), []).append(i)
-                for v, rows in by_leaf.items():
-                    if v in spans:
-                        a, b = spans[v]
-                        score[rows, a:b] = q[rows] @ x[a:b].T
-                # one more: a query's own vector may be among them; 1e-9 covers the order of summation
-                kth = np.partition(score, -(k + 1), axis=1)[:, -(k + 1)] if len(x) > k else np.full(len(q), -np.inf)
-                margin = 1e-9 * (1 + np.abs(np.where(np.isfinite(kth), kth, 0)))
-                rows, cols = np.nonzero((score >= (kth - margin)[:, None]) & np.isfinite(score))
-                exact = np.zeros(len(rows))
-                for d in range(x.shape[1]):
-                    exact += q[rows, d] * x[cols, d]
-                n = [len(ids[c]) for c in cols]
-                r = np.repeat(rows, n)
-                found = pd.DataFrame({
-                    "query_id": part.query_id.to_numpy()[r], "vec_id": np.concatenate([ids[c] for c in cols]).astype(np.int64) if len(cols) else np.zeros(0, np.int64),
-                    "score": np.repeat(exact, n), "leaf": np.repeat(leaf[cols], n),
-                })
-                found = found[found.query_id != found.vec_id].sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-                out.append(found.groupby("query_id", sort=False).head(k))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "leaf": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "leaf": "int64"})
+            spans = dict(zip(names.tolist(), zip(begins.tolist(), [*begins[1:].tolist(), len(leaf)], strict=True), strict=True))
+            step = max(1, min(128, (4 << 20) // len(x)))  # a matrix of scores of at most 32 MB
+            out = [one(x, leaf, ids, spans, queries.slice(at, step)) for at in range(0, len(queries), step)]
+        types = (np.int64, np.int64, np.float64, np.int64)
+        columns = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate(types)]
+        return pa.table(columns, names=[f.split()[0] for f in _FOUND.split(", ")])
 
     return run
 
@@ -163,74 +199,88 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
+class Index:
+    """A fitted tree and the vectors in its leaves, searched for any number of queries."""
+
+    def __init__(self, rows: DataFrame, k: int, sample: int = SAMPLE):
+        """rows: vec_id, embedding (as from `_usable`)."""
+        place = F.expr("row_number() over (partition by embedding order by vec_id)")
+        copies = rows.withColumn("place", place).filter(F.col("place") <= k + 1)
+        points = cut_lineage(copies.groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
+        self.k, self.n = k, points.count()
+        share = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000))
+        some = points.filter(share < math.ceil(1_000_000 * min(1.0, 0.95 * sample / max(self.n, 1))))
+        drawn = some.select(F.array_min("ids").alias("first"), "embedding").limit(sample).toArrow().sort_by("first")
+        x = _matrix(drawn.column("embedding"))[: len(drawn)]
+        self.tree = tree = fit_tree(x, max(LEAST_SAMPLE_LEAF, math.ceil(LEAF_ROWS * len(x) / max(self.n, 1))))
+
+        def leaves_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.forget("vector_tree")
+            for b in batches:
+                if b.num_rows:
+                    yield b.append_column("leaf", pa.array(tree.assign(_matrix(b.column("embedding")))))
+
+        spread = cut_lineage(points.mapInArrow(leaves_of, "embedding array<double>, ids array<bigint>, leaf long"))
+        counts = {r.leaf: r["count"] for r in spread.groupBy("leaf").count().collect()}  # one row per leaf: at most sample / 8
+        tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+        self.first, self.n_blocks = blocks_of(counts, len(tree.leaf), min(BLOCK_ROWS[1], max(BLOCK_ROWS[0], math.ceil(self.n / tasks))))
+        table = rows.sparkSession.createDataFrame([(v, a, n) for v, (a, n) in enumerate(zip(self.first, self.n_blocks, strict=True))], "leaf long, first long, n_blocks long")
+        spread = spread.join(F.broadcast(table), "leaf")  # at most sample / 8 rows of 24 bytes
+        self.vectors = spread.select("embedding", "ids", "leaf", (F.col("first") + F.pmod(F.xxhash64("ids"), F.col("n_blocks"))).alias("block"))
+
+    def asked(self, queries: DataFrame, visits: int | None) -> DataFrame:
+        """(query_id, embedding, block, leaves): each query once for each block of its first `visits` leaves; None: of all."""
+        tree, first, n_blocks = self.tree, self.first, self.n_blocks
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker.forget("vector_tree")
+            for b in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+                rows, blocks, leaves = [], [], []
+                for i, seen in enumerate(tree.visits(_matrix(b.column("embedding")), len(first) if visits is None else visits)):
+                    by: dict[int, list[int]] = {}
+                    for v in seen:
+                        for block in range(first[v], first[v] + n_blocks[v]):
+                            by.setdefault(block, []).append(v)
+                    for block, own in by.items():
+                        rows.append(i), blocks.append(block), leaves.append(None if visits is None else own)
+                part = b.select(["query_id", "embedding"]).take(pa.array(rows, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blocks, pa.int64()), pa.array(leaves, pa.list_(pa.int64()))], ["query_id", "embedding", "block", "leaves"])
+
+        return queries.mapInArrow(ask, "query_id long, embedding array<double>, block long, leaves array<long>")
+
+    def found(self, asked: DataFrame) -> DataFrame:
+        """(query_id, vec_id, score, leaf): the k nearest in each block that a query visits."""
+        asked = cut_lineage(asked)
+        tiles = asked.groupBy("block").agg(F.ceil(F.count("*") / TILE_ROWS).cast("long").alias("n_tiles"))
+        tiles = bounded(cut_lineage(tiles))
+        left = self.vectors.join(tiles, "block").withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_tiles") - 1))).drop("n_tiles")
+        right = asked.join(tiles, "block").withColumn("tile", F.pmod(F.xxhash64("query_id"), F.col("n_tiles"))).drop("n_tiles")
+        return left.groupBy("block", "tile").cogroup(right.groupBy("block", "tile")).applyInArrow(_search_block(self.k), _FOUND)
+
+    def calibrated(self, queries: DataFrame, aim: float) -> int:
+        """The fewest leaves whose visit finds the share `aim` of the true neighbours of at most CALIBRATION queries."""
+        total = queries.count()
+        share = F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 0.9 * CALIBRATION / max(total, 1)))
+        few = cut_lineage(queries.filter(share).limit(CALIBRATION))
+        truth = _best(self.found(self.asked(few, None)), self.k).select("query_id", "leaf").collect()  # CALIBRATION * k rows at most
+        own: dict[int, list[int]] = {}
+        for r in truth:
+            own.setdefault(r.query_id, []).append(r.leaf)
+        drawn = few.toArrow()
+        nth = []
+        for query, visits in zip(drawn.column("query_id").to_pylist(), self.tree.visits(_matrix(drawn.column("embedding")), len(self.first)), strict=False):
+            place = {v: i + 1 for i, v in enumerate(visits)}
+            nth += [place[v] for v in own.get(query, [])]
+        if not nth:
+            return len(self.first)
+        return int(np.sort(nth)[min(len(nth) - 1, math.ceil(aim * len(nth)) - 1)])
+
+
 def search(table: DataFrame, k: int = 20, query_step: int = 20, aim: float = AIM) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest of each row whose id is divisible by `query_step`."""
     rows = _usable(table)
-    place = F.expr("row_number() over (partition by embedding order by vec_id)")
-    texts = rows.withColumn("place", place).filter(F.col("place") <= k + 1).groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
-    points = cut_lineage(texts)
-    n = points.count()
-    share = F.pmod(F.xxhash64("embedding"), F.lit(1_000_000))
-    sample = points.filter(share < math.ceil(1_000_000 * min(1.0, 0.95 * SAMPLE / max(n, 1)))).limit(SAMPLE).select("ids", "embedding").toPandas()
-    sample = _matrix(sample.assign(first=sample.ids.map(lambda v: v[0] if len(v) else 0)).sort_values("first").embedding) if len(sample) else np.zeros((0, 1))
-    tree = fit_tree(sample, max(LEAST_SAMPLE_LEAF, math.ceil(LEAF_ROWS * len(sample) / max(n, 1))))
-    blocks = max(1, math.ceil(n / BLOCK_ROWS / max(1, len(set(tree.subtree)))))
-
-    def leaves_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            if len(b):
-                leaf = tree.assign(_matrix(b.embedding))
-                yield b.assign(leaf=leaf, subtree=np.array(tree.subtree)[leaf])
-
-    spread = points.mapInPandas(leaves_of, "embedding array<double>, ids array<bigint>, leaf long, subtree long")
-    spread = cut_lineage(spread.withColumn("block", F.pmod(F.xxhash64("ids"), F.lit(blocks))))
-    # the size of every block follows the rows; subtrees of uneven size are split by their own count
-    sizes = spread.groupBy("subtree").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("n_blocks"))
-    sizes = cut_lineage(sizes)  # one row per top-level branch
-    spread = spread.join(F.broadcast(sizes), "subtree").withColumn("block", F.pmod(F.xxhash64("ids"), F.col("n_blocks"))).drop("n_blocks")
-    queries = rows.filter(F.pmod(F.col("vec_id"), F.lit(query_step)) == 0).select(F.col("vec_id").alias("query_id"), "embedding").dropDuplicates(["query_id"])
+    index = Index(rows, k)
+    queries = rows.filter(F.pmod(F.col("vec_id"), F.lit(query_step)) == 0).groupBy(F.col("vec_id").alias("query_id")).agg(F.min("embedding").alias("embedding"))
     queries = cut_lineage(queries)
-
-    def run(asked: DataFrame) -> DataFrame:
-        """asked: query_id, embedding, subtree, leaves."""
-        sent = asked.join(F.broadcast(sizes), "subtree").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-        search_one = _search_block(k)
-        return spread.groupBy("subtree", "block").cogroup(sent.groupBy("subtree", "block")).applyInPandas(
-            lambda left, right: search_one(left, right), "query_id long, vec_id long, score double, leaf long"
-        )
-
-    tops = sorted(set(tree.subtree))
-
-    def ask(most: int, every: bool):
-        def one(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for (query, vector), visits in zip(zip(b.query_id, b.embedding, strict=True), tree.visits(_matrix(b.embedding), most), strict=True):
-                    by_top: dict[int, list[int]] = {t: None for t in tops} if every else {}
-                    for v in () if every else visits:
-                        by_top.setdefault(tree.subtree[v], []).append(v)
-                    out += [(query, vector, t, v) for t, v in by_top.items()]
-                yield pd.DataFrame(out, columns=["query_id", "embedding", "subtree", "leaves"])
-
-        return one
-
-    schema = "query_id long, embedding array<double>, subtree long, leaves array<long>"
-    total = queries.count()
-    few = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(1_000_000)) < math.ceil(1_000_000 * min(1.0, 0.9 * CALIBRATION / max(total, 1)))).limit(CALIBRATION)
-    few = cut_lineage(few)
-    truth = _best(run(few.mapInPandas(ask(1, True), schema)), k).select("query_id", "leaf").toPandas()  # CALIBRATION * k rows at most
-    most = _calibrated(tree, few.toPandas(), truth, aim)
-    return _best(run(queries.mapInPandas(ask(most, False), schema)), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
-
-def _calibrated(tree: Tree, queries: pd.DataFrame, truth: pd.DataFrame, aim: float) -> int:
-    """The fewest leaves whose visit finds the share `aim` of the true neighbours."""
-    everything = len(tree.subtree)
-    if not len(truth):
-        return everything
-    nth = []
-    own = truth.groupby("query_id").leaf.apply(list).to_dict()
-    for query, visits in zip(queries.query_id, tree.visits(_matrix(queries.embedding), everything), strict=True):
-        place = {v: i + 1 for i, v in enumerate(visits)}
-        nth += [place[v] for v in own.get(query, [])]
-    return int(np.sort(nth)[min(len(nth) - 1, math.ceil(aim * len(nth)) - 1)])
+    found = index.found(index.asked(queries, index.calibrated(queries, aim)))
+    return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -153,14 +153,18 @@ def test_escape_is_reversible(spark):
 
 
 def exact(ids, x, k, step=20):
+    """Of rows (ids may repeat), the nearest of every query; of one id's different vectors the least asks."""
     out = {}
-    for i, q in zip(ids, x, strict=True):
-        if i % step == 0 and i not in out:
-            score = np.zeros(len(x))
-            for d in range(x.shape[1]):
-                score += q[d] * x[:, d]
-            order = sorted((-s, j) for s, j in zip(score, ids, strict=True) if j != i)[:k]
-            out[i] = [(j, -s) for s, j in order]
+    asks = {}
+    for n, i in enumerate(ids):
+        if i % step == 0 and (i not in asks or x[n].tolist() < x[asks[i]].tolist()):
+            asks[i] = n
+    for i, n in asks.items():
+        score = np.zeros(len(x))
+        for d in range(x.shape[1]):
+            score += x[n, d] * x[:, d]
+        order = sorted((-s, j) for m, (s, j) in enumerate(zip(score, ids, strict=True)) if m != n)[:k]
+        out[i] = [(j, -s) for s, j in order]
     return out
 
 
@@ -177,7 +181,8 @@ def test_search_reaches_recall(spark):
     data = table.orderBy("vec_id").toPandas()
     want = exact(data.vec_id.tolist(), np.stack(data.embedding).astype(np.float64), 20)
     got = ranked(vector_tree.search(table).collect())
-    assert set(got) == set(want)
+    again = ranked(vector_tree.search(table.repartition(5)).collect())
+    assert set(got) == set(want) and got == again
     hits = sum(len(set(got[q]) & set(want[q])) for q in want)
     assert hits >= 0.9 * 20 * len(want)
     for q, own in got.items():
@@ -185,15 +190,40 @@ def test_search_reaches_recall(spark):
 
 
 def test_copies_ties_and_bad_vectors(spark, monkeypatch):
-    monkeypatch.setattr(vector_tree, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vector_tree, "BLOCK_ROWS", (8, 16))
+    monkeypatch.setattr(vector_tree, "TILE_ROWS", 2)
     r = np.random.default_rng(5)
     x = r.normal(size=(40, 4)).astype(np.float32)
     rows = [(i, [float(v) for v in (x[0] if i < 60 else x[i % 40])]) for i in range(200)]
+    rows += [(20, [0.5, 0.25, 2.0, 1.0]), (20, [float(v) for v in x[3]]), (20, [float(v) for v in x[20]]), (41, [1.0] * 4), (41, [1.0] * 4)]
+    whole = list(rows)
     rows += [(1000, None), (1020, [0.0] * 4), (1040, [1.0, None, 0.0, 0.0]), (1060, [float("nan"), 1.0, 1.0, 1.0]), (1080, [float("inf"), 0.0, 0.0, 0.0]), (1100, [1.0]), (None, [1.0] * 4)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("clash"))
-    good = [(i, v) for i, v in rows[:200]]
-    want = exact([i for i, _ in good], np.array([v for _, v in good]), 20)
+    want = exact([i for i, _ in whole], np.array([v for _, v in whole]), 20)
     assert ranked(vector_tree.search(table, aim=1.0).collect()) == want
     assert vector_tree.search(table.limit(0)).count() == 0
     few = spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0]), (20, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert ranked(vector_tree.search(few).collect()) == {0: [(1, 4.0), (20, 3.0)], 20: [(0, 3.0), (1, 3.0)]}
+
+
+def test_blocks_follow_the_leaves():
+    counts = {0: 3, 1: 4, 2: 30, 3: 1, 4: 9, 6: 2, 7: 10, 8: 11}
+    first, n = vector_tree.blocks_of(counts, 9, 10)
+    assert (first, n) == ([0, 0, 1, 4, 4, 4, 5, 6, 7], [1, 1, 3, 1, 1, 1, 1, 1, 2])
+    assert vector_tree.blocks_of({}, 1, 10) == ([0], [1])
+
+
+def test_queries_go_to_the_leaves_they_visit(spark):
+    """Twice the vectors, with the same visits: a query goes to as many blocks, no more."""
+    r = np.random.default_rng(1)
+    centres = r.normal(size=(40, 16))
+    sent = {}
+    for n in (8000, 16_000):
+        x = centres[r.integers(0, 40, n)] + 0.1 * r.normal(size=(n, 16))
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+        index = vector_tree.Index(vector_tree._usable(table), 20)
+        queries = table.filter("vec_id < 400").selectExpr("vec_id as query_id", "embedding")
+        blocks = len({b for f, m in zip(index.first, index.n_blocks, strict=True) for b in range(f, f + m)})
+        sent[n] = index.asked(queries, 3).count()
+        assert 400 <= sent[n] <= 3 * 400 and blocks > 6
+    assert sent[16_000] <= 1.2 * sent[8000]

@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import struct
 import time
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from heronlake.llm import language_id, line_dedup, mixing, secret_scan
@@ -119,6 +121,14 @@ def test_lines_equal_brute_force(spark):
         assert (row.n_lines, row.n_dropped) == (len(lines), len(lines) - len(left))
         assert row.text == (None if text is None else "\n".join(left))
     assert line_dedup.strip_boilerplate(docs.limit(0)).count() == 0
+    names = ["__drop", "__host", "__kept", "boilerplate", "host", "lines", "a.b"]
+    for c in names:
+        docs = docs.withColumn(c, docs["doc_id"])
+    found = line_dedup.strip_boilerplate(docs)
+    assert found.columns == [c for c in docs.columns if c != "n_lines"] + ["n_lines", "n_dropped"]
+    assert all(r[c] == r.doc_id for r in found.collect() for c in names)
+    long = spark.createDataFrame([(i, "menu\n" + "x" * 500_000 * (i == 0), "a") for i in range(4)], "doc_id long, text string, source string")
+    assert {r.doc_id: (r.n_dropped, len(r.text)) for r in line_dedup.strip_boilerplate(long).collect()} == {0: (1, 500_000), 1: (1, 0), 2: (1, 0), 3: (1, 0)}
 
 
 def targets(rows):
@@ -162,17 +172,59 @@ def test_mix_meets_targets(spark):
     assert all(abs(taken[s] - want[s]) <= 3 for s in want)
     again = mixing.mix_rates(docs.repartition(7)).collect()
     assert sorted(map(str, again)) == sorted(map(str, got))
-    rates = {}
-    for r in got:
-        if r.size:
-            rates.setdefault(named[r.doc_id, r.size], set()).add(r.taken // r.size)
-    assert len(rates["z"]) > 1  # documents of one source differ: the rate is tilted and rounded
+    want_taken = plain_mix(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.size, r.taken) for r in got) == sorted((i is None, i or 0, n, t) for (i, n), own in want_taken.items() for t in own)
+
+
+def chained(*values):
+    """Spark's xxhash64 of longs; null leaves the hash as it is."""
+    h = 42
+    for v in values:
+        h = h if v is None else xxhash.xxh64(struct.pack("<q", v), seed=h).intdigest()
+    return h - (1 << 64) * (h >> 63)
+
+
+def plain_mix(rows):
+    """(doc_id, size) -> words taken by each such row: rates by bisection, extra copies in the order of hash / fraction."""
+    sizes, target = targets(rows)
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    out = {}
+    for place, s in enumerate(order):
+        own = [(i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t, x in rows if x == s]
+        mean = sizes[s] / len(own)
+        rate = lambda n, tilt: 2 / (1 + math.exp(-max(-700, min(700, tilt * n / mean)))) if mean else 0
+        if target[s] < 2 * sizes[s]:
+            low, high = -1e3, 1e3
+            for _ in range(200):
+                tilt = (low + high) / 2
+                low, high = (tilt, high) if sum(n * rate(n, tilt) for _, n in own) < target[s] else (low, tilt)
+        else:
+            rate, tilt = (lambda n, tilt: 2.0), 0
+        keyed = []
+        for i, n in own:
+            x = rate(n, tilt)
+            part = x - math.floor(x)
+            key = (chained(i, place) % (1 << 50) + 1) / (1 << 50) / part if part > 0 else None
+            keyed.append((1.0 if key is None else key / (1 + key), i, n, math.floor(x)))
+        left = max(0, round(target[s]) - sum(n * w for _, _, n, w in keyed))
+        groups = {}
+        for key, i, n, w in keyed:
+            groups.setdefault((key, i is not None, i or 0, n), []).append((i, w))
+        for (_, _, _, n), same in sorted(groups.items()):
+            extra = min(left, n * len(same))
+            left -= extra
+            for i, w in same:
+                out.setdefault((i, n), []).append(n * w + extra // len(same))
+    return out
 
 
 def test_mixed_copies_hold_the_words(spark):
     docs = spark.createDataFrame([(*x, i) for i, x in enumerate(corpus(4))], "doc_id long, text string, source string, size long")
-    mixed = mixing.mix(docs)
+    for c in ("__id", "__src", "__size", "row", "words", "a.b", "taken", "place", "of"):
+        docs = docs.withColumn(c, docs["size"])
+    mixed = mixing.mix(docs).cache()
     assert mixed.columns == docs.columns
+    assert mixed.filter("not (__id = size and row = size and words = size and `a.b` = size and place = size)").count() == 0
     words = mixed.groupBy("source").agg(F.sum(mixing.size_of(F.col("text"))).alias("n")).collect()
     _, want = targets(corpus(4))
     assert all(abs(r.n - want[r.source]) <= 3 for r in words)
@@ -217,11 +269,77 @@ def test_pages_use_all_evidence(spark):
     assert right(**evidence) > 0.95 * n and hosts > 0
 
 
+def plain_posteriors(rows, model):
+    """rows: text, host, suffix, declared. The same fusion in plain Python: (lang, posterior) or None."""
+    n = len(model.languages)
+    scores = [None if (x := model.scores((r[0] or "").encode())) is None else [v * language_id.TEMPER for v in x] for r in rows]
+
+    def softmax(logs):
+        p = [math.exp(v - max(logs)) for v in logs]
+        return [v / sum(p) for v in p]
+
+    total = lambda vs: [math.fsum(v[i] for v in vs) for i in range(n)]
+    norm = lambda v: [x / math.fsum(v) for x in v]
+    smooth = lambda own, parent: norm([a + language_id.SMOOTHING * b for a, b in zip(own, parent, strict=True)])
+    flat = [math.log((1 - language_id.OPEN) / n)] * n + [math.log(language_id.OPEN)]
+    alone = [None if s is None else softmax([a + b for a, b in zip(s, flat, strict=True)]) for s in scores]
+    seen = [(r, p) for r, p in zip(rows, alone, strict=True) if p]
+    overall = norm([x + 1 for x in total([p for _, p in seen])])
+    suffixes = {x: smooth(total([p for r, p in seen if r[2] == x]), overall) for x in {r[2] for r, _ in seen}}
+    hosts = {(h, x): smooth(total([p for r, p in seen if r[1:3] == (h, x)]), suffixes[x]) for h, x in {r[1:3] for r, _ in seen}}
+    code = lambda d: None if d is None else d[:2].lower() if d[:2].lower() in model.languages else "other"
+    told = {d: total([p for r, p in seen if code(r[3]) == d]) for d in {code(r[3]) for r, _ in seen} - {None}}
+    sums = [math.fsum(v[i] for v in told.values()) + n + 1 for i in range(n)]
+    out = []
+    for r, s in zip(rows, scores, strict=True):
+        if s is None:
+            out.append(None)
+            continue
+        prior, d = hosts.get(tuple(r[1:3]), overall), code(r[3])
+        logs = [math.log(p * (1 - language_id.OPEN)) + (math.log((told[d][i] + 1) / sums[i]) if d in told else 0) for i, p in enumerate(prior)]
+        p = softmax([a + b for a, b in zip(s, [*logs, math.log(language_id.OPEN)], strict=True)])
+        best = max(range(n + 1), key=lambda i: p[i])
+        out.append((model.languages[best] if best < n and p[best] >= 0.5 else None, p[best]))
+    return out
+
+
+def test_posteriors_equal_plain_bayes(spark):
+    r = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit_text_model(docs)
+    texts = [x.text for x in docs.select("text").limit(150).collect()]
+    rows = [(t[: r.choice([9, 30, 200, 9000])], f"h{r.randrange(6)}", r.choice(["com", "fr", None]), r.choice(["en", "FR-ca", "xx", None, "de"])) for t in texts]
+    rows += [(None, "h1", "com", "en"), ("## 12", "h1", "com", "en"), ("the and of", None, None, None), ("the and of", None, None, None), (texts[0] * 3000, "long", "com", None)]
+    table = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, host string, suffix string, declared string").repartition(4)
+    found = language_id.identify(table, model, host=F.col("host"), suffix=F.col("suffix"), declared=F.col("declared")).collect()
+    want = plain_posteriors(rows, model)
+    assert len(found) == len(rows)
+    for x in found:
+        if want[x.doc_id] is None:
+            assert (x.lang, x.accepted) == (None, False)
+        else:
+            assert (x.lang, x.accepted) == (want[x.doc_id][0], want[x.doc_id][0] is not None)
+            assert x.posterior == pytest.approx(want[x.doc_id][1], abs=1e-9)
+
+
+def test_op1_uses_documents_and_pages(spark):
+    from heronlake.llm import catalog
+
+    rows = catalog.op1_language_id(spark, SF).collect()
+    docs = {x.doc_id: x.lang for x in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").collect()}
+    pages = {x.page_id: x.html for x in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()}
+    assert len(rows) == len(docs) + len(pages)
+    assert sum(x.detected_lang == docs[x.doc_id] for x in rows if x.doc_id >= 0) > 0.98 * len(docs)
+    assert sum(f'lang="{x.detected_lang}"' in pages[x.page_id] for x in rows if x.page_id is not None) > 0.95 * len(pages)
+
+
 def test_odd_rows_and_pipeline_stage(spark):
     docs = spark.createDataFrame(
         [(1, "the cat and the dog sat on the mat", "en", "h", 1), (2, None, "en", None, 1), (3, "", None, "h", 1), (None, "le chat et le chien sont dans la maison", "fr", None, 1), (5, "##", "en", "h", 1), (1, "the cat and the dog sat on the mat", "en", "h", 1)],
         "doc_id long, text string, lang string, source string, accepted long",
     )
+    for c in ("__d", "__t", "gone_id", "gone_key", "host", "scores", "a.b"):
+        docs = docs.withColumn(c, docs["accepted"])
     kept = language_id.drop_unidentified(docs)
     assert kept.columns == docs.columns
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "None"]
