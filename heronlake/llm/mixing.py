@@ -32,7 +32,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.llm.sides import bounded, own
+from heronlake.llm.sides import BROADCAST_BYTES, bounded, own
 from heronlake.session import cut_lineage
 
 WEIGHTS, SHARE, CAP = (3, 1, 2), 1.5, 2
@@ -87,15 +87,17 @@ def _with_tilts(sources: DataFrame, sizes: DataFrame) -> DataFrame:
         "place", "target", "mean", f"ln(greatest(target, 1e-9) / ({CAP} * source_size - target)) as tilt", "-1e9D as low", "1e9D as high", "1.0D as miss"
     )
     state = cut_lineage(state)
+    # one row a source in all that is joined here: if the first table is small enough for broadcasts, all are
+    small = _small(state)
     for _ in range(STEPS):
         rate = _rate("tilt", "size", "mean")
-        terms = sizes.join(state, "place").withColumn("rate", rate)
+        terms = sizes.join(small(state), "place").withColumn("rate", rate)
         words, slope = "size * n * rate", "size * n * (size / mean) * rate * (1 - rate / 2)"
         sums = terms.groupBy("place").agg(
             F.expr(f"cast(sum(cast({words} as decimal(32, 6))) as double)").alias("words"),
             F.expr(f"cast(sum(cast({slope} as decimal(32, 6))) as double)").alias("slope"),
         )
-        moved = state.join(sums, "place").selectExpr(
+        moved = state.join(small(sums), "place").selectExpr(
             "place", "target", "mean", "tilt as was", "if(words < target, tilt, low) as low", "if(words > target, tilt, high) as high",
             "abs(words - target) / greatest(target, 1) as miss",
             "tilt - greatest(-4, least(4, (words - target) / greatest(slope, 1e-9))) as step",
@@ -109,7 +111,13 @@ def _with_tilts(sources: DataFrame, sizes: DataFrame) -> DataFrame:
             break
     else:
         warnings.warn(f"a source's words miss its target by more than {TOLERANCE} after {STEPS} steps", stacklevel=2)
-    return sources.join(state.select("place", "tilt"), "place", "left")
+    return sources.join(small(state.select("place", "tilt")), "place", "left")
+
+
+def _small(sources: DataFrame):
+    """F.broadcast if a table of one row a source is small enough for it, with twelve columns of 8 bytes at most; else nothing."""
+    most = BROADCAST_BYTES // (16 + 12 * 8)
+    return F.broadcast if sources.limit(most + 1).count() <= most else lambda rows: rows
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
@@ -132,11 +140,11 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = cut_lineage(counted.alias("a").join(other.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select("place", "size", "n"))
     sources = cut_lineage(_with_tilts(sources, sizes))
     rows = _keyed(_attach(sized, sources)).filter("size > 0")
-    end = None
+    end, small = None, _small(sources)
     for level in range(1, LEVELS + 1):
         width = RANGES ** (LEVELS - level)
         if end is not None:  # of the ranges so far, only the one where a source's copies end
-            rows = rows.drop("left_words", "upper").join(bounded(end), "place").filter(f"range div {width * RANGES} = upper")
+            rows = rows.drop("left_words", "upper").join(small(end), "place").filter(f"range div {width * RANGES} = upper")
             rows = cut_lineage(rows) if level == 2 else rows
         sums = rows.withColumn("part", F.expr(f"range div {width}")).groupBy("place", "part").agg(
             F.sum("size").alias("words"), F.sum(F.col("whole") * F.col("size")).alias("base")
@@ -144,14 +152,14 @@ def plan(sized: DataFrame) -> tuple[DataFrame, DataFrame]:
         sums = cut_lineage(sums)
         if end is None:
             base = sums.groupBy("place").agg(F.sum("base").alias("base"))
-            need = sources.join(base, "place").selectExpr("place", "greatest(0, cast(round(target) as bigint) - base) as left_words")
+            need = sources.join(small(base), "place").selectExpr("place", "greatest(0, cast(round(target) as bigint) - base) as left_words")
         else:
             need = end.select("place", "left_words")
         running = sums.selectExpr("place", "part", "words", "sum(words) over (partition by place order by part) - words as before")  # RANGES rows a source
-        end = running.join(need, "place").filter("before <= left_words and left_words < before + words")
+        end = running.join(small(need), "place").filter("before <= left_words and left_words < before + words")
         end = cut_lineage(end.selectExpr("place", "part as upper", "left_words - before as left_words"))
-    sources = cut_lineage(sources.join(end.selectExpr("place", "upper as end_range", "left_words"), "place", "left"))
-    last = rows.drop("left_words", "upper").join(bounded(end), "place").filter("range = upper").groupBy("place", "key", "doc_id", "size", "left_words").agg(F.count("*").alias("rows"))
+    sources = cut_lineage(sources.join(small(end.selectExpr("place", "upper as end_range", "left_words")), "place", "left"))
+    last = rows.drop("left_words", "upper").join(small(end), "place").filter("range = upper").groupBy("place", "key", "doc_id", "size", "left_words").agg(F.count("*").alias("rows"))
     last = last.selectExpr(
         "place", "doc_id", "size", "rows", "left_words",
         "sum(size * rows) over (partition by place order by key, doc_id, size) - size * rows as before",

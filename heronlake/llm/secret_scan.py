@@ -86,7 +86,8 @@ def _spans(text: Column, pattern: str, kind: int, fits=None) -> Column:
             starts = _running(ends, F.lit(0), lambda at, n: at + n)
             return F.flatten(F.zip_with(done, F.slice(starts, 1, F.size(done)), lambda d, at: F.transform(d["found"], lambda x: moved(x, at))))
 
-        return F.when(F.size(pieces) > 1, _let(done, join)).otherwise(empty)
+        few = F.aggregate(pieces, zero, step, lambda acc: acc["found"])
+        return F.when(F.size(pieces) <= 1, empty).when(F.size(pieces) <= GROUP, few).otherwise(_let(done, join))
 
     return _let(F.split(marked, _MARK), placed)
 
@@ -114,7 +115,9 @@ def _candidate(span: Column) -> Column:
     def shifted(part: Column, by: Column) -> Column:
         return F.struct((part["at"] + by).alias("at"), part["body"].alias("body"))
 
+    one = F.array(F.struct(F.lit(0).alias("at"), body.alias("body")))
     parts = F.flatten(F.transform(cut(body, STRETCH), lambda long: F.transform(cut(long["body"], PART), lambda part: shifted(part, long["at"]))))
+    parts = F.when(F.length(body) < PART + WINDOW, one).otherwise(parts)
     return F.struct(span["start"].alias("start"), limit.alias("limit"), parts.alias("parts"))
 
 
@@ -170,7 +173,9 @@ def _clear(base: Column, added: Column) -> Column:
         begin = lambda top: F.struct(top.alias("top"), none.alias("found"))
         return F.flatten(F.zip_with(groups, F.slice(before, 1, F.size(groups)), lambda g, top: F.aggregate(g, begin(top), step, lambda acc: acc["found"])))
 
-    return F.when(F.size(added) > 0, _let(events, lambda all_: _let(_groups(all_), swept))).otherwise(none)
+    swept_whole = lambda all_: F.when(F.size(all_) <= GROUP, F.aggregate(all_, F.struct(F.lit(-1).alias("top"), none.alias("found")), step, lambda acc: acc["found"])).otherwise(_let(_groups(all_), swept))
+    # without base spans nothing can overlap
+    return F.when(F.size(added) == 0, none).when(F.size(base) == 0, added).otherwise(_let(events, swept_whole))
 
 
 def _joined(spans: Column) -> Column:

@@ -118,7 +118,12 @@ class Counter:
 
     def piece(self, piece: bytes) -> int:
         """Words << 32 | tokens of a piece."""
-        words = _WORDS.findall("".join(c.lower() for c in unicodedata.normalize("NFC", piece.decode())))
+        text = piece.decode()
+        if not piece.isascii():
+            text = unicodedata.normalize("NFC", text)
+        # letter by letter, as a final sigma is no case of its own here
+        text = text.lower() if "\u03a3" not in text else "".join(c.lower() for c in text)
+        words = [text] if text.isalpha() and max(text) < "\u0250" else _WORDS.findall(text)
         return len(words) << 32 | sum(self.automaton.count((*w.encode(), *self.end)) for w in words)
 
     def _learn(self, pieces: list[bytes]) -> dict[bytes, int]:

@@ -17,8 +17,8 @@ import pyarrow.compute as pc
 
 #: Rows and bytes of text that are worked on at once.
 ROWS, SIZE = 500, 1 << 20
-#: Bytes that one cache may hold, in two generations, and bytes of an entry beside its key and value.
-MEMORY, ENTRY = 48 << 20, 150
+#: Bytes that one cache may hold, in two generations, and bytes of an entry beside its value and its key's signs.
+MEMORY, ENTRY = 48 << 20, 110
 #: Longer keys are not remembered.
 LONGEST = 64
 
@@ -72,7 +72,7 @@ class Remembered:
     the old one's entries are gone, but for those that were asked for meanwhile.
     """
 
-    def __init__(self, memory: int = MEMORY, weigh: Callable = lambda values: sum(map(len, values))):
+    def __init__(self, memory: int = MEMORY, weigh: Callable = lambda values: sum(map(len, values)) + 33 * len(values)):
         self.half, self.held, self.weigh = memory // 2, 0, weigh
         self.young: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
