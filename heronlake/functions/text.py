@@ -5,20 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Scores are ranked and kept with so many decimals, so that sums in any order rank alike; queries show fewer.
+DIGITS = 9
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # The bytes that separate tokens, besides ASCII white space and punctuation.
 INDEX_HIGH_BYTES = (
-    "80 82 83 84 85 88 89 8A 8B 8C 8F 90 91 98 99 9A 9B 9C 9D A0 A2 A3 A4 A5 A6 A7 A8 A9 AA AB AC AE AF "
-    "B0 B1 B2 B3 B4 B6 B7 B8 B9 BA BB BC BD BE BF C2 C3 E2 EF"
+    0x80, 0x82, 0x83, 0x84, 0x85, 0x88, 0x89, 0x8A, 0x8B, 0x8C, 0x8F, 0x90, 0x91, 0x98, 0x99, 0x9A, 0x9B, 0x9C, 0x9D, 0xA0, 0xA2, 0xA3, 0xA4, 0xA5,
+    0xA6, 0xA7, 0xA8, 0xA9, 0xAA, 0xAB, 0xAC, 0xAE, 0xAF, 0xB0, 0xB1, 0xB2, 0xB3, 0xB4, 0xB6, 0xB7, 0xB8, 0xB9, 0xBA, 0xBB, 0xBC, 0xBD, 0xBE, 0xBF,
+    0xC2, 0xC3, 0xE2, 0xEF,
+)
+QUERY_HIGH_BYTES = (
+    0x80, 0x9A, 0x9C, 0x9D, 0xB7, 0xBC, 0xC2, 0xE2, 0xEF,
 )
-QUERY_HIGH_BYTES = "80 9A 9C 9D B7 BC C2 E2 EF"
 # Fixed values end.
 
 
-def _class(high: str, underscore: bool = True) -> str:
+def _class(high: tuple[int, ...], underscore: bool = True) -> str:
     marks = r"\s\x0b!-/:-@\[-^`{-~" + ("_" if underscore else "")
-    return "[" + marks + "".join(rf"\x{b}" for b in high.split()) + "]"
+    return "[" + marks + "".join(rf"\x{b:02X}" for b in high) + "]"
 
 
 def ascii_lower(text: Column) -> Column:
@@ -33,7 +39,8 @@ def _bytes(text: Column) -> Column:
 def index_tokens(text: Column) -> Column:
     """Tokens of a document: byte separators, ASCII lower case, first byte a letter or digit."""
     parts = F.split(ascii_lower(_bytes(text)), _class(INDEX_HIGH_BYTES))
-    return F.filter(parts, lambda t: t.rlike("^[a-z0-9]"))
+    # between "0" and "z" no sign is left in a token but digits and small letters
+    return F.filter(parts, lambda t: (t >= "0") & (t < "{"))
 
 
 def query_tokens(text: Column, canonical: bool = True, underscore: bool = True) -> Column:
@@ -68,6 +75,12 @@ def with_prefix(text: Column, kind: str) -> Column:
     return F.concat(F.lit(f"{kind}: "), F.coalesce(text.cast("string"), F.lit("")))
 
 
+def line_kind(line: Column) -> Column:
+    """How a result line is read by its number of parts: `full` with content, `score` without, `other`."""
+    parts = F.size(F.split(line, ", "))
+    return F.when(parts == 3, "full").when(parts == 2, "score").otherwise("other")
+
+
 def result_line(doc_id: Column, score: Column, content: Column | None = None) -> Column:
     """One line of a result listing; commas in the content become spaces."""
     head = F.concat(F.lit("DocId: "), doc_id.cast("string"), F.lit(", Score: "), F.format_string("%.6f", score))

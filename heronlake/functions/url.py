@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 # Endings of URLs that are not visited.
 BLACKLIST = (
-    ".jpg .jpeg .png .gif .bmp .svg .pdf .doc .docx .xls .xlsx .ppt .txt .zip .rar .tar .gz .7z .bz2 "
-    ".mp3 .wav .ogg .aac .flac .mp4 .avi .mov .mkv .webm .exe .bin .dll .msi .sh .iso .css .js .json .xml .rss "
-    ".ico .ttf .woff .woff2 .eot .swf .flv .fla .php .aspx .cgi .py .pl .rb .jsp .dat .log .bak"
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".svg", ".pdf", ".doc", ".docx", ".xls", ".xlsx", ".ppt", ".txt", ".zip", ".rar", ".tar", ".gz", ".7z", ".bz2",
+    ".mp3", ".wav", ".ogg", ".aac", ".flac", ".mp4", ".avi", ".mov", ".mkv", ".webm", ".exe", ".bin", ".dll", ".msi", ".sh", ".iso", ".css", ".js", ".json", ".xml", ".rss",
+    ".ico", ".ttf", ".woff", ".woff2", ".eot", ".swf", ".flv", ".fla", ".php", ".aspx", ".cgi", ".py", ".pl", ".rb", ".jsp", ".dat", ".log", ".bak",
 )
 # Second-level labels with their own priority scale.
-WHITELIST = "govt org ac co cri health com net edu mil info biz int ai io tech xyz"
+WHITELIST = ("govt", "org", "ac", "co", "cri", "health", "com", "net", "edu", "mil", "info", "biz", "int", "ai", "io", "tech", "xyz")
+# The grades of the three priority scales, as (largest value, grade), and the grade beyond.
+BY_ENQUEUED = ((0, 1), (1, 2), (2, 3), (5, 4), (10, 5), (100, 6), (1000, 7), (10_000, 8), (1_000_000, 9)), 10
+BY_IN_DEGREE = ((0, 10), (1, 9), (2, 8), (5, 7), (10, 6), (20, 5), (50, 4), (500, 3), (8000, 2)), 1
+BY_KNOWN_LABEL = ((0, 1), (5, 2), (20, 3), (50, 4), (200, 5), (500, 6), (1000, 7), (10_000, 8), (100_000, 9)), 10
+BY_OTHER_LABEL = ((0, 2), (3, 3), (6, 4), (15, 5), (50, 6), (600, 8), (10_000, 9)), 10
+# The weights of enqueued links, of in-degree and of the label.
+WEIGHTS = 47, 13, 29
 # Fixed values end.
 
 AUTHORITY = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
@@ -43,7 +50,7 @@ def minimize(url: Column) -> Column:
 
 def is_valid(url: Column, suffix: str = ".nz") -> Column:
     """Host ends with `suffix` (as written, port included) and the URL has no blacklisted ending."""
-    endings = "|".join(e.replace(".", r"\.") for e in BLACKLIST.split())
+    endings = "|".join(e.replace(".", r"\.") for e in BLACKLIST)
     return F.endswith(domain(url), F.lit(suffix)) & ~F.lower(url).rlike(f"({endings})$")
 
 
@@ -91,27 +98,26 @@ def join_url(base: Column, href: Column) -> Column:
     )
 
 
-def _steps(value: Column, bounds: list[tuple[int, int]], last: int) -> Column:
-    out = None
-    for most, grade in bounds:
-        out = F.when(value <= most, grade) if out is None else out.when(value <= most, grade)
-    return out.otherwise(last)
+def _grade(value: Column, scale: tuple) -> Column:
+    bounds, last = scale
+    out = F.lit(last)
+    for most, grade in reversed(bounds):
+        out = F.when(value <= most, grade).otherwise(out)
+    return out
 
 
 def domain_priority(enqueued: Column) -> Column:
-    return _steps(enqueued, [(0, 1), (1, 2), (2, 3), (5, 4), (10, 5), (100, 6), (1000, 7), (10_000, 8), (1_000_000, 9)], 10)
+    return _grade(enqueued, BY_ENQUEUED)
 
 
 def in_degree_priority(in_degree: Column) -> Column:
-    return _steps(in_degree, [(0, 10), (1, 9), (2, 8), (5, 7), (10, 6), (20, 5), (50, 4), (500, 3), (8000, 2)], 1)
+    return _grade(in_degree, BY_IN_DEGREE)
 
 
 def second_last_priority(label: Column, visits: Column) -> Column:
-    known = _steps(visits, [(0, 1), (5, 2), (20, 3), (50, 4), (200, 5), (500, 6), (1000, 7), (10_000, 8), (100_000, 9)], 10)
-    other = _steps(visits, [(0, 2), (3, 3), (6, 4), (15, 5), (50, 6), (600, 8), (10_000, 9)], 10)
-    return F.when(label.isNull(), 10).when(label.isin(*WHITELIST.split()), known).otherwise(other)
+    return F.when(label.isNull(), 10).when(label.isin(*WHITELIST), _grade(visits, BY_KNOWN_LABEL)).otherwise(_grade(visits, BY_OTHER_LABEL))
 
 
 def final_priority(by_domain: Column, by_in_degree: Column, by_second_last: Column) -> Column:
     """Lower comes first."""
-    return 47 * by_domain + 13 * by_in_degree + 29 * by_second_last
+    return WEIGHTS[0] * by_domain + WEIGHTS[1] * by_in_degree + WEIGHTS[2] * by_second_last

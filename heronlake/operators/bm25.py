@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.functions.text import query_tokens
+from heronlake.functions.text import DIGITS, query_tokens
 from heronlake.operators.index import Index
 
 K1, B = 1.2, 0.75
+#: Up to so many distinct query terms are pushed down to the postings' scan; more are joined.
+PUSHED_TERMS = 10_000
 MODES = {"0": "and", "and": "and", "conjunctive": "and", "1": "or", "or": "or", "disjunctive": "or"}
 
 
@@ -33,16 +35,28 @@ def query_terms(queries: DataFrame, canonical: bool = True, underscore: bool = T
     return counts.withColumn("n_terms", F.expr("count(*) over (partition by query_id)"))
 
 
+def _for_terms(table: DataFrame, terms: DataFrame, pushed: list[str] | None) -> DataFrame:
+    """The table's rows of the terms: by a filter that reaches the scan, or by a join."""
+    if pushed is not None:
+        return table.filter(F.col("term").isin(pushed))
+    return table.join(terms.select("term").distinct(), "term", "left_semi")
+
+
 def score(queries: DataFrame, index: Index, mode: str | int = "or", length: str = "words", floor_average: bool = False, canonical: bool = True) -> DataFrame:
-    """(query_id, doc_id, score) of all matches; scores are rounded to 6 decimals, so sums in any order rank alike."""
+    """(query_id, doc_id, score) of all matches; only the postings of the batch's terms are read."""
     columns = {"words": ("word_count", "avg_words"), "bytes": ("data_length", "avg_bytes")}
     own, average = columns[length]
-    terms = query_terms(queries, canonical).join(index.lexicon.select("term", "df"), "term", "left").fillna(0, ["df"])
-    hits = index.postings.join(terms, "term").join(index.doc_stats.select("doc_id", own), "doc_id")
+    terms = query_terms(queries, canonical)
+    some = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    few = len(some) <= PUSHED_TERMS
+    pushed = some if few else None
+    known = terms.join(_for_terms(index.lexicon, terms, pushed).select("term", "df"), "term")
+    known = F.broadcast(known) if few and queries.limit(PUSHED_TERMS + 1).count() <= PUSHED_TERMS else known
+    hits = _for_terms(index.postings, terms, pushed).select("term", "doc_id", "tf", own).join(known, "term")
     hits = hits.crossJoin(F.broadcast(index.corpus()))  # one row
     mean = F.floor(average) if floor_average else F.col(average)
     part = F.col("qtf") * term_score(F.col("tf"), F.col("df"), F.col("n_docs"), F.col(own), mean)
-    found = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
+    found = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
     if mode_of(mode) == "and":
         found = found.filter("matched = n_terms")
     return found.select("query_id", "doc_id", "score")
@@ -70,3 +84,11 @@ def search_text(spark, index: Index, text: str, mode: str | int = "or", k: int =
     if not text.strip():
         raise ValueError("empty query")
     return search(spark.createDataFrame([(0, text)], "query_id long, text string"), index, mode, k, docs).orderBy("rank")
+
+
+def search_line(spark, index: Index, line: str, k: int = 20, docs: DataFrame | None = None) -> DataFrame:
+    """A query as it comes over the wire: `text|mode`, the mode after the last bar."""
+    text, bar, mode = line.rstrip("\r\n").rpartition("|")
+    if not bar:
+        raise ValueError("no mode in the line")
+    return search_text(spark, index, text, mode, k, docs)

@@ -1,15 +1,27 @@
-"""Dense retrieval: exact and hashed top-k over array columns."""
+"""Dense retrieval: exact top-k over array columns, and a saved index of hashed vectors."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronlake.functions.text import DIGITS
 from heronlake.functions.vectors import dot, inverse_distance, squared_l2
 from heronlake.operators.bm25 import top_k
 
-#: Queries are broadcast up to this many rows; larger sets go through in that many rows at a time.
+#: Queries are broadcast up to this many rows; larger sets go through in about that many rows at a time.
 BROADCAST_QUERIES = 10_000
+#: Hash tables, bits of a bucket's number, and bits in which a query's buckets may differ from its own.
+TABLES, BITS, PROBES = 16, 6, 1
+
+
+def _value(metric: str) -> Column:
+    distance = squared_l2(F.col("q"), F.col("embedding"))
+    value = {"dot": dot(F.col("q"), F.col("embedding")), "l2": -distance, "inverse": inverse_distance(distance)}[metric]
+    return F.round(value, DIGITS)
 
 
 def exact_scores(queries: DataFrame, corpus: DataFrame, metric: str = "dot") -> DataFrame:
@@ -18,28 +30,96 @@ def exact_scores(queries: DataFrame, corpus: DataFrame, metric: str = "dot") ->
     metric: dot, l2 (negated, so more is nearer) or inverse (1 / squared distance).
     """
     rows = queries.select("query_id", F.col("vector").alias("q"))
-    small = rows.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    pairs = corpus.select("doc_id", "embedding").crossJoin(F.broadcast(rows) if small else rows)
-    distance = squared_l2(F.col("q"), F.col("embedding"))
-    value = {"dot": dot(F.col("q"), F.col("embedding")), "l2": -distance, "inverse": inverse_distance(distance)}[metric]
-    return pairs.select("query_id", "doc_id", F.round(value, 6).alias("score"))
+    return corpus.select("doc_id", "embedding").crossJoin(F.broadcast(rows)).select("query_id", "doc_id", _value(metric).alias("score"))
+
+
+def _slices(queries: DataFrame) -> list[DataFrame]:
+    """The queries in parts, by hash, of about BROADCAST_QUERIES rows."""
+    n = max(1, math.ceil(queries.count() / BROADCAST_QUERIES))
+    return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 
 def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, metric: str = "dot") -> DataFrame:
-    return top_k(exact_scores(queries, corpus, metric), k)
-
-
-def hashed_top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, bucket: float = 1.0, tables: int = 5, radius: float = 2.0) -> DataFrame:
-    """Approximate top-k by locality-sensitive hashing; pairs within `radius` that share a bucket."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    side = lambda d, key, v: d.select(F.col(key).alias("id"), array_to_vector(F.col(v).cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7)
-    left, right = side(queries, "query_id", "vector"), side(corpus, "doc_id", "embedding")
-    near = model.fit(right).approxSimilarityJoin(left, right, radius, "distance")
-    scored = near.select(
-        F.col("datasetA.id").alias("query_id"), F.col("datasetB.id").alias("doc_id"),
-        F.round(inverse_distance(F.col("distance") * F.col("distance")), 6).alias("score"),
-    )
-    return top_k(scored, k)
+    found = None
+    for part in _slices(queries):
+        best = top_k(exact_scores(part, corpus, metric), k)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def planes(dim: int, tables: int = TABLES, bits: int = BITS) -> list[list[list[float]]]:
+    """Normals of hyperplanes, one for each bit of each table, from a fixed rule that any engine can follow."""
+
+    def draw(i: int) -> float:
+        x = i + 1
+        for _ in range(3):
+            x = (x * 1664525 + 1013904223) % (1 << 32)
+            x ^= x >> 15
+        return x / (1 << 31) - 1
+
+    return [[[draw((t * bits + b) * dim + d) for d in range(dim)] for b in range(bits)] for t in range(tables)]
+
+
+def buckets(vector: Column, normals: list[list[list[float]]]) -> Column:
+    """Array of a vector's bucket in each table: a bit is set where the vector is on the plane's positive side."""
+    tables = F.array(*[F.array(*[F.array(*map(F.lit, v)) for v in table]) for table in normals])
+    side = lambda normal, i: F.when(dot(vector, normal) > 0, F.call_function("shiftleft", F.lit(1), i)).otherwise(0)
+    return F.transform(tables, lambda table: F.aggregate(F.transform(table, side), F.lit(0), lambda s, x: s + x))
+
+
+@dataclass(frozen=True)
+class HashedIndex:
+    """vectors(doc_id, embedding) and hashes(table, bucket, doc_id); `dim`: length of the vectors."""
+
+    vectors: DataFrame
+    hashes: DataFrame
+    dim: int
+
+    @staticmethod
+    def build(corpus: DataFrame) -> HashedIndex:
+        """corpus: doc_id, embedding; vectors of another length than the first one's are an error when read."""
+        one = corpus.filter("embedding is not null").select(F.size("embedding").alias("n")).first()
+        dim = one.n if one else 0
+        rows = corpus.filter("embedding is not null").select("doc_id", "embedding")
+        hashes = rows.select("doc_id", F.posexplode(buckets(F.col("embedding"), planes(dim))).alias("table", "bucket"))
+        return HashedIndex(rows, hashes.select("table", "bucket", "doc_id"), dim)
+
+    def save(self, path: str) -> HashedIndex:
+        """Written once, read by any number of searches: hashes are dealt out and sorted by bucket."""
+        spark = self.vectors.sparkSession
+        self.vectors.write.parquet(f"{path}/vectors")
+        rows = HashedIndex.build(spark.read.parquet(f"{path}/vectors")).hashes
+        rows.repartitionByRange("table", "bucket", "doc_id").sortWithinPartitions("table", "bucket", "doc_id").write.parquet(f"{path}/hashes")
+        return HashedIndex.load(spark, path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> HashedIndex:
+        vectors = spark.read.parquet(f"{path}/vectors")
+        one = vectors.select(F.size("embedding").alias("n")).first()
+        return HashedIndex(vectors, spark.read.parquet(f"{path}/hashes"), one.n if one else 0)
+
+    def candidates(self, queries: DataFrame) -> DataFrame:
+        """(query_id, doc_id): those in a bucket that differs from the query's in PROBES bits at most, in any table."""
+        near = [x for x in range(1 << BITS) if x.bit_count() <= PROBES]
+        asked = queries.select("query_id", F.posexplode(buckets(F.col("vector"), planes(self.dim))).alias("table", "own"))
+        asked = asked.select("query_id", "table", F.explode(F.transform(F.array(*map(F.lit, near)), lambda x: F.col("own").bitwiseXOR(x))).alias("bucket"))
+        return asked.join(self.hashes, ["table", "bucket"]).select("query_id", "doc_id").distinct()
+
+    def search(self, queries: DataFrame, k: int = 100, metric: str = "dot") -> DataFrame:
+        """Top k of the candidates by exact score; queries with fewer than k candidates are searched exactly."""
+        pairs = self.candidates(queries).join(self.vectors, "doc_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+        found = top_k(pairs.select("query_id", "doc_id", _value(metric).alias("score")), k)
+        full = found.filter(F.col("rank") == k).select("query_id")
+        short = queries.join(full, "query_id", "left_anti")
+        return found.join(full, "query_id", "left_semi").unionByName(exact_top_k(short, self.vectors, k, metric))
+
+
+def hashed_top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, metric: str = "dot") -> DataFrame:
+    """Approximate top-k without a saved index."""
+    return HashedIndex.build(corpus).search(queries, k, metric)
+
+
+def recall(found: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: the share of `truth`'s (query_id, doc_id) that is found."""
+    hits = truth.join(found.select("query_id", "doc_id", F.lit(1).alias("hit")), ["query_id", "doc_id"], "left")
+    return hits.agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))

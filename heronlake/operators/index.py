@@ -7,32 +7,49 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronlake.functions.arrays import runs
 from heronlake.functions.text import index_tokens
 
 
 @dataclass(frozen=True)
 class Index:
-    """postings(term, doc_id, tf), doc_stats(doc_id, data_length, word_count), lexicon(term, df)."""
+    """postings(term, doc_id, tf, data_length, word_count), doc_stats(doc_id, data_length, word_count), lexicon(term, df, max_tf).
+
+    A saved index also has `totals`: one row of n_docs, avg_words, avg_bytes.
+    """
 
     postings: DataFrame
     doc_stats: DataFrame
     lexicon: DataFrame
+    totals: DataFrame | None = None
 
     def corpus(self) -> DataFrame:
         """One row: n_docs, avg_words, avg_bytes."""
+        if self.totals is not None:
+            return self.totals
         return self.doc_stats.agg(
             F.count("*").alias("n_docs"), F.avg("word_count").alias("avg_words"), F.avg("data_length").alias("avg_bytes")
         )
 
-    def save(self, path: str) -> None:
-        """Postings are dealt out and sorted by term, so a query's terms prune row groups."""
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+    def save(self, path: str) -> Index:
+        """Write the tables and read them back; postings are dealt out and sorted by term, so a query's terms prune row groups."""
+        spark = self.postings.sparkSession
         self.doc_stats.write.parquet(f"{path}/doc_stats")
-        self.lexicon.sort("term").write.parquet(f"{path}/lexicon")
+        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        lexicon(spark.read.parquet(f"{path}/postings")).sort("term").write.parquet(f"{path}/lexicon")
+        stats = spark.read.parquet(f"{path}/doc_stats")
+        Index(self.postings, stats, self.lexicon).corpus().coalesce(1).write.parquet(f"{path}/totals")
+        return Index.load(spark, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "lexicon")))
+        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "lexicon", "totals")))
+
+
+def create(docs: DataFrame, path: str) -> Index:
+    """Build a saved index: each text is tokenised once, into a forward table of its terms; all other tables follow from that."""
+    _forward(docs).write.parquet(f"{path}/forward")
+    return _from_forward(docs.sparkSession.read.parquet(f"{path}/forward")).save(path)
 
 
 def subset(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -40,15 +57,24 @@ def subset(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
+def _forward(docs: DataFrame) -> DataFrame:
+    """One row per document: its length in bytes, its number of distinct terms, and these with their counts."""
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("data_length"), runs(index_tokens(F.col("text"))).alias("runs"))
+    return rows.select("doc_id", "data_length", F.size("runs").alias("word_count"), "runs")
+
+
+def _from_forward(rows: DataFrame) -> Index:
+    postings = rows.select("doc_id", "data_length", "word_count", F.inline("runs")).select("term", "doc_id", "tf", "data_length", "word_count")
+    return Index(postings, rows.select("doc_id", "data_length", "word_count"), lexicon(postings))
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    tokens = docs.select("doc_id", F.explode(index_tokens(F.col("text"))).alias("term"))
-    return tokens.groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    """(term, doc_id, tf), counted within each text, so nothing is shuffled; doc_ids are taken to be unique."""
+    return _from_forward(_forward(docs)).postings.select("term", "doc_id", "tf")
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    return docs.select(
-        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("data_length"), F.size(F.array_distinct(index_tokens(F.col("text")))).alias("word_count")
-    )
+    return _from_forward(_forward(docs)).doc_stats
 
 
 def lexicon(postings: DataFrame) -> DataFrame:
@@ -56,8 +82,8 @@ def lexicon(postings: DataFrame) -> DataFrame:
 
 
 def build(docs: DataFrame) -> Index:
-    postings = term_frequencies(docs)
-    return Index(postings, document_stats(docs), lexicon(postings))
+    """An index that is computed when it is read; `create` writes one that is searched again and again."""
+    return _from_forward(_forward(docs))
 
 
 def merge_partials(*parts: DataFrame) -> DataFrame:
@@ -90,11 +116,23 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 CHUNK = 64
 
 
+#: doc_ids of one range, within which postings of a term are numbered by one task.
+RANGE = 1 << 20
+
+
 def chunked(postings: DataFrame) -> DataFrame:
-    """Postings with their chunk of 64 and the gap to the chunk's previous doc_id (the id itself at its start)."""
-    nth = F.expr("row_number() over (partition by term order by doc_id)")
-    rows = postings.withColumn("chunk", ((nth - 1) / CHUNK).cast("int"))
-    return rows.withColumn("delta", F.expr("doc_id - coalesce(lag(doc_id) over (partition by term, chunk order by doc_id), 0)"))
+    """Postings with their chunk of 64 and the gap to the chunk's previous doc_id (the id itself at its start).
+
+    Numbers come from counts per range of doc_ids and places within one, so a frequent term's list is dealt out.
+    """
+    rows = postings.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / RANGE).alias("range"))
+    counts = rows.groupBy("term", "range").agg(F.count("*").alias("n"))
+    ahead = F.expr("coalesce(sum(n) over (partition by term order by range rows between unbounded preceding and 1 preceding), 0)")
+    counts = counts.select("term", "range", ahead.alias("ahead"))
+    nth = F.expr("row_number() over (partition by term, range order by doc_id)")
+    rows = rows.withColumn("nth", nth).join(counts, ["term", "range"]).withColumn("chunk", ((F.col("ahead") + F.col("nth") - 1) / CHUNK).cast("int"))
+    gap = F.expr("doc_id - coalesce(lag(doc_id) over (partition by term, chunk order by doc_id), 0)")
+    return rows.select("term", "doc_id", "tf", "chunk").withColumn("delta", gap)
 
 
 def restored(chunks: DataFrame) -> DataFrame:

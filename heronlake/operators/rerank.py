@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
+import hashlib
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -10,11 +11,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from heronlake.functions.text import index_tokens, with_prefix
+from heronlake.functions.text import DIGITS, index_tokens, with_prefix
 from heronlake.functions.vectors import dot
 from heronlake.operators.bm25 import top_k
 
 
+#: Words of the model-free encoder: what stands between ASCII white space.
+_WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
+
+
 def hashed_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
     """A model-free encoder: signed hashed words, unit length."""
 
@@ -22,8 +27,8 @@ def hashed_encoder(dim: int = 64) -> Callable[[pd.Series], pd.Series]:
         out = []
         for text in texts:
             v = np.zeros(dim)
-            for word in (text or "").lower().split():
-                h = zlib.crc32(word.encode())
+            for word in _WORDS.findall((text or "").lower()):
+                h = int.from_bytes(hashlib.md5(word.encode(), usedforsecurity=False).digest()[:4])
                 v[h % dim] += 1 if h & (1 << 31) else -1
             n = np.linalg.norm(v)
             out.append((v / n if n else v).tolist())
@@ -49,7 +54,7 @@ def rerank_dense(run: DataFrame, queries: DataFrame, corpus: DataFrame, first: i
     """The first `first` of each query's run by inner product; candidates without a vector are left out."""
     heads = run.filter(F.col("rank") <= first).select("query_id", "doc_id")
     pairs = heads.join(corpus.select("doc_id", "embedding"), "doc_id").join(queries.select("query_id", "vector"), "query_id")
-    return top_k(pairs.select("query_id", "doc_id", F.round(dot(F.col("vector"), F.col("embedding")), 6).alias("score")), last)
+    return top_k(pairs.select("query_id", "doc_id", F.round(dot(F.col("vector"), F.col("embedding")), DIGITS).alias("score")), last)
 
 
 def missing_vectors(run: DataFrame, corpus: DataFrame) -> DataFrame:
@@ -65,4 +70,4 @@ def rerank_pairs(
         queries.select("query_id", F.col("text").alias("query_text")), "query_id"
     )
     value = scorer(F.coalesce("query_text", F.lit("")), F.coalesce("doc_text", F.lit("")))
-    return top_k(pairs.select("query_id", "doc_id", F.round(value, 6).alias("score")), last)
+    return top_k(pairs.select("query_id", "doc_id", F.round(value, DIGITS).alias("score")), last)

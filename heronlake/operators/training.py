@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,23 +23,30 @@ def negative_candidates(qrels: DataFrame, queries: DataFrame, docs: DataFrame) -
     return pairs.join(qrels.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
 
 
-def negatives(qrels: DataFrame, queries: DataFrame, docs: DataFrame, ratio: int = 10, seed: int = 1, slots: int = 4096) -> DataFrame:
+def _hash(*parts: Column | str) -> Column:
+    """MD5 in hexadecimal digits of the parts joined by colons: an order that any engine can follow."""
+    return F.md5(F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts]))
+
+
+def negatives(qrels: DataFrame, queries: DataFrame, docs: DataFrame, ratio: int = 10, seed: int = 1, digits: int = 3) -> DataFrame:
     """`ratio` negatives per positive of each query, or all candidates where there are fewer, without forming all pairs.
 
-    Documents have a place in one hash order, counted within `slots` ranges of it. Each query walks the order, as a ring,
-    from a place of its own: over as many documents as it wants negatives and has judgements, at most all of them. What
-    is not judged of these is enough; the first so many are its negatives. The walk and the places meet in one equi-join.
+    Documents have a place in one order, that of the MD5 of seed and id, counted within the ranges of its first `digits`
+    digits. Each query walks the order, as a ring, from a place of its own: over as many documents as it wants negatives
+    and has judgements, at most all of them. What is not judged of these is enough; the first so many are its negatives.
+    The walk and the places meet in one equi-join.
     """
     judged = qrels.join(queries, "query_id", "left_semi").select("query_id", "doc_id", "rel")
     wanted = judged.groupBy("query_id").agg((F.count_if(F.col("rel") == 1) * ratio).alias("n"), F.count("*").alias("n_judged")).filter("n > 0")
-    dealt = docs.select("doc_id").distinct().withColumn("slot", F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(slots)))
+    dealt = docs.select("doc_id").distinct().withColumn("h", _hash(str(seed), F.col("doc_id"))).withColumn("slot", F.substring("h", 1, digits))
     sizes = dealt.groupBy("slot").agg(F.count("*").alias("size"))
-    starts = sizes.select("slot", F.expr("sum(size) over (order by slot) - size").alias("start"))  # at most `slots` rows
-    nth = F.expr(f"row_number() over (partition by slot order by xxhash64(doc_id, {seed + 1}), doc_id) - 1")
+    starts = sizes.select("slot", F.expr("sum(size) over (order by slot) - size").alias("start"))  # at most 16 ** digits rows
+    nth = F.expr("row_number() over (partition by slot order by h, doc_id) - 1")
     places = dealt.withColumn("nth", nth).join(F.broadcast(starts), "slot").select((F.col("start") + F.col("nth")).alias("place"), "doc_id")
     walks = wanted.crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("n_docs"))))
     walks = walks.select("query_id", "n", "n_docs", F.explode(F.expr("sequence(0L, least(n_docs, n + n_judged) - 1)")).alias("step"))
-    walks = walks.withColumn("place", F.pmod(F.pmod(F.xxhash64("query_id", F.lit(seed + 2)), F.col("n_docs")) + F.col("step"), F.col("n_docs")))
+    own = F.conv(F.substring(_hash(f"q{seed}", F.col("query_id")), 1, 12), 16, 10).cast("long")
+    walks = walks.withColumn("place", F.pmod(own + F.col("step"), F.col("n_docs")))
     pairs = walks.join(places, "place").join(judged.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     pairs = pairs.withColumn("taken", F.expr("row_number() over (partition by query_id order by step)")).filter("taken <= n")
     return pairs.select("query_id", "doc_id", F.lit(0).alias("label"))
@@ -52,9 +59,9 @@ def examples(qrels: DataFrame, queries: DataFrame, docs: DataFrame, ratio: int =
 
 
 def limited(rows: DataFrame, positive_limit: int = 2000, negative_limit: int = 20_000, seed: int = 1) -> DataFrame:
-    """At most so many examples of each label, the first by hash."""
-    order = F.xxhash64("query_id", "doc_id", F.lit(seed))
-    return rows.filter("label = 1").orderBy(order).limit(positive_limit).unionByName(rows.filter("label = 0").orderBy(order).limit(negative_limit))
+    """At most so many examples of each label, the first by MD5 of seed and ids."""
+    order = [_hash(f"l{seed}", F.col("query_id"), F.col("doc_id")), F.col("query_id"), F.col("doc_id")]
+    return rows.filter("label = 1").orderBy(*order).limit(positive_limit).unionByName(rows.filter("label = 0").orderBy(*order).limit(negative_limit))
 
 
 def label_counts(rows: DataFrame) -> DataFrame:

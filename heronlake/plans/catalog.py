@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from heronlake import console
+from heronlake.functions import arrays, times
 from heronlake.functions import text as T
 from heronlake.functions import url as U
 from heronlake.functions import vectors as V
@@ -54,6 +56,34 @@ def vector_queries(spark, d):
     return rows.select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"), "label")
 
 
+#: Folders of the indexes that this process has saved, by application and tables.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def _saved(spark, d, name: str, make: Callable[[str], object]) -> str:
+    """The folder of an index over the tables in `d`: written by the first query that searches it, read by all."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _SAVED:
+        path = shared_folder(spark, name)
+        make(path)
+        _SAVED[key] = path
+    return _SAVED[key]
+
+
+def saved_index(spark, d) -> index.Index:
+    return index.Index.load(spark, _saved(spark, d, "index", lambda path: index.create(documents(spark, d), path)))
+
+
+def saved_vectors(spark, d) -> dense.HashedIndex:
+    corpus = vectors(spark, d).select("doc_id", "embedding")
+    return dense.HashedIndex.load(spark, _saved(spark, d, "vectors", lambda path: dense.HashedIndex.build(corpus).save(path)))
+
+
+def shown(run: DataFrame) -> DataFrame:
+    """Scores with 6 decimals."""
+    return run.withColumn("score", F.round("score", 6))
+
+
 def vector_run(spark, d):
     return dense.exact_top_k(vector_queries(spark, d), vectors(spark, d).select("doc_id", "embedding"), 50)
 
@@ -107,17 +137,48 @@ def inverted_list_import(spark, d):
 
 @query(O.TF)
 def merge_partials(spark, d):
-    halves = [documents(spark, d).filter(F.col("doc_id") % 2 == i) for i in (0, 1)]
-    return index.merge_partials(*map(index.term_frequencies, halves))
+    """Partial indexes that share documents: of each text's first line, and of the rest."""
+    first = F.substring_index(F.coalesce("text", F.lit("")), "\n", 1)
+    rest = F.substr(F.col("text"), F.length(first) + 2)
+    return index.merge_partials(*[index.term_frequencies(documents(spark, d).withColumn("text", part)) for part in (first, rest)])
 
 
-@query("SELECT doc_id, length(text) AS n FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+@query("SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
 def subset_scan(spark, d):
-    return index.subset(documents(spark, d), read(spark, d, "labels")).select("doc_id", F.length("text").cast("long").alias("n"))
+    return index.subset(documents(spark, d), read(spark, d, "labels"))
+
+
+@query(O.POSTINGS + ", s AS (SELECT doc_id FROM documents) SELECT (SELECT count(*) FROM postings) AS n_postings, (SELECT count(DISTINCT term) FROM postings) AS n_terms, (SELECT count(*) FROM s) AS n_docs")
+def index_build(spark, d):
+    """A whole index, written and counted."""
+    built = index.create(documents(spark, d), shared_folder(spark, "index"))
+    one = lambda rows, name: rows.agg(F.count("*").alias(name))
+    return one(built.postings, "n_postings").crossJoin(one(built.lexicon, "n_terms")).crossJoin(one(built.doc_stats, "n_docs"))
+
+
+@query(O.TF)
+def saved_postings(spark, d):
+    return saved_index(spark, d).postings.select("term", "doc_id", "tf")
+
+
+@query(O.POSTINGS + "SELECT term, doc_id, tf FROM postings WHERE term IN ('the', 'la', 'und')")
+def saved_postings_of_terms(spark, d):
+    """The filter reaches the scan of the saved postings."""
+    return saved_index(spark, d).postings.filter(F.col("term").isin("the", "la", "und")).select("term", "doc_id", "tf")
+
+
+@query(O.STATS + "SELECT doc_id, data_length, word_count FROM stats")
+def saved_doc_stats(spark, d):
+    return saved_index(spark, d).doc_stats
+
+
+@query(O.POSTINGS + "SELECT term, CAST(count(*) AS INTEGER) AS df, CAST(max(tf) AS INTEGER) AS max_tf FROM postings GROUP BY term")
+def saved_lexicon(spark, d):
+    return saved_index(spark, d).lexicon
 
 
 def _search(spark, d, **options):
-    return bm25.search(asked(spark, d), index.build(documents(spark, d)), k=TOP, **options).select("query_id", "doc_id", "rank", "score")
+    return shown(bm25.search(asked(spark, d), saved_index(spark, d), k=TOP, **options)).select("query_id", "doc_id", "rank", "score")
 
 
 @query(O.bm25())
@@ -147,15 +208,14 @@ def bm25_case_sensitive_query(spark, d):
 
 @query(O.bm25(content=True))
 def bm25_with_content(spark, d):
-    docs = documents(spark, d)
-    found = bm25.search(asked(spark, d), index.build(docs), k=TOP, docs=docs)
+    found = bm25.search(asked(spark, d), saved_index(spark, d), k=TOP, docs=documents(spark, d))
     return found.select("query_id", "doc_id", "rank", T.result_line(F.col("doc_id"), F.lit(0.0), F.col("content")).alias("line"))
 
 
 @query(O.max_impact())
 def max_term_impact(spark, d):
-    i = index.build(documents(spark, d))
-    hits = i.postings.join(i.lexicon.select("term", "df"), "term").join(i.doc_stats, "doc_id").crossJoin(F.broadcast(i.corpus()))
+    i = saved_index(spark, d)
+    hits = i.postings.join(i.lexicon.select("term", "df"), "term").crossJoin(F.broadcast(i.corpus()))
     part = bm25.term_score(F.col("tf"), F.col("df"), F.col("n_docs"), F.col("word_count"), F.col("avg_words"))
     return hits.groupBy("term").agg(F.round(F.max(part), 6).alias("max_impact"))
 
@@ -180,7 +240,7 @@ def chunk_metadata(spark, d):
     return index.chunk_metadata(index.term_frequencies(documents(spark, d)))
 
 
-@query()
+@query(O.blocks(4096))
 def chunk_blocks(spark, d):
     return index.blocks(index.chunk_metadata(index.term_frequencies(documents(spark, d))), 4096)
 
@@ -204,55 +264,70 @@ for _how, _sql in (("union", "UNION"), ("intersect", "INTERSECT"), ("except", "E
     ORACLES[f"posting_{_how}"] = O.POSTINGS + f"SELECT doc_id FROM postings WHERE term = 'the' {_sql} SELECT doc_id FROM postings WHERE term = 'la'"
 
 
-@query(O.VECTOR_RUN + "SELECT query_id, 'Q0' AS q0, doc_id, rank, score, 'run2' AS run_name FROM run")
+@query(O.VECTOR_RUN + "SELECT query_id, 'Q0' AS q0, doc_id, rank, round(score, 6) AS score, 'run2' AS run_name FROM run")
 def trec_run(spark, d):
-    return trec.run_rows(vector_run(spark, d), "run2")
+    return trec.run_rows(shown(vector_run(spark, d)), "run2")
 
 
-@query(O.vector_topk("round(list_inner_product(q.v, c.v), 6)"))
+@query(O.vector_topk("round(list_inner_product(q.v, c.v), 9)"))
 def vector_dot_topk(spark, d):
-    return dense.exact_top_k(vector_queries(spark, d), vectors(spark, d), TOP)
+    return shown(dense.exact_top_k(vector_queries(spark, d), vectors(spark, d), TOP))
 
 
-@query(O.vector_topk("-" + O.L2, "round({}, 6)"))
+@query(O.vector_topk("-" + O.L2, "round({}, 9)"))
 def vector_l2_topk(spark, d):
-    return dense.exact_top_k(vector_queries(spark, d), vectors(spark, d), TOP, "l2")
+    return shown(dense.exact_top_k(vector_queries(spark, d), vectors(spark, d), TOP, "l2"))
 
 
-@query(O.vector_topk(f"CASE WHEN {O.L2} = 0 THEN 1e9 ELSE 1 / {O.L2} END", "round({}, 6)"))
+@query(O.vector_topk(f"CASE WHEN {O.L2} = 0 THEN 1e9 ELSE 1 / {O.L2} END", "round({}, 9)"))
 def inverse_distance_score(spark, d):
-    return dense.exact_top_k(vector_queries(spark, d), vectors(spark, d), TOP, "inverse")
+    return shown(dense.exact_top_k(vector_queries(spark, d), vectors(spark, d), TOP, "inverse"))
 
 
-@query("SELECT vec_id AS doc_id, CAST(round(list_sum(list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])))), 6) AS DOUBLE) AS total FROM embeddings")
+def _parts(rows: DataFrame, key: str, value) -> DataFrame:
+    """A vector's components as rows (key, dim, value), to 6 decimals."""
+    return rows.select(key, F.posexplode(value).alias("dim", "x")).select(key, "dim", F.round("x", 6).alias("value"))
+
+
+@query("SELECT vec_id AS doc_id, CAST(i - 1 AS INTEGER) AS dim, round(v[i] / sqrt(list_inner_product(v, v)), 6) AS value FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), unnest(range(1, 65)) t(i)")
 def l2_normalise(spark, d):
-    unit = V.l2_normalise(F.col("embedding"))
-    return vectors(spark, d).select("doc_id", F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    return _parts(vectors(spark, d), "doc_id", V.l2_normalise(F.col("embedding")))
+
+
+_HASHED = O.hashed(64, dense.TABLES, dense.BITS, dense.PROBES, TOP)
 
 
-@query()
+@query(_HASHED + "SELECT query_id, doc_id, round(score, 6) AS score, rank FROM run")
 def ann_lsh_topk(spark, d):
-    return dense.hashed_top_k(vector_queries(spark, d), vectors(spark, d), TOP)
+    return shown(saved_vectors(spark, d).search(vector_queries(spark, d).select("query_id", "vector"), TOP))
+
+
+@query(_HASHED + ", x AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM (SELECT q.vec_id AS query_id, c.vec_id AS doc_id, round(list_inner_product(q.v, c.v), 9) AS score FROM v q, v c WHERE q.vec_id % 100 = 0)) SELECT round(count(run.doc_id) / count(*), 6) AS recall FROM x LEFT JOIN run USING (query_id, doc_id) WHERE r <= 20")
+def ann_recall(spark, d):
+    """The share of the 20 exact neighbours that the hashed index finds."""
+    asks = vector_queries(spark, d).select("query_id", "vector")
+    return dense.recall(saved_vectors(spark, d).search(asks, TOP), dense.exact_top_k(asks, vectors(spark, d), TOP))
 
 
 @query(O.RERANK)
 def bm25_then_dense_rerank(spark, d):
     """Documents and queries take the vectors of their own number, where there is one."""
-    run = bm25.search(asked(spark, d), index.build(documents(spark, d)), k=100)
+    run = bm25.search(asked(spark, d), saved_index(spark, d), k=100)
     asked_vectors = vectors(spark, d).select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
-    return rerank.rerank_dense(run, asked_vectors, vectors(spark, d), 100, TOP)
+    return shown(rerank.rerank_dense(run, asked_vectors, vectors(spark, d), 100, TOP))
 
 
 @query(O.OVERLAP)
 def cross_encoder_rerank(spark, d):
-    docs = documents(spark, d)
-    run = bm25.search(asked(spark, d), index.build(docs), k=50)
-    return rerank.rerank_pairs(run, asked(spark, d), docs, first=50, last=TOP)
+    run = bm25.search(asked(spark, d), saved_index(spark, d), k=50)
+    return shown(rerank.rerank_pairs(run, asked(spark, d), documents(spark, d), first=50, last=TOP))
 
 
-@query()
+@query(O.ENCODED)
 def encode_documents(spark, d):
-    return rerank.encode(documents(spark, d)).select("doc_id", "embedding")
+    """The components of the model-free encoder's vectors that are not 0."""
+    rows = rerank.encode(documents(spark, d)).select("doc_id", "embedding")
+    return _parts(rows, "doc_id", F.col("embedding")).filter("value <> 0")
 
 
 def _metric(name, sql):
@@ -292,14 +367,15 @@ def train_negative_candidates(spark, d):
     return training.negative_candidates(vector_qrels(spark, d), vector_queries(spark, d), vectors(spark, d))
 
 
-@query()
+@query(O.VECTOR_NEGATIVES + "SELECT query_id, doc_id, label FROM negatives")
 def sampled_negatives(spark, d):
     return training.negatives(vector_qrels(spark, d), vector_queries(spark, d), vectors(spark, d))
 
 
-@query(O.QRELS + "SELECT CAST(1 AS INTEGER) AS label, count(*) AS n FROM qrels WHERE rel = 1")
+@query(O.VECTOR_NEGATIVES + "SELECT label, count(*) AS n FROM (SELECT * FROM positives UNION ALL SELECT * FROM negatives) GROUP BY label")
 def label_counts(spark, d):
-    return training.label_counts(training.positives(vector_qrels(spark, d), vector_queries(spark, d), vectors(spark, d)))
+    sides = vector_qrels(spark, d), vector_queries(spark, d), vectors(spark, d)
+    return training.label_counts(training.positives(*sides).unionByName(training.negatives(*sides)))
 
 
 @query(O.LINKS + "SELECT page_id, position, href FROM links")
@@ -388,7 +464,7 @@ def politeness_gaps(spark, d):
     return crawl.politeness_gaps(read(spark, d, "events"), "user_id", "ts").select("event_id", "gap")
 
 
-@query()
+@query(O.breadth_first(3, 200, 20))
 def bfs_rounds(spark, d):
     seeds = crawl.sample_seeds(pages(spark, d).select("url"), 20)
     return crawl.breadth_first(crawl.edges(pages(spark, d)), seeds)
@@ -448,12 +524,12 @@ def passage_rejects(spark, d):
     return collections.parse_passages(_lines(spark, d))[1]
 
 
-@query(O.VECTOR_RUN + "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, score, rank FROM run WHERE rank <= 30")
+@query(O.VECTOR_RUN + "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, round(score, 6) AS score, rank FROM run WHERE rank <= 30")
 def trec_run_file(spark, d):
     """A run written as a file and read back, its first 30 lines per query."""
     path = shared_folder(spark, "run")
     trec.write_run(vector_run(spark, d), path, "run2")
-    return trec.read_run(spark, path, first=30)
+    return shown(trec.read_run(spark, path, first=30))
 
 
 @query(f"SELECT doc_id, array_to_string({O.tokens('text')}, ' ') AS tokens FROM documents")
@@ -484,16 +560,16 @@ def varbyte_codec(spark, d):
     return coded.select("term", "doc_id", F.size("bytes").alias("n_bytes"), back[0].alias("delta"), back[1].alias("tf"))
 
 
-@query("SELECT vec_id, round((v[1] + label % 2 * v[64]) / (1 + label % 2), 6) AS first_part FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings)")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round((v[i] + label % 2 * v[65 - i]) / (1 + label % 2), 6) AS value FROM (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings), unnest(range(1, 65)) t(i)")
 def mean_pooling(spark, d):
     tokens, mask = F.array("embedding", F.reverse("embedding")), F.array(F.lit(1), F.col("label") % 2)
-    return read(spark, d, "embeddings").select("vec_id", F.round(V.mean_pool(tokens, mask)[0], 6).alias("first_part"))
+    return _parts(read(spark, d, "embeddings"), "vec_id", V.mean_pool(tokens, mask))
 
 
 @query(O.bm25(k=100).rsplit("SELECT", 1)[0] + "SELECT query_id, doc_id FROM hits WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
 def rerank_missing(spark, d):
     """Candidates that a dense reranker leaves out, having no vector."""
-    run = bm25.search(asked(spark, d), index.build(documents(spark, d)), k=100)
+    run = bm25.search(asked(spark, d), saved_index(spark, d), k=100)
     return rerank.missing_vectors(run, vectors(spark, d)).select("query_id", "doc_id")
 
 
@@ -508,15 +584,16 @@ def _judged_pairs(spark, d):
     return read(spark, d, "labels").select((F.col("doc_id") % n).alias("query_id"), "doc_id", F.col("quality").alias("rel"))
 
 
-@query()
+@query(O.TEXT_NEGATIVES + "SELECT * FROM positives UNION ALL SELECT * FROM negatives")
 def training_examples(spark, d):
     return training.examples(_judged_pairs(spark, d), asked(spark, d), documents(spark, d)).select("query_id", "doc_id", "label")
 
 
-@query()
+@query(O.TEXT_NEGATIVES + """SELECT * FROM (SELECT * FROM positives ORDER BY md5('l1:' || query_id || ':' || doc_id), query_id, doc_id LIMIT 100)
+UNION ALL SELECT * FROM (SELECT * FROM negatives ORDER BY md5('l1:' || query_id || ':' || doc_id), query_id, doc_id LIMIT 1000)""")
 def limited_examples(spark, d):
     rows = training.examples(_judged_pairs(spark, d), asked(spark, d), documents(spark, d)).select("query_id", "doc_id", "label")
-    return training.limited(rows, 2000, 20_000)
+    return training.limited(rows, 100, 1000)
 
 
 @query("SELECT event_id, CASE WHEN event_type = 'view' THEN 'MIME Type Not HTML' WHEN event_type = 'click' THEN '200' ELSE event_type END AS outcome FROM events")
@@ -544,12 +621,14 @@ def redirects_seen(spark, d):
     return crawl.follow_redirects(pages(spark, d), to)
 
 
-@query("SELECT url, NOT starts_with(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/en/') AS allowed FROM pages")
+@query(f"""SELECT url, NOT ((ends_with(h, '.org') AND starts_with(p, '/en/')) OR (ends_with(h, '.net') AND starts_with(p, '/fr/'))) AS allowed
+FROM (SELECT url, {O.domain('url')} AS h, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS p FROM pages)""")
 def robots_filter(spark, d):
-    """All hosts forbid /en/."""
+    """Hosts in .org forbid /en/, those in .net /fr/; the others have no file."""
     urls = pages(spark, d).select("url")
-    files = urls.select(U.robots_url(F.col("url")).alias("robots_url")).distinct()
-    return crawl.robots_allowed(urls, files.withColumn("text", F.lit("User-agent: *\nDisallow: /en/\n")))
+    files = urls.select(U.robots_url(F.col("url")).alias("robots_url"), U.domain(F.col("url")).alias("host")).distinct()
+    rule = F.when(F.endswith("host", F.lit(".org")), "User-agent: *\nDisallow: /en/\n").when(F.endswith("host", F.lit(".net")), "User-agent: *\nDisallow: /fr/\n")
+    return crawl.robots_allowed(urls, files.select("robots_url", rule.alias("text")).filter("text is not null"))
 
 
 @query(f"SELECT page_id, regexp_extract(url, '^([A-Za-z]+://[^/?#]*)', 1) || '/robots.txt' AS robots_url FROM pages")
@@ -579,7 +658,7 @@ def _visit_stream(spark, d):
 @query("SELECT DISTINCT '//u' || user_id || '.org/' || event_type AS min_url FROM events WHERE ts IS NOT NULL")
 def stream_first_visits(spark, d):
     """Page identities of a stream, each once."""
-    return crawl_stream.drain(crawl_stream.first_visits(_visit_stream(spark, d), delay="3650 days").select("min_url"))
+    return crawl_stream.drain(crawl_stream.first_visits(_visit_stream(spark, d)).select("min_url"))
 
 
 @query(O.SCHEDULE)
@@ -587,3 +666,152 @@ def stream_schedule(spark, d):
     """A stream of visits, each host's two seconds apart at least."""
     out = crawl_stream.drain(crawl_stream.schedule(_visit_stream(spark, d)))
     return out.select("url", "domain", F.round("wanted_at", 3).alias("wanted_at"), F.round("visit_at", 3).alias("visit_at"))
+
+
+@query(O.schedule_with_timeouts(30, 20))
+def stream_schedule_timeouts(spark, d):
+    """Half a minute between a host's visits; what would wait for over 20 seconds is given up."""
+    out = crawl_stream.drain(crawl_stream.schedule(_visit_stream(spark, d), least=30.0, give_up=20.0))
+    return out.select("url", F.round("wanted_at", 3).alias("wanted_at"), F.round("visit_at", 3).alias("visit_at"), "outcome")
+
+
+@query(O.LINKS + f""", t AS (SELECT src_url AS url, dst_url AS final_url FROM links WHERE position = 0), seen AS (SELECT {O.minimized('url')} AS m FROM pages WHERE page_id % 2 = 0)
+SELECT DISTINCT url, final_url, CASE WHEN final_url IS NULL OR {O.minimized('final_url')} = {O.minimized('url')} THEN 'direct' WHEN NOT ({O.valid('final_url', '.org')}) THEN 'invalid'
+  WHEN {O.minimized('final_url')} IN (SELECT m FROM seen) THEN 'seen' ELSE 'followed' END AS outcome FROM pages LEFT JOIN t USING (url)""")
+def redirect_outcomes(spark, d):
+    """Each page redirects to its first link; the pages with even ids have been seen."""
+    to = crawl.links(pages(spark, d)).filter("position = 0").select(F.col("src_url").alias("url"), F.col("dst_url").alias("final_url"))
+    seen = pages(spark, d).filter(F.col("page_id") % 2 == 0).select(U.minimize(F.col("url")).alias("min_url"))
+    return crawl.redirect_outcomes(pages(spark, d), to, seen, ".org").select("url", "final_url", "outcome").distinct()
+
+
+_FETCHED = "v AS (SELECT url, octet_length(encode(html)) AS size, CASE WHEN page_id % 3 = 0 THEN url || 'x' END AS redirect_url FROM pages)"
+
+
+@query(O.UNSEEN.rstrip() + f""", {_FETCHED} SELECT count(*) AS total_pages, count(*) AS successful_pages, CAST(sum(size) AS BIGINT) AS total_bytes, round(sum(size) / 1048576, 6) AS total_mb,
+round(sum(size) / count(*) / 1024, 6) AS average_kb, count(redirect_url) AS n_redirects, count(DISTINCT {O.domain('url')}) AS n_domains, (SELECT count(*) FROM unseen) AS queue_size FROM v""")
+def crawl_statistics(spark, d):
+    """All pages are fetched, every third by a redirect; what they link to and was not fetched waits."""
+    fetched = pages(spark, d).select(
+        "url", F.octet_length("html").cast("long").alias("size"), F.lit("200").alias("status"), F.when(F.col("page_id") % 3 == 0, F.concat("url", F.lit("x"))).alias("redirect_url")
+    )
+    return crawl.statistics(fetched, unseen_links(spark, d))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d-%H-%M-%S') AS stamp, round(epoch(ts) - epoch(date_trunc('day', ts)), 6) AS seconds FROM events")
+def time_helpers(spark, d):
+    """A file name's stamp, and the seconds since midnight."""
+    rows = read(spark, d, "events")
+    return rows.select("event_id", times.file_stamp(F.col("ts")).alias("stamp"), F.round(times.elapsed_seconds(F.date_trunc("day", "ts"), F.col("ts")), 6).alias("seconds"))
+
+
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS dim, round(embedding[i]::DOUBLE, 6) AS value FROM embeddings, unnest(range(1, 6)) t(i)")
+def array_prefix(spark, d):
+    return _parts(read(spark, d, "embeddings"), "vec_id", arrays.first(F.col("embedding").cast("array<double>"), 5))
+
+
+@query("SELECT source, max(n) FILTER (lang = 'fr') AS n FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY source, lang) GROUP BY source")
+def map_lookup(spark, d):
+    """Each source's number of French documents, looked up in its map of languages."""
+    counts = read(spark, d, "documents").filter("lang is not null").groupBy("source", "lang").agg(F.count("*").alias("n"))
+    maps = counts.groupBy("source").agg(F.collect_list(F.struct("lang", "n")).alias("p"))  # one entry per language
+    return maps.select("source", arrays.lookup(F.col("p.lang"), F.col("p.n"), F.lit("fr")).alias("n"))
+
+
+@query("""SELECT doc_id, len(string_split(line, ', ')) AS parts, CASE len(string_split(line, ', ')) WHEN 3 THEN 'full' WHEN 2 THEN 'score' ELSE 'other' END AS kind FROM (
+SELECT doc_id, 'DocId: ' || doc_id || ', Score: 0.500000' || CASE doc_id % 3 WHEN 0 THEN ', Content: ' || replace(text, ',', ' ') WHEN 1 THEN '' ELSE ', Content: a, b' END AS line FROM documents)""")
+def result_line_kinds(spark, d):
+    """Lines with content, without, and with too many parts."""
+    plain = T.result_line(F.col("doc_id"), F.lit(0.5))
+    own = F.col("doc_id") % 3
+    line = F.when(own == 0, T.result_line(F.col("doc_id"), F.lit(0.5), F.col("text"))).when(own == 1, plain).otherwise(F.concat(plain, F.lit(", Content: a, b")))
+    return documents(spark, d).select("doc_id", T.parse_result_line(line)["parts"].cast("long").alias("parts"), T.line_kind(line).alias("kind"))
+
+
+@query(O.bm25().rsplit("SELECT", 1)[0] + "SELECT rank, 'DocId: ' || doc_id || ', Score: ' || printf('%.6f', score) AS line FROM hits WHERE query_id = 0")
+def search_line_result(spark, d):
+    """The first benchmark text as a line over the wire."""
+    text = asked(spark, d).filter("query_id = 0").first().text
+    lines = console.answer(spark, saved_index(spark, d), f"{text}|1", TOP)
+    return spark.createDataFrame([(i + 1, x) for i, x in enumerate(lines)], "rank int, line string")
+
+
+def _file(spark, rows: DataFrame, name: str) -> str:
+    """rows(value) as text files."""
+    path = shared_folder(spark, name)
+    rows.write.text(path)
+    return path
+
+
+def _joined(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(F.concat_ws("\t", *[c.cast("string") for c in columns]).alias("value"))
+
+
+@query(O.QRELS + "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, rel FROM qrels")
+def qrels_file(spark, d):
+    """Judgements written as four columns and read back."""
+    rows = vector_qrels(spark, d)
+    return trec.read_qrels(spark, _file(spark, _joined(rows, F.col("query_id"), F.lit("0"), F.col("doc_id"), F.col("rel")), "qrels"))
+
+
+@query(O.QRELS + "SELECT CAST(query_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, rel FROM qrels")
+def beir_qrels_file(spark, d):
+    """Judgements as three columns under a header, with blank lines."""
+    lines = _joined(vector_qrels(spark, d), F.col("query_id"), F.col("doc_id"), F.col("rel"))
+    head = spark.createDataFrame([("query-id\tcorpus-id\tscore",), ("",)], "value string")
+    return trec.read_beir_qrels(spark, _file(spark, head.unionByName(lines), "beir"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS query_id, replace(text, chr(10), ' ') AS text FROM benchmark")
+def queries_file(spark, d):
+    """Query texts of one line each; a line without a tab is left out."""
+    lines = _joined(asked(spark, d), F.col("query_id"), F.translate("text", "\n", " ")).unionByName(spark.createDataFrame([("no tab",)], "value string"))
+    return collections.read_queries(spark, _file(spark, lines, "queries"))
+
+
+@query("SELECT DISTINCT CAST(conv_id AS VARCHAR) AS query_id FROM conversations")
+def query_ids_file(spark, d):
+    """The ids of conversations, one line a turn; each once."""
+    lines = _joined(read(spark, d, "conversations"), F.col("conv_id"), F.col("turn"))
+    return collections.read_query_ids(spark, _file(spark, lines, "ids")).select("query_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS position FROM labels")
+def ids_file(spark, d):
+    """Labelled ids from the largest down, with their place in the file."""
+    lines = read(spark, d, "labels").orderBy(F.desc("doc_id")).select(F.col("doc_id").cast("string").alias("value"))
+    return collections.read_ids(spark, _file(spark, lines, "ids"))
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, coalesce(text, '') AS text FROM documents")
+def jsonl_file(spark, d):
+    lines = documents(spark, d).select(F.to_json(F.struct(F.col("doc_id").cast("string").alias("_id"), F.lit("t").alias("title"), "text")).alias("value"))
+    return collections.read_jsonl(spark, _file(spark, lines, "jsonl"))
+
+
+@query("SELECT url FROM (SELECT url FROM pages ORDER BY md5('1:' || url), url LIMIT 20)")
+def seeds_file(spark, d):
+    """Twenty of the seeds of a file with blank lines."""
+    lines = pages(spark, d).select(F.col("url").alias("value")).unionByName(spark.createDataFrame([("",), ("  ",)], "value string"))
+    return crawl.sample_seeds(collections.read_seeds(spark, _file(spark, lines, "seeds")), 20)
+
+
+@query("SELECT source AS dataset, lang AS encoder, round(avg(n_chars), 4) AS map FROM documents GROUP BY source, lang")
+def experiments_file(spark, d):
+    """An experiment table as CSV with its header, read back."""
+    path = shared_folder(spark, "experiments")
+    value = F.round("value", 4)
+    rows = _experiments(spark, d).select(
+        F.col("dataset").alias("Dataset"), F.col("encoder").alias("Bi-Encoder"), F.lit("No").alias("Cross-Encoder"), F.lit("No").alias("Fine-Tuned"),
+        value.alias("MAP"), *[F.lit(0.5).alias(c) for c in ("MRR", "NDCG@10", "NDCG@30", "Recall@10", "Recall@30")],
+    )
+    rows.write.csv(path, header=True)
+    return collections.read_experiments(spark, path).select(F.col("Dataset").alias("dataset"), F.col("`Bi-Encoder`").alias("encoder"), F.col("MAP").alias("map"))
+
+
+@query(O.VECTOR_RUN + "SELECT vec_id AS id, CAST(i - 1 AS INTEGER) AS dim, round(v[i], 6) AS value FROM (SELECT CAST(vec_id AS VARCHAR) AS vec_id, v FROM v), unnest(range(1, 65)) t(i)")
+def vectors_file(spark, d):
+    """Vectors written as Parquet and read by their schema."""
+    path = shared_folder(spark, "vectors")
+    vectors(spark, d).select(F.col("doc_id").cast("string").alias("id"), "embedding").write.parquet(path)
+    return _parts(collections.read_vectors(spark, path), "id", F.col("embedding").cast("array<double>"))

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with a number that ascends in file order."""
-    return spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+def numbered(spark: SparkSession, path: str) -> DataFrame:
+    """Lines (value) with `line_no`, which ascends in file order: by file, then by the line's place in it."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("nth"))
+    return rows.select("value", F.struct("file", "nth").alias("line_no"))
 
 
 def read_passages(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -27,9 +28,15 @@ def parse_passages(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_ids(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, position) of one id per line; position is the row of a matching vector file."""
-    rows = _numbered(spark, path).filter(F.trim("value").rlike("^[0-9]+$"))
-    numbered = rows.rdd.zipWithIndex().map(lambda x: (int(x[0].value.strip()), x[1]))
-    return spark.createDataFrame(numbered, "doc_id long, position long")
+    rows = spark.read.text(path).select(
+        F.trim("value").alias("value"), F.col("_metadata.file_path").alias("file"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("nth")
+    ).filter(F.col("value").rlike("^[0-9]+$"))
+    # parts of one file ascend as its lines do; one row per file and part is summed up
+    parts = rows.groupBy("file", "part").agg(F.count("*").alias("n"))
+    parts = parts.withColumn("ahead", F.expr("coalesce(sum(n) over (order by file, part rows between unbounded preceding and 1 preceding), 0)"))
+    own = F.expr("row_number() over (partition by file, part order by nth) - 1")
+    placed = rows.withColumn("own", own).join(F.broadcast(parts), ["file", "part"])
+    return placed.select(F.col("value").cast("long").alias("doc_id"), (F.col("ahead") + F.col("own")).cast("long").alias("position"))
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +47,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
 
 def read_query_ids(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, first_line): distinct ids, to be ordered by their first line."""
-    ids = _numbered(spark, path).select(F.split("value", "\t")[0].alias("query_id"), "line_no")
+    ids = numbered(spark, path).select(F.split("value", "\t")[0].alias("query_id"), "line_no")
     return ids.filter("query_id <> ''").groupBy("query_id").agg(F.min("line_no").alias("first_line"))
 
 
@@ -78,14 +85,16 @@ def convert_npy(spark: SparkSession, array_path: str, ids: list, out: str, rows:
         spark.createDataFrame(part, "id string, embedding array<float>").write.mode("append").parquet(out)
 
 
-def convert_hdf5(spark: SparkSession, path: str, out: str, ids: str = "id", vectors: str = "embedding", rows: int = 10_000) -> None:
-    """Write an HDF5 file's vectors as Parquet; needs h5py."""
+def convert_hdf5(spark: SparkSession, path: str, out: str, ids: str | list = "id", vectors: str = "embedding", rows: int = 10_000) -> None:
+    """Write an HDF5 file's vectors as Parquet; needs h5py. `ids`: the data set that holds them, or they themselves in row
+    order (for files of `embeddings` and `shape` alone)."""
     try:
         import h5py
     except ImportError as e:
         raise RuntimeError("reading HDF5 needs h5py") from e
     with h5py.File(path) as f:
         for at in range(0, len(f[vectors]), rows):
-            names = [x.decode() if isinstance(x, bytes) else str(x) for x in f[ids][at : at + rows]]
+            own = (f[ids] if isinstance(ids, str) else ids)[at : at + rows]
+            names = [x.decode() if isinstance(x, bytes) else str(x) for x in own]
             part = list(zip(names, (v.tolist() for v in f[vectors][at : at + rows]), strict=True))
             spark.createDataFrame(part, "id string, embedding array<float>").write.mode("append").parquet(out)

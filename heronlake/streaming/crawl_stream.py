@@ -64,8 +64,11 @@ def _in_order(batches: Iterator[pd.DataFrame], run: int) -> Iterator[pd.DataFram
             yield pd.DataFrame(rows, columns=["url", "domain", "wanted_at"])
 
 
-def schedule(visits: DataFrame, least: float = 2.0, delay: str = "1 hour") -> DataFrame:
-    """(url, domain, wanted_at, visit_at): each domain's visits, `least` seconds apart.
+def schedule(visits: DataFrame, least: float = 2.0, delay: str = "1 hour", give_up: float | None = None) -> DataFrame:
+    """(url, domain, wanted_at, visit_at, outcome): each domain's visits, `least` seconds apart.
+
+    A visit that would have to wait for more than `give_up` seconds is not made: its visit_at is null, its outcome
+    `Timeout`, and it keeps no other one waiting. Without `give_up` every visit is made; the outcome is null then.
 
     A domain's visits of one trigger are placed in the order of (wanted_at, url), over all batches they come in.
     State: the domain's last visit, until the watermark (`delay` behind the latest visit) has passed it by an hour.
@@ -83,14 +86,18 @@ def schedule(visits: DataFrame, least: float = 2.0, delay: str = "1 hour") -> Da
         for batch in _in_order(batches, run):
             out = []
             for t in batch.wanted_at:
-                last = max(t, last + least)
-                out.append(last)
-            yield batch.assign(visit_at=out)[["url", "domain", "wanted_at", "visit_at"]]
+                at = max(t, last + least)
+                late = give_up is not None and at - t > give_up
+                out.append(None if late else at)
+                last = last if late else at
+            found = batch.assign(visit_at=pd.Series(out, index=batch.index, dtype="float64"))
+            found["outcome"] = pd.Series([None if x is not None else "Timeout" for x in out], index=batch.index, dtype=object)
+            yield found[["url", "domain", "wanted_at", "visit_at", "outcome"]]
         state.update((last,))
-        state.setTimeoutTimestamp(max(int(last * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
+        state.setTimeoutTimestamp(max(int(max(last, 0.0) * 1000), state.getCurrentWatermarkMs()) + 3_600_000)
 
     return rows.groupBy("domain").applyInPandasWithState(
-        place, "url string, domain string, wanted_at double, visit_at double", "last double", "append", GroupStateTimeout.EventTimeTimeout
+        place, "url string, domain string, wanted_at double, visit_at double, outcome string", "last double", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 

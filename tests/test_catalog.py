@@ -18,6 +18,5 @@ def test_equals_sql(spark, sql, name):
     assert mismatch(catalog.QUERIES[name](spark, SF), sql, catalog.ORACLES[name]) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
-def test_runs(spark, name):
-    assert catalog.QUERIES[name](spark, SF).count() > 0
+def test_every_query_has_a_twin():
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)

@@ -61,8 +61,12 @@ def test_tokenizer(spark):
 
 def test_index_round_trip(spark, docs, tmp_path):
     i = index.build(docs)
-    i.save(str(tmp_path / "i"))
+    index.create(docs, str(tmp_path / "i"))
     back = index.Index.load(spark, str(tmp_path / "i"))
+    assert sorted(back.lexicon.collect()) == sorted(i.lexicon.collect()) and back.corpus().collect() == i.corpus().collect()
+    asks = spark.createDataFrame([(0, "fox lazy dog cat unknown"), (1, "the")], "query_id long, text string")
+    for mode in ("or", "and"):
+        assert bm25.search(asks, back, mode).collect() == bm25.search(asks, i, mode).collect()
     rows = lambda d: sorted(map(tuple, d.select("term", "doc_id", "tf").collect()))
     assert rows(back.postings) == rows(i.postings) == rows(index.parse_lines(index.merged_lines(i.postings)))
     total = i.postings.agg(F.sum("tf")).first()[0]
@@ -76,6 +80,37 @@ def test_index_round_trip(spark, docs, tmp_path):
     assert sorted(r.word_count for r in index.build(docs.unionByName(empty)).doc_stats.collect())[:2] == [0, 0]
 
 
+def test_terms_are_pushed_down_to_the_saved_postings(spark, docs, tmp_path, monkeypatch):
+    saved = index.create(docs, str(tmp_path / "i"))
+    asks = spark.createDataFrame([(0, "fox lazy")], "query_id long, text string")
+    found = bm25.search(asks, saved)
+    plan = found._jdf.queryExecution().toString()
+    pushed = [line for line in plan.splitlines() if "FileScan parquet" in line and "tf#" in line]
+    assert pushed and all("In(term, [fox,lazy])" in line and "data_length" not in line.split("ReadSchema")[1] for line in pushed)
+    want = sorted(found.collect())
+    monkeypatch.setattr(bm25, "PUSHED_TERMS", 1)
+    assert sorted(bm25.search(asks, saved).collect()) == want
+
+
+def test_console_answers_lines(spark, docs, tmp_path):
+    import io
+
+    from heronlake import console
+
+    saved, out = index.create(docs, str(tmp_path / "i")), io.StringIO()
+    console.loop(spark, saved, ["fox lazy|0\n", "unknown|or\n", "no mode\n", "fox|xor\n", " |1\n", "a|b fox|1\n", "exit\n", "fox|1\n"], out, docs=docs)
+    lines = out.getvalue().splitlines()
+    assert lines[0].startswith("DocId: 4, Score: 1.6") and lines[0].endswith("Content: A quick brown fox; a lazy dog.")
+    assert lines[1:5] == ["no match", "no mode in the line", "unknown mode 'xor'", "empty query"] and lines[5].startswith("DocId: 4") and len(lines) == 6
+
+
+def test_frequent_terms_are_chunked_over_ranges(spark, monkeypatch):
+    rows = spark.range(500).select(F.lit("t").alias("term"), (F.col("id") * 3).alias("doc_id"), F.lit(1).alias("tf"))
+    whole = sorted(index.chunked(rows).collect())
+    monkeypatch.setattr(index, "RANGE", 100)
+    assert sorted(index.chunked(rows).collect()) == whole and max(r.chunk for r in whole) == 7
+
+
 def test_metrics(spark):
     run = spark.createDataFrame([("q", d, 4.0 - i) for i, d in enumerate(["d1", "d2", "d3", "d4"])] + [("other", "d1", 1.0)], "query_id string, doc_id string, score double")
     qrels = spark.createDataFrame([("q", "d1", 2), ("q", "d3", 1), ("q", "d5", 1)], "query_id string, doc_id string, rel int")
@@ -133,12 +168,56 @@ def test_crawl(spark):
     assert [r.o for r in kinds.select(crawl.outcome().alias("o")).collect()] == ["200", "MIME Type Not HTML", "Timeout"]
 
 
+def test_crawls_remember_counters_and_take_first_in_first_out(spark):
+    rows = [(1, "http://a.org/", "".join(f'<a href="http://a.org/{i}">x</a>' for i in (9, 3, 7, 1)) + '<a href="http://b.org/x">b</a>'), (2, "http://a.org/9", '<a href="http://b.org/y">b</a><a href="http://c.org/z">c</a>'), (3, "http://b.org/x", '<a href="http://c.org/w">c</a>')]
+    e = crawl.edges(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    seeds = spark.createDataFrame([("http://a.org/",)], "url string")
+    visits = [r.min_url for r in crawl.breadth_first(e, seeds, rounds=4, per_round=10).orderBy("visit_order").collect()]
+    # b.org is linked from another host, which puts it first; pages of one priority follow their places on the page
+    assert visits[:6] == ["//a.org", "//b.org/x", "//a.org/9", "//a.org/3", "//a.org/7", "//a.org/1"]
+    assert set(visits[6:]) == {"//b.org/y", "//c.org/z", "//c.org/w"}
+    to = spark.createDataFrame([("http://a.org/9", "http://b.org/x"), ("http://a.org/3", "ftp://bad.net/p.pdf"), ("http://a.org/7", "http://d.org/new")], "url string, final_url string")
+    found = {r.url: r.outcome for r in crawl.redirect_outcomes(spark.createDataFrame([(f"http://a.org/{i}",) for i in (9, 3, 7, 1)], "url string"), to, spark.createDataFrame([("//b.org/x",)], "min_url string"), ".org").collect()}
+    assert found == {"http://a.org/9": "seen", "http://a.org/3": "invalid", "http://a.org/7": "followed", "http://a.org/1": "direct"}
+    to = spark.createDataFrame([("http://a.org/", "http://a.org/9")], "url string, final_url string")
+    moved = crawl.breadth_first(e, seeds, redirects=to).orderBy("visit_order").collect()
+    assert {r.min_url for r in moved} == {"//a.org", "//b.org/y", "//c.org/z"}  # the target's links, and the target itself is seen
+
+
+def test_crawl_files(spark, tmp_path):
+    log = spark.createDataFrame([("http://a.org/u", 5, "t", "200", 0, 1, None, True), ("http://b.org/", 7, "t", "404", 1, 2, "http://c.org/", False)], "url string, size long, time string, status string, depth int, order long, redirect_url string, is_seed boolean")
+    path = crawl.write_log(log, spark.createDataFrame([("//x",)], "min_url string"), str(tmp_path), "2024-01-01-00-00-00", 1.5)
+    assert path.endswith("crawl-2024-01-01-00-00-00") and spark.read.text(f"{path}/log").count() == 2
+    lines = [r.value for r in spark.read.text(f"{path}/statistics").collect()]
+    assert lines[:3] == ["total_pages: 2", "successful_pages: 1", "total_bytes: 12"] and {"n_redirects: 1", "n_domains: 2", "queue_size: 1", "seconds: 1.500"} <= set(lines)
+
+
+def test_hashed_index_is_written_once_and_finds_enough(spark, tmp_path):
+    corpus = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id as doc_id", "embedding")
+    asks = corpus.filter("doc_id % 100 = 0").selectExpr("doc_id as query_id", "embedding as vector")
+    saved = dense.HashedIndex.build(corpus).save(str(tmp_path / "h"))
+    assert sorted(saved.search(asks, 20).collect()) == sorted(dense.hashed_top_k(asks, corpus, 20).collect())
+    truth = dense.exact_top_k(asks, corpus, 20)
+    assert dense.recall(saved.search(asks, 20), truth).first().recall >= 0.9
+    few = saved.search(asks, 1990)  # more than any query's candidates: exact
+    assert few.groupBy("query_id").count().filter("count <> 1990").isEmpty()
+
+
+def test_queries_go_through_in_slices(spark, monkeypatch):
+    corpus = spark.range(40).selectExpr("id as doc_id", "array(cast(id as double), 1.0D) as embedding")
+    asks = corpus.selectExpr("doc_id as query_id", "embedding as vector")
+    whole = sorted(dense.exact_top_k(asks, corpus, 3).collect())
+    monkeypatch.setattr(dense, "BROADCAST_QUERIES", 7)
+    found = dense.exact_top_k(asks, corpus, 3)
+    assert sorted(found.collect()) == whole and "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
 def test_training(spark, docs):
     qrels = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 99, 1), (7, 1, 1)], "query_id long, doc_id long, rel int")
     queries = spark.createDataFrame([(0, "cat")], "query_id long, text string")
     assert [(r.query_id, r.doc_id) for r in training.positives(qrels, queries, docs).collect()] == [(0, 1)]
     assert {r.doc_id for r in training.negative_candidates(qrels, queries, docs).collect()} == {3, 4}
-    drawn = training.negatives(qrels, queries, docs, 10, slots=2)
+    drawn = training.negatives(qrels, queries, docs, 10, digits=1)
     assert {r.doc_id for r in drawn.collect()} <= {3, 4} and drawn.count() > 0
     rows = training.examples(qrels, queries, docs)
     assert training.limited(rows, 1, 1).count() <= 2 and {r.label for r in training.label_counts(rows).collect()} <= {0, 1}
@@ -149,8 +228,8 @@ def test_each_query_gets_all_its_negatives(spark):
     queries = spark.createDataFrame([(q, "x") for q in range(4)], "query_id long, text string")
     judged = [(0, d, 1 if d < 3 else 2) for d in range(40)] + [(1, d, 1) for d in range(25)] + [(1, 30, 0), (2, 5, 2), (3, 999, 1), (9, 1, 1)]
     qrels = spark.createDataFrame(judged, "query_id long, doc_id long, rel int")
-    for slots in (1, 7, 4096):
-        rows = [(r.query_id, r.doc_id) for r in training.negatives(qrels, queries, docs, slots=slots).collect()]
+    for digits in (0, 1, 3):
+        rows = [(r.query_id, r.doc_id) for r in training.negatives(qrels, queries, docs, digits=digits).collect()]
         assert len(rows) == len(set(rows)) and not set(rows) & {(q, d) for q, d, _ in judged}
         # 10 for each positive, judged or not in the table; 250 of query 1's 274 candidates; none without positives
         assert {q: sum(x == q for x, _ in rows) for q in range(4)} == {0: 30, 1: 250, 2: 0, 3: 10}
