@@ -14,21 +14,3 @@ def first(values: Column, k: int) -> Column:
 def lookup(keys: Column, values: Column, key: Column) -> Column:
     """The value at `key` of two parallel arrays; null if there is none. A join is better for many keys."""
     return F.try_element_at(F.map_from_arrays(keys, values), key)
-
-
-def let(value: Column, body) -> Column:
-    """body(value), with `value` computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
-def runs(values: Column) -> Column:
-    """Distinct values with how often each occurs: array of (term, tf), sorted. Linear after one sort."""
-
-    def counted(s: Column) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: F.coalesce(F.get(s, i - 1) != F.get(s, i - 2), F.lit(True)))
-        until = lambda b, j: F.coalesce(F.get(b, j + 1), F.size(s) + 1)
-        one = lambda b: F.transform(b, lambda i, j: F.struct(F.get(s, i - 1).alias("term"), (until(b, j) - i).cast("int").alias("tf")))
-        return let(starts, one)
-
-    none = F.array().cast("array<struct<term:string,tf:int>>")
-    return let(F.sort_array(values), lambda s: F.when(F.size(s) > 0, counted(s)).otherwise(none))

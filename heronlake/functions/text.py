@@ -36,11 +36,19 @@ def _bytes(text: Column) -> Column:
     return F.decode(F.encode(F.coalesce(text, F.lit("")), "UTF-8"), "ISO-8859-1")
 
 
+def token_parts(text: Column) -> Column:
+    """What stands between the separators of a document, in ASCII lower case; tokens are the parts that `is_token`."""
+    return F.split(ascii_lower(_bytes(text)), _class(INDEX_HIGH_BYTES))
+
+
+def is_token(part: Column) -> Column:
+    """Whether a part begins with a letter or digit: no other sign between "0" and "z" is left in a part."""
+    return (part >= "0") & (part < "{")
+
+
 def index_tokens(text: Column) -> Column:
     """Tokens of a document: byte separators, ASCII lower case, first byte a letter or digit."""
-    parts = F.split(ascii_lower(_bytes(text)), _class(INDEX_HIGH_BYTES))
-    # between "0" and "z" no sign is left in a token but digits and small letters
-    return F.filter(parts, lambda t: (t >= "0") & (t < "{"))
+    return F.filter(token_parts(text), is_token)
 
 
 def query_tokens(text: Column, canonical: bool = True, underscore: bool = True) -> Column:

@@ -50,13 +50,15 @@ def score(queries: DataFrame, index: Index, mode: str | int = "or", length: str
     some = [r.term for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
     few = len(some) <= PUSHED_TERMS
     pushed = some if few else None
-    known = terms.join(_for_terms(index.lexicon, terms, pushed).select("term", "df"), "term")
-    known = F.broadcast(known) if few and queries.limit(PUSHED_TERMS + 1).count() <= PUSHED_TERMS else known
-    hits = _for_terms(index.postings, terms, pushed).select("term", "doc_id", "tf", own).join(known, "term")
+    asked = terms.limit(10 * PUSHED_TERMS + 1).count() <= 10 * PUSHED_TERMS
+    df = _for_terms(index.lexicon, terms, pushed).select("term", "df")
+    hits = _for_terms(index.postings, terms, pushed).select("term", "doc_id", "tf", own).join(F.broadcast(df) if few else df, "term")
     hits = hits.crossJoin(F.broadcast(index.corpus()))  # one row
     mean = F.floor(average) if floor_average else F.col(average)
-    part = F.col("qtf") * term_score(F.col("tf"), F.col("df"), F.col("n_docs"), F.col(own), mean)
-    found = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"), F.count("*").alias("matched"), F.first("n_terms").alias("n_terms"))
+    weights = hits.select("term", "doc_id", term_score(F.col("tf"), F.col("df"), F.col("n_docs"), F.col(own), mean).alias("weight"))
+    # each posting is weighed once, however many queries ask for it
+    parts = weights.join(F.broadcast(terms) if asked else terms, "term").select("query_id", "doc_id", "n_terms", (F.col("qtf") * F.col("weight")).alias("part"))
+    found = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), DIGITS).alias("score"), F.count("*").alias("matched"), F.max("n_terms").alias("n_terms"))
     if mode_of(mode) == "and":
         found = found.filter("matched = n_terms")
     return found.select("query_id", "doc_id", "score")

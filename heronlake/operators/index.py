@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heronlake.functions.arrays import runs
-from heronlake.functions.text import index_tokens
+from heronlake.functions.text import index_tokens, is_token, token_parts
 
 
 @dataclass(frozen=True)
 class Index:
     """postings(term, doc_id, tf, data_length, word_count), doc_stats(doc_id, data_length, word_count), lexicon(term, df, max_tf).
 
-    A saved index also has `totals`: one row of n_docs, avg_words, avg_bytes.
+    Postings are dealt out by doc_id, as the shards of a search engine are, so what a query adds up for a document and
+    its best hits are found where they lie. A saved index also has `totals`: one row of n_docs, avg_words, avg_bytes.
     """
 
     postings: DataFrame
@@ -26,30 +27,44 @@ class Index:
     def corpus(self) -> DataFrame:
         """One row: n_docs, avg_words, avg_bytes."""
         if self.totals is not None:
-            return self.totals
+            return self.totals.drop("n_shards")
         return self.doc_stats.agg(
             F.count("*").alias("n_docs"), F.avg("word_count").alias("avg_words"), F.avg("data_length").alias("avg_bytes")
         )
 
-    def save(self, path: str) -> Index:
-        """Write the tables and read them back; postings are dealt out and sorted by term, so a query's terms prune row groups."""
-        spark = self.postings.sparkSession
-        self.doc_stats.write.parquet(f"{path}/doc_stats")
-        self.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
-        lexicon(spark.read.parquet(f"{path}/postings")).sort("term").write.parquet(f"{path}/lexicon")
-        stats = spark.read.parquet(f"{path}/doc_stats")
-        Index(self.postings, stats, self.lexicon).corpus().coalesce(1).write.parquet(f"{path}/totals")
-        return Index.load(spark, path)
-
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "doc_stats", "lexicon", "totals")))
+        totals = spark.read.parquet(f"{path}/totals")
+        spark.read.parquet(f"{path}/postings").limit(0).createOrReplaceTempView("heronlake_schema")
+        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.table("heronlake_schema").schema.fields)
+        spark.catalog.dropTempView("heronlake_schema")
+        n, name = totals.first().n_shards, _table(path)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({fields}) USING parquet CLUSTERED BY (doc_id) SORTED BY (term, doc_id) INTO {n} BUCKETS LOCATION '{path}/postings'")
+        return Index(spark.table(name), *(spark.read.parquet(f"{path}/{t}") for t in ("doc_stats", "lexicon")), totals)
+
 
+def _table(path: str) -> str:
+    """The name of the session's table over a saved index's postings."""
+    return "postings_" + hashlib.sha256(path.encode()).hexdigest()[:24]
 
-def create(docs: DataFrame, path: str) -> Index:
-    """Build a saved index: each text is tokenised once, into a forward table of its terms; all other tables follow from that."""
-    _forward(docs).write.parquet(f"{path}/forward")
-    return _from_forward(docs.sparkSession.read.parquet(f"{path}/forward")).save(path)
+
+def create(docs: DataFrame, path: str, shards: int | None = None) -> Index:
+    """Build a saved index; each text is moved to its shard and tokenised there, once, and all tables follow from the postings.
+
+    Within a shard postings are sorted by term, so a query's terms prune row groups.
+    """
+    spark = docs.sparkSession
+    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = _table(path)
+    _with_lengths(_postings(docs, n)).write.format("parquet").bucketBy(n, "doc_id").sortBy("term", "doc_id").option("path", f"{path}/postings").saveAsTable(name)
+    written = spark.table(name)
+    lexicon(written).sort("term").write.parquet(f"{path}/lexicon")
+    counts = written.groupBy("doc_id").agg(F.first("word_count").alias("word_count"))
+    stats = docs.select("doc_id", _length().alias("data_length")).join(counts, "doc_id", "left").fillna(0, ["word_count"])
+    stats.select("doc_id", "data_length", "word_count").write.parquet(f"{path}/doc_stats")
+    totals = Index(written, spark.read.parquet(f"{path}/doc_stats"), written).corpus()
+    totals.withColumn("n_shards", F.lit(n)).coalesce(1).write.parquet(f"{path}/totals")
+    return Index.load(spark, path)
 
 
 def subset(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -57,24 +72,30 @@ def subset(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
 
 
-def _forward(docs: DataFrame) -> DataFrame:
-    """One row per document: its length in bytes, its number of distinct terms, and these with their counts."""
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("data_length"), runs(index_tokens(F.col("text"))).alias("runs"))
-    return rows.select("doc_id", "data_length", F.size("runs").alias("word_count"), "runs")
+def _length() -> Column:
+    return F.coalesce(F.octet_length("text"), F.lit(0))
+
+
+def _postings(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """(doc_id, data_length, term, tf). Texts are dealt out by doc_id; tokens are counted where their text is, without a further shuffle."""
+    rows = docs.select("doc_id", _length().alias("data_length"), "text")
+    rows = rows.repartition(shards, "doc_id") if shards else rows.repartition("doc_id")
+    tokens = rows.select("doc_id", "data_length", F.explode(token_parts(F.col("text"))).alias("term")).filter(is_token(F.col("term")))
+    return tokens.groupBy("doc_id", "data_length", "term").agg(F.count("*").cast("int").alias("tf"))
 
 
-def _from_forward(rows: DataFrame) -> Index:
-    postings = rows.select("doc_id", "data_length", "word_count", F.inline("runs")).select("term", "doc_id", "tf", "data_length", "word_count")
-    return Index(postings, rows.select("doc_id", "data_length", "word_count"), lexicon(postings))
+def _with_lengths(postings: DataFrame) -> DataFrame:
+    rows = postings.withColumn("word_count", F.expr("cast(count(*) over (partition by doc_id) as int)"))
+    return rows.select("term", "doc_id", "tf", "data_length", "word_count")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, tf), counted within each text, so nothing is shuffled; doc_ids are taken to be unique."""
-    return _from_forward(_forward(docs)).postings.select("term", "doc_id", "tf")
+    return _postings(docs).select("term", "doc_id", "tf")
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    return _from_forward(_forward(docs)).doc_stats
+    rows = docs.select("doc_id", _length().alias("data_length"), "text").repartition("doc_id")
+    return rows.select("doc_id", "data_length", F.size(F.array_distinct(index_tokens(F.col("text")))).alias("word_count"))
 
 
 def lexicon(postings: DataFrame) -> DataFrame:
@@ -83,7 +104,8 @@ def lexicon(postings: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame) -> Index:
     """An index that is computed when it is read; `create` writes one that is searched again and again."""
-    return _from_forward(_forward(docs))
+    postings = _with_lengths(_postings(docs))
+    return Index(postings, document_stats(docs), lexicon(postings))
 
 
 def merge_partials(*parts: DataFrame) -> DataFrame:
