@@ -41,8 +41,9 @@ POOL = 1024
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
-_CLOSING = ".,;:!?|"
-_PROBES = ("word", "Words.", "THE", "naïve", "Ünïcode,", "Œuvre!?", "straße", "a", "éé:;", "ÿŝž|")
+#: ASCII signs that can close a word as a run of their own; the apostrophe may begin an English contraction.
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_PROBES = ("word", "Words.", "THE", "naïve", "Ünïcode,", "Œuvre!?", "straße", "a", "éé:;", "ÿŝž|", "b$$$", "c-_", "d)]}\"", "e&*%", "f<|", "g@`~^", "h\\/+=")
 _BYTE_LETTERS = {b: c for c, b in byte_symbols().items()}
 
 def vocabulary_path() -> str:
@@ -91,6 +92,7 @@ class WordEncoder:
         For these the normaliser only lower-cases and the splitter parts letters from the rest.
         """
         tokenize, closings, out = self.tokenizer.model.tokenize, self.closings, {}
+        young, old = self.known.young, self.known.old
         lower = b"\n".join(pieces).decode().lower().split("\n")  # no piece holds a line feed
         for piece, text in zip(pieces, lower, strict=True):
             word = text.rstrip(_CLOSING)
@@ -102,7 +104,10 @@ class WordEncoder:
                 letters = word.encode().decode("latin-1").translate(_BYTE_LETTERS)
             else:
                 continue
-            ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
+            plain = word.encode()
+            ids = None if plain == piece else young.get(plain) or old.get(plain) or out.get(plain)
+            if ids is None:
+                ids = array("I", [t.id for t in tokenize(letters)]).tobytes()
             if len(word) != len(text):
                 closing = text[len(word) :]
                 if closing not in closings:
