@@ -82,7 +82,7 @@ def test_pipeline_equals_brute_force(spark):
 def test_pipeline_runs_whole(spark):
     import corpus_pipeline
 
-    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     assert corpus_pipeline.run_on(spark, empty, SF).count() == 0
 
