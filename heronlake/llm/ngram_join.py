@@ -37,6 +37,7 @@ Columns other than doc_id and text are ignored, whatever their names are.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -316,9 +317,16 @@ def _count_links(percent: int):
     return run
 
 
+def let_go(df: DataFrame) -> None:
+    """Checkpoints and shuffles that nothing refers to any more are removed from disk now, not at some later garbage collection."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """(cid, label) of the classes that may link with others; linked classes share a label."""
     entries = cut_lineage(_prefixes(sets, classes, percent).withColumn("label", F.col("cid")))
+    let_go(docs)
     whole = labels = failed = None
     low, high = 0, 1
     while True:
@@ -330,6 +338,7 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
             live = cut_lineage(entries.select("cid").distinct().join(classes, "cid"))
             labels = live.select("cid", F.col("cid").alias("label"))
             whole = cut_lineage(_sets_of(docs, live, k))
+            let_go(docs)
         if entries.isEmpty():
             return labels
         pairs = _pairs(entries.join(bounded(live.select("cid", *PARITY)), "cid"), low, high, percent, large)
@@ -345,6 +354,7 @@ def _labels(docs: DataFrame, sets: DataFrame, classes: DataFrame, k: int, percen
             labels = cut_lineage(labels)
             entries = entries.drop("label").join(bounded(labels), "cid")
         low, high = high, high * REACH
+        let_go(docs)
 
 
 def _checked(pairs: DataFrame, whole: DataFrame, percent: int) -> DataFrame:
