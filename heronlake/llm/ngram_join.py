@@ -26,7 +26,8 @@ thousands of copies of one text cost about one comparison each instead of all pa
 `link_counts` does the whole join: classes of different components don't link, so it then
 compares all pairs of classes within each component, by blocks, and counts every link.
 
-Shingles are compared as 64-bit hashes and sets of one class by 128 bits.
+Shingles are compared as 64-bit hashes and sets of one class by 128 bits. Counted shingles carry
+64 bits of their class's name; classes that share these get other ones until all differ.
 
 Defined cases: null and blank texts have the empty set and link with nothing, not even
 each other; a text of fewer than k words is one shingle. Null doc_ids take part but never
@@ -189,18 +190,34 @@ def _heavy_shingles(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     return token, rank
 
 
+def _short_names(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with `name`, 64 bits that no two classes share: k1, and other bits for the few classes whose k1 is not theirs alone."""
+    classes, salt = classes.withColumn("name", F.col("k1")), 0
+    while True:
+        twice = cut_lineage(classes.groupBy("name").count().filter("count > 1").select("name", F.lit(True).alias("twice")))
+        if twice.isEmpty():
+            break
+        salt += 1
+        other = F.when(F.col("twice"), F.xxhash64(F.lit(salt), "k1", "k2")).otherwise(F.col("name"))
+        classes = cut_lineage(classes.join(bounded(twice), "name", "left").withColumn("name", other).drop("twice"))
+    if not salt:
+        return sets.withColumn("name", F.col("k1")), classes
+    renamed = cut_lineage(classes.filter("name <> k1").select("k1", "k2", F.col("name").alias("other")))
+    return sets.join(bounded(renamed), ["k1", "k2"], "left").withColumn("name", F.coalesce("other", "k1")).drop("other"), classes
+
+
 def _prefixes(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """(token, cid, n, pos) of the prefix shingles that more than one class may share."""
-    counted = sets.select(F.explode("counted").alias("token"), "k1")
+    counted = sets.select(F.explode("counted").alias("token"), "name")
     bucket = "over (partition by token)"
     shared = (
-        counted.selectExpr("token", "k1", f"count(*) {bucket} as df", f"min(k1) {bucket} as low", f"max(k1) {bucket} as high")
-        .filter("low < high").select("token", "k1", "df").distinct()
+        counted.selectExpr("token", "name", f"count(*) {bucket} as df", f"min(name) {bucket} as low", f"max(name) {bucket} as high")
+        .filter("low < high").select("token", "name", "df").distinct()
     )
     tier = f"if(token & 255 < {TIERS[0]}, 0, if(token & 255 < {TIERS[1]}, 1, 2))"
     own = "over (partition by cid, tier order by df, token)"
     ahead = (
-        shared.join(classes, "k1").selectExpr("token", "df", "cid", "n", "c0", "c1", "c2", f"{tier} as tier")
+        shared.join(classes, "name").selectExpr("token", "df", "cid", "n", "c0", "c1", "c2", f"{tier} as tier")
         .selectExpr("token", "cid", "n", "c0", "c1", "c2", "tier", f"row_number() {own} as nth", "count(*) over (partition by cid, tier) as n_shared")
         # a tier's shingles of one class alone come before those that others have too
         .selectExpr("token", "cid", "n", "case tier when 0 then c0 when 1 then c0 + c1 else c0 + c1 + c2 end - n_shared + nth - 1 as pos")
@@ -258,6 +275,7 @@ def _joined(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
             *[F.max(c).alias(c) for c in ("c0", "c1", "c2")],
         )
     )
+    sets, classes = _short_names(sets, classes)
     return docs, sets, classes, _labels(docs, sets, classes, k, percent)
 
 

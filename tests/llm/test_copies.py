@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heronlake.llm import exact_dedup, ngram_join, shingles, sides
 from heronlake.llm import components as component_module
@@ -183,6 +184,16 @@ def test_columns_that_clash(spark):
     assert ngram_join.link_components(docs).columns == ["doc_id", "n_shingles", "component_id"]
 
 
+def test_classes_that_share_half_a_name_keep_their_own_prefixes(spark):
+    _, sets, classes, _ = ngram_join._joined(frame(spark, corpus()), 4, 85)
+    whole = sorted(ngram_join._prefixes(sets, classes, 85).collect())
+    alike = [df.drop("name").withColumn("k1", F.pmod("k1", F.lit(3))) for df in (sets, classes)]
+    assert alike[1].select("k1").distinct().count() == 3
+    named = ngram_join._short_names(*alike)
+    assert named[1].select("name").distinct().count() == classes.count()
+    assert whole and sorted(ngram_join._prefixes(*named, 85).collect()) == whole
+
+
 def test_join_of_odd_tables(spark):
     empty = frame(spark, []).limit(0)
     assert ngram_join.link_components(empty).count() == 0
