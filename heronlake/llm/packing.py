@@ -14,7 +14,7 @@ the same rows.
 Defined cases: null text counts as empty and gives the closing id alone. Null doc_ids are
 carried; rows that repeat a doc_id, or a whole row, are packed each on its own, and their
 pieces can be told apart by sequence and offset only. An empty table gives no rows. Texts of
-any length are tokenised in parts of about 4 MB, cut at white space (a longer piece without
+any length are tokenised in parts of about 2 MB, cut at white space (a longer piece without
 white space is tokenised at once), and cut as they come. Columns other than those named in
 the call are ignored, whatever their names are. A null or negative prompt counts as 0, a
 prompt beyond the text as its length.
@@ -41,7 +41,10 @@ POOL = 1024
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, loss_tokens long"
 
 #: Bytes and rows of a slice, as multiples of the other operators': the more text at once, the fewer pieces are looked up.
-MORE = 4
+MORE = 2
+
+#: Bytes whose boundaries are looked for at once.
+WINDOW = 1 << 18
 
 #: Bytes that what is remembered would take as Python's objects; as arrays it takes about a quarter.
 MEMORY = 3 * worker.MEMORY
@@ -232,15 +235,21 @@ class WordEncoder:
             return data, ends
         small = text.lower()
         if not any(t.lower() in small for t in self.added):
-            bare = np.append((data[1:] < 0x80) | (data[1:] >= 0xC3) & (data[1:] <= 0xC5), True)
-            data = np.where(bare, np.frombuffer(small, np.uint8), data)
-        one, two = data[:-1], data[1:]
+            data = np.frombuffer(bytearray(small), np.uint8)
+            marks = np.flatnonzero((data[1:] >= 0x80) & ((data[1:] < 0xC3) | (data[1:] > 0xC5)))
+            data[marks] = np.frombuffer(text, np.uint8)[marks]
+        del small
+        # some at once, as each step makes an array
+        at = np.concatenate([begin + self._bounds(data[begin : begin + WINDOW + 1], data[begin - 1] if begin else 0) for begin in range(0, len(data), WINDOW)])
+        return np.insert(data, at, 32), ends + np.searchsorted(at, ends)
+
+    def _bounds(self, data: np.ndarray, before: int) -> np.ndarray:
+        """Where, after the first byte, a word and a sign touch. `before`: the byte before the first."""
         sign, word = self.signs[data], self.ascii_word[data]
-        closes = word.copy()
+        one, two = np.append(np.uint8(before), data[:-2]), data[:-1]
         # of two bytes, U+00C0 to U+017F: letters, but for the signs U+00D7 and U+00F7 and for U+0130, which becomes two characters
-        closes[1:] |= (one >= 0xC3) & (one <= 0xC5) & ~((one == 0xC3) & ((two == 0x97) | (two == 0xB7))) & ~((one == 0xC4) & (two == 0xB0))
-        at = np.flatnonzero((closes[:-1] & sign[1:]) | (sign[:-1] & word[1:])) + 1
-        return np.insert(data, at, 32), ends + np.searchsorted(at, ends)
+        closes = (one >= 0xC3) & (one <= 0xC5) & ~((one == 0xC3) & ((two == 0x97) | (two == 0xB7))) & ~((one == 0xC4) & (two == 0xB0))
+        return np.flatnonzero(((closes | word[:-1]) & sign[1:]) | (sign[:-1] & word[1:])) + 1
 
     def _encode(self, texts: list[bytes]) -> list[bytes]:
         data, ends = self._parted(b"".join(texts), np.cumsum([0, *map(len, texts)]))
