@@ -118,7 +118,7 @@ def merge_partials(*parts: DataFrame) -> DataFrame:
 
 def inverted_lists(postings: DataFrame) -> DataFrame:
     """Nested form: each term with its array of (doc_id, tf) by doc_id."""
-    return postings.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
+    return postings.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("doc_id", "tf"))).alias("postings"))
 
 
 def merged_lines(postings: DataFrame) -> DataFrame:
@@ -130,7 +130,9 @@ def merged_lines(postings: DataFrame) -> DataFrame:
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Postings of the text form; column `line`."""
     at = F.length("line") - F.locate(":", F.reverse("line")) + 1
-    rows = lines.select(F.substr("line", F.lit(1), at - 1).alias("term"), F.explode(F.split(F.substr("line", at + 1), ",")).alias("p"))
+    # the term is cut off below the explode: above it, each posting would read its whole line again
+    lists = lines.select(F.substr("line", F.lit(1), at - 1).alias("term"), F.substr("line", at + 1).alias("list"))
+    rows = lists.select("term", F.explode(F.split("list", ",")).alias("p"))
     two = F.split("p", " ")
     return rows.select("term", two[0].cast("long").alias("doc_id"), two[1].cast("int").alias("tf"))
 

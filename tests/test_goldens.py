@@ -80,6 +80,14 @@ def test_index_round_trip(spark, docs, tmp_path):
     assert sorted(r.word_count for r in index.build(docs.unionByName(empty)).doc_stats.collect())[:2] == [0, 0]
 
 
+def test_a_line_is_read_once_and_not_once_a_posting(spark):
+    lines = spark.createDataFrame([("a:b:3 1,12 2",), ("c:0 7",)], "line string")
+    found = index.parse_lines(lines)
+    assert sorted(map(tuple, found.collect())) == [("a:b", 3, 1), ("a:b", 12, 2), ("c", 0, 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()  # from the top down
+    assert plan.index("Generate explode") < plan.index("reverse(line")
+
+
 def test_terms_are_pushed_down_to_the_saved_postings(spark, docs, tmp_path, monkeypatch):
     saved = index.create(docs, str(tmp_path / "i"))
     asks = spark.createDataFrame([(0, "fox lazy")], "query_id long, text string")
