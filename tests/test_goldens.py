@@ -353,3 +353,20 @@ def test_case_keeping_query_tokens_equal_their_sql_twin(spark):
     one = lambda t: duckdb.execute(f"SELECT {oracles.cased_tokens('x')} FROM (SELECT ?::VARCHAR AS x)", [t]).fetchone()[0]
     assert got == {i: ascii_only(one(t)) for i, t in enumerate(texts)}
     assert got[0] == ["r", "ber"]
+
+
+def test_negatives_are_spread_out_of_blocks(spark, monkeypatch):
+    queries, docs = spark.range(7).select(F.col("id").alias("query_id")), spark.range(100).select(F.col("id").alias("doc_id"))
+    qrels = queries.crossJoin(docs).filter("doc_id % 11 = query_id or doc_id % 23 = query_id").selectExpr("query_id", "doc_id", "int(1 + doc_id % 3) as rel")
+    qrels = qrels.unionByName(qrels.filter("query_id = 3"))  # judged twice
+    drawn = lambda: sorted((r.query_id, r.doc_id) for r in training.negatives(qrels, queries, docs, ratio=5).collect())
+    whole = drawn()
+    counts = {r.query_id: min(5 * r.n, 100 - r.judged) for r in qrels.groupBy("query_id").agg(F.count_if(F.col("rel") == 1).alias("n"), F.countDistinct("doc_id").alias("judged")).collect()}
+    assert {q: sum(x == q for x, _ in whole) for q in counts} == counts and len(set(whole)) == len(whole)
+    assert not set(whole) & {(r.query_id, r.doc_id) for r in qrels.collect()}
+    plan = training.negatives(qrels, queries, docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "div 1024" in plan.split("Generate explode(sequence(")[1].splitlines()[0]  # a row per block and not per step
+    for block, few in ((8, 1000), (3, 0)):
+        monkeypatch.setattr(training, "BLOCK", block)
+        monkeypatch.setattr(training, "BROADCAST_ROWS", few)
+        assert drawn() == whole
