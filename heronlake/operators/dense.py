@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from heronlake.functions.text import DIGITS
 from heronlake.functions.vectors import dot, inverse_distance, squared_l2
+from heronlake.operators import nearest
 from heronlake.operators.bm25 import top_k
+from heronlake.session import cut_lineage
 
 #: Queries are broadcast up to this many rows; larger sets go through in about that many rows at a time.
 BROADCAST_QUERIES = 10_000
+#: Rows of one batch that a task hands on.
+OUT_ROWS = 1 << 16
 #: Hash tables, bits of a bucket's number, and bits in which a query's buckets may differ from its own.
 TABLES, BITS, PROBES = 16, 6, 1
 
@@ -33,16 +41,68 @@ def exact_scores(queries: DataFrame, corpus: DataFrame, metric: str = "dot") ->
     return corpus.select("doc_id", "embedding").crossJoin(F.broadcast(rows)).select("query_id", "doc_id", _value(metric).alias("score"))
 
 
+def _regular(vector: str, dim: int) -> Column:
+    """Whether a vector has `dim` components, all of them numbers whose products are finite."""
+    sound = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) <= 1e100))
+    return F.coalesce((F.size(vector) == dim) & sound, F.lit(False))
+
+
 def _slices(queries: DataFrame) -> list[DataFrame]:
     """The queries in parts, by hash, of about BROADCAST_QUERIES rows."""
     n = max(1, math.ceil(queries.count() / BROADCAST_QUERIES))
     return [queries] if n == 1 else [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
 
 
+def _dim(queries: DataFrame) -> int:
+    one = queries.select(F.size("vector").alias("n")).filter("n > 0").first()
+    return one.n if one else 0
+
+
+def _in_blocks(queries: DataFrame, corpus: DataFrame, k: int, metric: str, dim: int, normals: np.ndarray | None = None) -> DataFrame:
+    """(query_id, doc_id, score): of regular vectors, each task's best k of each query; no pairs are formed outside a block.
+
+    The queries, at most about BROADCAST_QUERIES, go to the tasks with the function; each task reads its share of the corpus once.
+    """
+    rows = queries.filter(_regular("vector", dim)).select("query_id", F.col("vector").cast("array<double>").alias("vector"))
+    asked = rows.toArrow().combine_chunks()
+    corpus = corpus.filter(_regular("embedding", dim)).repartition("doc_id")
+    kinds = T.StructType([rows.schema["query_id"], corpus.schema["doc_id"], T.StructField("score", T.DoubleType())])
+    if not asked.num_rows:
+        return queries.sparkSession.createDataFrame([], kinds)
+    ids, asked_vectors = asked["query_id"].combine_chunks(), nearest.matrix(asked["vector"].combine_chunks())
+    near = np.array([x.bit_count() <= PROBES for x in range(1 << BITS)])
+    own = None if normals is None else nearest.hashes(asked_vectors, normals).astype(np.uint16)
+
+    def run(batches):
+        def parts():
+            for b in nearest.chunks(batches):
+                buckets = None if own is None else nearest.matrix(b["buckets"]).astype(np.uint16)
+                yield b["doc_id"], nearest.matrix(b["embedding"]), buckets
+
+        first = next(batches, None)
+        if first is not None:
+            batches = itertools.chain([first], batches)
+            found, docs, score = nearest.Search(asked_vectors, k, metric, own, near).best(parts(), first["doc_id"].type)
+            names = [f.name for f in kinds]
+            for at in range(0, len(found), OUT_ROWS):
+                cut = slice(at, at + OUT_ROWS)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found[cut])), docs.slice(at, OUT_ROWS), pa.array(score[cut])], names)
+
+    return corpus.mapInArrow(run, kinds).withColumn("score", F.round("score", DIGITS))
+
+
 def exact_top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, metric: str = "dot") -> DataFrame:
-    found = None
-    for part in _slices(queries):
-        best = top_k(exact_scores(part, corpus, metric), k)
+    """Top k by exact score. Vectors with missing, vast or too few components are scored one by one, and may score null."""
+    found, dim = None, _dim(queries)
+    corpus = corpus.select("doc_id", "embedding")
+    odd = corpus.filter(~_regular("embedding", dim))
+    for part in _slices(queries.select("query_id", "vector")):
+        rows = _in_blocks(part, corpus, k, metric, dim)
+        rows = rows.unionByName(exact_scores(part, odd, metric))
+        others = part.filter(~_regular("vector", dim))
+        if not others.isEmpty():
+            rows = rows.unionByName(exact_scores(others, corpus.filter(_regular("embedding", dim)), metric))
+        best = top_k(rows, k)
         found = best if found is None else found.unionByName(best)
     return found
 
@@ -69,49 +129,69 @@ def buckets(vector: Column, normals: list[list[list[float]]]) -> Column:
 
 @dataclass(frozen=True)
 class HashedIndex:
-    """vectors(doc_id, embedding) and hashes(table, bucket, doc_id); `dim`: length of the vectors."""
+    """vectors(doc_id, embedding, buckets): the bucket of each vector in each table; `dim`: length of the vectors."""
 
     vectors: DataFrame
-    hashes: DataFrame
     dim: int
 
     @staticmethod
     def build(corpus: DataFrame) -> HashedIndex:
-        """corpus: doc_id, embedding; vectors of another length than the first one's are an error when read."""
-        one = corpus.filter("embedding is not null").select(F.size("embedding").alias("n")).first()
-        dim = one.n if one else 0
+        """corpus: doc_id, embedding; the first vector tells `dim`."""
         rows = corpus.filter("embedding is not null").select("doc_id", "embedding")
-        hashes = rows.select("doc_id", F.posexplode(buckets(F.col("embedding"), planes(dim))).alias("table", "bucket"))
-        return HashedIndex(rows, hashes.select("table", "bucket", "doc_id"), dim)
+        one = rows.select(F.size("embedding").alias("n")).first()
+        dim = one.n if one else 0
+        normals = np.array(planes(dim)).reshape(TABLES, BITS, dim)
+
+        def hashed(batches):
+            for b in nearest.chunks(batches):
+                own = nearest.hashes(nearest.matrix(b["embedding"]), normals)
+                yield b.append_column("buckets", pa.FixedSizeListArray.from_arrays(pa.array(own.reshape(-1)), TABLES).cast(pa.list_(pa.int32())))
+
+        kinds = T.StructType([*rows.schema.fields, T.StructField("buckets", T.ArrayType(T.IntegerType()))])
+        whole = rows.filter(_regular("embedding", dim)).mapInArrow(hashed, kinds)
+        odd = rows.filter(~_regular("embedding", dim)).withColumn("buckets", buckets(F.col("embedding"), planes(dim)))
+        return HashedIndex(whole.unionByName(odd), dim)
 
     def save(self, path: str) -> HashedIndex:
-        """Written once, read by any number of searches: hashes are dealt out and sorted by bucket."""
-        spark = self.vectors.sparkSession
+        """Written once, read by any number of searches."""
         self.vectors.write.parquet(f"{path}/vectors")
-        rows = HashedIndex.build(spark.read.parquet(f"{path}/vectors")).hashes
-        rows.repartitionByRange("table", "bucket", "doc_id").sortWithinPartitions("table", "bucket", "doc_id").write.parquet(f"{path}/hashes")
-        return HashedIndex.load(spark, path)
+        return HashedIndex.load(self.vectors.sparkSession, path)
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> HashedIndex:
         vectors = spark.read.parquet(f"{path}/vectors")
         one = vectors.select(F.size("embedding").alias("n")).first()
-        return HashedIndex(vectors, spark.read.parquet(f"{path}/hashes"), one.n if one else 0)
+        return HashedIndex(vectors, one.n if one else 0)
 
-    def candidates(self, queries: DataFrame) -> DataFrame:
-        """(query_id, doc_id): those in a bucket that differs from the query's in PROBES bits at most, in any table."""
+    def _pairs(self, queries: DataFrame, rows: DataFrame, metric: str) -> DataFrame:
+        """(query_id, doc_id, score) of odd vectors: those in a bucket that differs from the query's in PROBES bits at most, in any table."""
         near = [x for x in range(1 << BITS) if x.bit_count() <= PROBES]
         asked = queries.select("query_id", F.posexplode(buckets(F.col("vector"), planes(self.dim))).alias("table", "own"))
         asked = asked.select("query_id", "table", F.explode(F.transform(F.array(*map(F.lit, near)), lambda x: F.col("own").bitwiseXOR(x))).alias("bucket"))
-        return asked.join(self.hashes, ["table", "bucket"]).select("query_id", "doc_id").distinct()
+        pairs = asked.join(rows.select("doc_id", F.posexplode("buckets").alias("table", "bucket")), ["table", "bucket"]).select("query_id", "doc_id").distinct()
+        pairs = pairs.join(rows, "doc_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
+        return pairs.select("query_id", "doc_id", _value(metric).alias("score"))
 
     def search(self, queries: DataFrame, k: int = 100, metric: str = "dot") -> DataFrame:
-        """Top k of the candidates by exact score; queries with fewer than k candidates are searched exactly."""
-        pairs = self.candidates(queries).join(self.vectors, "doc_id").join(queries.select("query_id", F.col("vector").alias("q")), "query_id")
-        found = top_k(pairs.select("query_id", "doc_id", _value(metric).alias("score")), k)
+        """Top k by exact score of the vectors in a bucket that differs from the query's in PROBES bits at most, in any table.
+
+        Queries with fewer than k of these are searched exactly.
+        """
+        queries, sound = queries.select("query_id", "vector"), _regular("embedding", self.dim)
+        normals = np.array(planes(self.dim)).reshape(TABLES, BITS, self.dim)
+        found = None
+        for part in _slices(queries):
+            rows = _in_blocks(part, self.vectors, k, metric, self.dim, normals).unionByName(self._pairs(part, self.vectors.filter(~sound), metric))
+            others = part.filter(~_regular("vector", self.dim))
+            if not others.isEmpty():
+                rows = rows.unionByName(self._pairs(others, self.vectors.filter(sound), metric))
+            best = top_k(rows, k)
+            found = best if found is None else found.unionByName(best)
+        found = cut_lineage(found)  # at most k rows a query, read three times
         full = found.filter(F.col("rank") == k).select("query_id")
         short = queries.join(full, "query_id", "left_anti")
-        return found.join(full, "query_id", "left_semi").unionByName(exact_top_k(short, self.vectors, k, metric))
+        found = found.join(full, "query_id", "left_semi")
+        return found if short.isEmpty() else found.unionByName(exact_top_k(short, self.vectors, k, metric))
 
 
 def hashed_top_k(queries: DataFrame, corpus: DataFrame, k: int = 100, metric: str = "dot") -> DataFrame:

@@ -370,3 +370,28 @@ def test_negatives_are_spread_out_of_blocks(spark, monkeypatch):
         monkeypatch.setattr(training, "BLOCK", block)
         monkeypatch.setattr(training, "BROADCAST_ROWS", few)
         assert drawn() == whole
+
+
+def test_searches_in_blocks_equal_the_plain_one(spark, monkeypatch):
+    import numpy as np
+
+    from heronlake.operators import nearest
+
+    draw = np.random.default_rng(5)
+    rows = [(i, [round(float(x), 2) for x in draw.standard_normal(6)]) for i in range(300)]
+    rows += [(1000 + i, rows[i % 7][1]) for i in range(60)] + [(2000, None), (2001, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2002, [1.0]), (2003, [float("nan")] * 6), (2004, [1e300] * 6)]
+    corpus = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(3)
+    asks = corpus.filter("doc_id % 50 = 0 or doc_id between 1998 and 2005").selectExpr("doc_id as query_id", "embedding as vector")
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.select(a.columns).collect()))
+    monkeypatch.setattr(nearest, "QUERY_ROWS", 4)
+    monkeypatch.setattr(nearest, "CORPUS_ROWS", 64)
+    for metric in ("dot", "l2", "inverse"):
+        plain = bm25.top_k(dense.exact_scores(asks, corpus, metric), 5)
+        found = dense.exact_top_k(asks, corpus, 5, metric)
+        assert same(found, plain)
+        assert dense.HashedIndex.build(corpus).search(asks, 363).count() == asks.count() * 363  # exact where candidates are few
+    plan = found._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "BroadcastNestedLoopJoin" not in dense._in_blocks(asks, corpus, 5, "dot", 6)._jdf.queryExecution().toString()
+    values = [0.1234567885, -0.1234567885, 2.5e-9, -0.5e-9, 1.0000000005, 3e6 + 1.5e-9, 123456.7890123455, 0.0]
+    want = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 9)).collect()
+    assert [float(v) + 0.0 for v in nearest.rounded(np.array(values))] == [r[0] for r in want]
