@@ -9,33 +9,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from heronlake.session import cut_lineage
+
 CUTS = (5, 10, 20, 30, 100)
+#: Runs are broadcast up to this many rows of ids, and shuffled beyond.
+BROADCAST_ROWS = 1_000_000
+
+
+def _graded(run: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The run with rank and grade (unjudged: 0). Of the judgements only those of the run's documents are moved, if these are few."""
+    ranked = cut_lineage(run).withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, doc_id desc)"))
+    grades = qrels.select("query_id", "doc_id", "rel")
+    if ranked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        grades = grades.join(F.broadcast(ranked.select("query_id", "doc_id")), ["query_id", "doc_id"], "left_semi")
+    return ranked.join(grades, ["query_id", "doc_id"], "left").fillna(0, ["rel"])
 
 
 def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """The run of queries that have judgements, with rank and grade (unjudged: 0)."""
-    ranked = run.join(qrels.select("query_id").distinct(), "query_id", "left_semi").withColumn(
-        "rank", F.expr("row_number() over (partition by query_id order by score desc, doc_id desc)")
-    )
-    return ranked.join(qrels.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"], "left").fillna(0, ["rel"])
+    return _graded(run, qrels).join(qrels.select("query_id").distinct(), "query_id", "left_semi")
 
 
 def per_query(run: DataFrame, qrels: DataFrame, cuts: tuple[int, ...] = CUTS) -> DataFrame:
-    """query_id, map, recip_rank, and p_k, recall_k, ndcg_k for each cut."""
-    rows = judged(run, qrels)
+    """query_id, map, recip_rank, and p_k, recall_k, ndcg_k for each cut, of queries that have judgements."""
+    rows = _graded(run, qrels)
     hit = F.col("rel") >= 1
     rows = rows.withColumn("hits", F.expr("sum(int(rel >= 1)) over (partition by query_id order by rank rows unbounded preceding)"))
     gain = lambda rel, rank: rel / F.log2(rank + 1.0)
-    ideal = qrels.filter("rel > 0").withColumn("place", F.expr("row_number() over (partition by query_id order by rel desc, doc_id)"))
+    # judgements are counted by grade; only the first places of the ideal order are spread out
+    grades = qrels.groupBy("query_id", "rel").agg(F.count("*").alias("n"))
+    n = F.when(F.col("rel") > 0, F.col("n")).otherwise(0)
+    ahead = F.expr("coalesce(sum(n) over (partition by query_id order by rel desc rows between unbounded preceding and 1 preceding), 0)")
+    places = F.expr(f"sequence(ahead + 1, ahead + least(n, {max(cuts)} - ahead))")
+    ideal = grades.withColumn("n", n).withColumn("ahead", ahead)
+    ideal = ideal.select("query_id", "rel", "n", F.posexplode_outer(F.when((F.col("n") > 0) & (F.col("ahead") < max(cuts)), places)).alias("nth", "place"))
     ideal = ideal.groupBy("query_id").agg(
-        F.count("*").alias("n_rel"), *[F.sum(F.when(F.col("place") <= k, gain(F.col("rel"), F.col("place")))).alias(f"ideal_{k}") for k in cuts]
+        F.nullif(F.sum(F.when(F.coalesce("nth", F.lit(0)) == 0, F.col("n"))), F.lit(0)).alias("n_rel"),
+        *[F.sum(F.when(F.col("place") <= k, gain(F.col("rel"), F.col("place")))).alias(f"ideal_{k}") for k in cuts],
     )
     found = rows.groupBy("query_id").agg(
         F.sum(F.when(hit, F.col("hits") / F.col("rank"))).alias("precisions"), F.min(F.when(hit, F.col("rank"))).alias("first_hit"),
         *[F.sum(F.when(hit & (F.col("rank") <= k), 1).otherwise(0)).alias(f"hits_{k}") for k in cuts],
         *[F.sum(F.when((F.col("rank") <= k) & (F.col("rel") > 0), gain(F.col("rel"), F.col("rank")))).alias(f"dcg_{k}") for k in cuts],
     )
-    both = found.join(ideal, "query_id", "left")
+    both = found.join(ideal, "query_id")
     zero = lambda c: F.round(F.coalesce(c, F.lit(0.0)), 6)
     return both.select(
         "query_id", zero(F.col("precisions") / F.col("n_rel")).alias("map"), zero(1 / F.col("first_hit")).alias("recip_rank"),
@@ -52,9 +69,8 @@ def means(metrics: DataFrame) -> DataFrame:
 
 def mrr(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """Mean reciprocal rank over all queries of the run, judged or not."""
-    ranked = run.withColumn("rank", F.expr("row_number() over (partition by query_id order by score desc, doc_id)"))
-    first = ranked.join(qrels.filter("rel > 0").select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first"))
-    queries = run.select("query_id").distinct().join(first, "query_id", "left")
+    rows = _graded(run.withColumn("place", F.expr("row_number() over (partition by query_id order by score desc, doc_id)")), qrels)
+    queries = rows.groupBy("query_id").agg(F.min(F.when(F.col("rel") > 0, F.col("place"))).alias("first"))
     return queries.agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"))
 
 

@@ -91,6 +91,7 @@ def vector_run(spark, d):
 def vector_qrels(spark, d):
     """Vectors of the query's label are relevant; grade 2 for even ids."""
     q = vector_queries(spark, d).select("query_id", "label")
+    q = F.broadcast(q) if q.count() <= dense.BROADCAST_QUERIES else q  # there are few labels: dealt out by them, all rows would lie in few tasks
     return vectors(spark, d).join(q, "label").select("query_id", "doc_id", (2 - F.col("doc_id") % 2).cast("int").alias("rel"))
 
 

@@ -395,3 +395,19 @@ def test_searches_in_blocks_equal_the_plain_one(spark, monkeypatch):
     values = [0.1234567885, -0.1234567885, 2.5e-9, -0.5e-9, 1.0000000005, 3e6 + 1.5e-9, 123456.7890123455, 0.0]
     want = spark.createDataFrame([(v,) for v in values], "x double").select(F.round("x", 9)).collect()
     assert [float(v) + 0.0 for v in nearest.rounded(np.array(values))] == [r[0] for r in want]
+
+
+def test_judgements_are_counted_and_not_sorted(spark, monkeypatch):
+    run = spark.createDataFrame([(q, d, float(-d)) for q in ("a", "b", "c", "d") for d in range(6)], "query_id string, doc_id long, score double")
+    rels = [("a", 0, 3), ("a", 2, 1), ("a", 9, 2)] + [("b", 100 + i, 1) for i in range(300)] + [("b", 1, 2), ("c", 1, 0), ("c", 2, 0), ("x", 1, 1)]
+    qrels = spark.createDataFrame(rels, "query_id string, doc_id long, rel int")
+    m = {r.query_id: r for r in evaluate.per_query(run, qrels, (5, 100)).collect()}
+    assert set(m) == {"a", "b", "c"} and (m["c"].map, m["c"].ndcg_5, m["c"].recall_5, m["c"].recip_rank) == (0, 0, 0, 0)
+    assert (m["a"].recall_5, m["a"].map, m["a"].ndcg_5) == (0.666667, 0.555556, 0.735007)
+    assert (m["b"].recip_rank, m["b"].recall_5) == (0.5, 0.003322) and 0 < m["b"].ndcg_100 < m["b"].ndcg_5
+    plan = evaluate.per_query(run, qrels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number()") == 1  # of the run; judgements are not numbered
+    mrr = evaluate.mrr(run, qrels).first().mrr
+    assert mrr == 0.375  # (1 + 1 / 2 + 0 + 0) / 4
+    monkeypatch.setattr(evaluate, "BROADCAST_ROWS", 1)
+    assert {r.query_id: r for r in evaluate.per_query(run, qrels, (5, 100)).collect()} == m and evaluate.mrr(run, qrels).first().mrr == mrr
