@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from heronlake.functions.text import index_tokens, is_token, token_parts
+from heronlake.operators import counting, varbyte
+
+POSTING = ("term", "doc_id", "tf", "data_length", "word_count")
 
 
 @dataclass(frozen=True)
@@ -49,19 +53,17 @@ def _table(path: str) -> str:
 
 
 def create(docs: DataFrame, path: str, shards: int | None = None) -> Index:
-    """Build a saved index; each text is moved to its shard and tokenised there, once, and all tables follow from the postings.
+    """Build a saved index; each text is moved to its shard and its tokens are counted there.
 
     Within a shard postings are sorted by term, so a query's terms prune row groups.
     """
     spark = docs.sparkSession
     n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = _table(path)
-    _with_lengths(_postings(docs, n)).write.format("parquet").bucketBy(n, "doc_id").sortBy("term", "doc_id").option("path", f"{path}/postings").saveAsTable(name)
+    _postings(docs, n).select(*POSTING).write.format("parquet").bucketBy(n, "doc_id").sortBy("term", "doc_id").option("path", f"{path}/postings").saveAsTable(name)
     written = spark.table(name)
     lexicon(written).sort("term").write.parquet(f"{path}/lexicon")
-    counts = written.groupBy("doc_id").agg(F.first("word_count").alias("word_count"))
-    stats = docs.select("doc_id", _length().alias("data_length")).join(counts, "doc_id", "left").fillna(0, ["word_count"])
-    stats.select("doc_id", "data_length", "word_count").write.parquet(f"{path}/doc_stats")
+    document_stats(docs).write.parquet(f"{path}/doc_stats")
     totals = Index(written, spark.read.parquet(f"{path}/doc_stats"), written).corpus()
     totals.withColumn("n_shards", F.lit(n)).coalesce(1).write.parquet(f"{path}/totals")
     return Index.load(spark, path)
@@ -76,17 +78,21 @@ def _length() -> Column:
     return F.coalesce(F.octet_length("text"), F.lit(0))
 
 
-def _postings(docs: DataFrame, shards: int | None = None) -> DataFrame:
-    """(doc_id, data_length, term, tf). Texts are dealt out by doc_id; tokens are counted where their text is, without a further shuffle."""
-    rows = docs.select("doc_id", _length().alias("data_length"), "text")
-    rows = rows.repartition(shards, "doc_id") if shards else rows.repartition("doc_id")
-    tokens = rows.select("doc_id", "data_length", F.explode(token_parts(F.col("text"))).alias("term")).filter(is_token(F.col("term")))
-    return tokens.groupBy("doc_id", "data_length", "term").agg(F.count("*").cast("int").alias("tf"))
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", _length().alias("data_length"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("data"))
 
 
-def _with_lengths(postings: DataFrame) -> DataFrame:
-    rows = postings.withColumn("word_count", F.expr("cast(count(*) over (partition by doc_id) as int)"))
-    return rows.select("term", "doc_id", "tf", "data_length", "word_count")
+def _counted(rows: DataFrame, count: Callable, *columns: str) -> DataFrame:
+    """rows of `_texts` through a function of `counting`, which adds `columns`."""
+    kinds = T.StructType([rows.schema["doc_id"], *[T.StructField(c, T.StringType() if c == "term" else T.IntegerType()) for c in ("data_length", *columns)]])
+    return rows.mapInArrow(count, kinds)
+
+
+def _postings(docs: DataFrame, shards: int | None = None) -> DataFrame:
+    """(doc_id, data_length, word_count, term, tf). Texts are dealt out by doc_id; tokens are counted where their text is, without a further shuffle."""
+    rows = _texts(docs)
+    rows = rows.repartition(shards, "doc_id") if shards else rows.repartition("doc_id")
+    return _counted(rows.sortWithinPartitions("doc_id"), counting.postings, "word_count", "term", "tf")
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -94,8 +100,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def document_stats(docs: DataFrame) -> DataFrame:
-    rows = docs.select("doc_id", _length().alias("data_length"), "text").repartition("doc_id")
-    return rows.select("doc_id", "data_length", F.size(F.array_distinct(index_tokens(F.col("text")))).alias("word_count"))
+    return _counted(_texts(docs), counting.lengths, "word_count")
 
 
 def lexicon(postings: DataFrame) -> DataFrame:
@@ -104,7 +109,7 @@ def lexicon(postings: DataFrame) -> DataFrame:
 
 def build(docs: DataFrame) -> Index:
     """An index that is computed when it is read; `create` writes one that is searched again and again."""
-    postings = _with_lengths(_postings(docs))
+    postings = _postings(docs).select(*POSTING)
     return Index(postings, document_stats(docs), lexicon(postings))
 
 
@@ -150,13 +155,14 @@ def chunked(postings: DataFrame) -> DataFrame:
     Numbers come from counts per range of doc_ids and places within one, so a frequent term's list is dealt out.
     """
     rows = postings.select("term", "doc_id", "tf", F.floor(F.col("doc_id") / RANGE).alias("range"))
-    counts = rows.groupBy("term", "range").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("term", "range").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
     ahead = F.expr("coalesce(sum(n) over (partition by term order by range rows between unbounded preceding and 1 preceding), 0)")
-    counts = counts.select("term", "range", ahead.alias("ahead"))
-    nth = F.expr("row_number() over (partition by term, range order by doc_id)")
-    rows = rows.withColumn("nth", nth).join(counts, ["term", "range"]).withColumn("chunk", ((F.col("ahead") + F.col("nth") - 1) / CHUNK).cast("int"))
-    gap = F.expr("doc_id - coalesce(lag(doc_id) over (partition by term, chunk order by doc_id), 0)")
-    return rows.select("term", "doc_id", "tf", "chunk").withColumn("delta", gap)
+    counts = counts.select("term", "range", ahead.alias("ahead"), F.expr("lag(last) over (partition by term order by range)").alias("last"))
+    within = "over (partition by term, range order by doc_id)"  # one sort serves both
+    rows = rows.withColumn("nth", F.expr(f"row_number() {within}")).withColumn("previous", F.expr(f"lag(doc_id) {within}")).join(counts, ["term", "range"])
+    place = F.col("ahead") + F.col("nth") - 1
+    gap = F.col("doc_id") - F.when(place % CHUNK == 0, 0).otherwise(F.coalesce("previous", "last"))
+    return rows.select("term", "doc_id", "tf", (place / CHUNK).cast("int").alias("chunk"), gap.alias("delta"))
 
 
 def restored(chunks: DataFrame) -> DataFrame:
@@ -174,27 +180,12 @@ def varbyte_length(value):
 
 def varbyte_encode(values: Column) -> Column:
     """Bytes (as integers) of an array of numbers from 0: groups of 7 bits, low ones first, marked by the high bit where more follow."""
-
-    def one(value: Column) -> Column:
-        places = F.sequence(F.lit(0), varbyte_length(value) - 1)
-        more = lambda i: F.when(i < varbyte_length(value) - 1, 128).otherwise(0)
-        return F.transform(places, lambda i: F.call_function("shiftright", value.cast("long"), 7 * i).bitwiseAND(127).cast("int") + more(i))
-
-    return F.flatten(F.transform(values, one))
+    return F.arrow_udf(varbyte.encode, "array<int>")(values.cast("array<long>"))
 
 
 def varbyte_decode(coded: Column) -> Column:
     """The array of numbers (long) that `varbyte_encode` made into bytes."""
-    start = F.expr("named_struct('found', array_repeat(0L, 0), 'value', 0L, 'scale', 1L)")
-
-    def step(at: Column, byte: Column) -> Column:
-        value, more = at["value"] + at["scale"] * (byte % 128), byte >= 128
-        return F.struct(
-            F.when(more, at["found"]).otherwise(F.concat(at["found"], F.array(value))).alias("found"),
-            F.when(more, value).otherwise(F.lit(0).cast("long")).alias("value"), F.when(more, at["scale"] * 128).otherwise(F.lit(1).cast("long")).alias("scale"),
-        )
-
-    return F.aggregate(coded, start, step)["found"]
+    return F.arrow_udf(varbyte.decode, "array<long>")(coded)
 
 
 def chunk_metadata(postings: DataFrame) -> DataFrame:

@@ -411,3 +411,38 @@ def test_judgements_are_counted_and_not_sorted(spark, monkeypatch):
     assert mrr == 0.375  # (1 + 1 / 2 + 0 + 0) / 4
     monkeypatch.setattr(evaluate, "BROADCAST_ROWS", 1)
     assert {r.query_id: r for r in evaluate.per_query(run, qrels, (5, 100)).collect()} == m and evaluate.mrr(run, qrels).first().mrr == mrr
+
+
+def test_numbers_as_bytes(spark):
+    rows = [(0, [0, 127, 128, 300]), (1, []), (2, None), (3, [5, None]), (4, [(1 << 63) - 1, 1 << 56, 16383, 16384]), (5, [7])]
+    coded = spark.createDataFrame(rows, "i int, v array<long>").select("i", "v", index.varbyte_encode(F.col("v")).alias("b"))
+    found = {r.i: r for r in coded.select("*", index.varbyte_decode(F.col("b")).alias("w"), F.size("b").alias("n")).collect()}
+    assert found[0].b == [0, 127, 128, 1, 172, 2] and found[1].b == [] and found[2].b is None and found[3].b is None
+    assert all(found[i].w == found[i].v for i in (0, 1, 2, 4, 5)) and found[4].n == 9 + 9 + 2 + 3
+    cut = spark.createDataFrame([(0, [129]), (1, [1, 200]), (2, [3])], "i int, b array<int>").select("i", index.varbyte_decode(F.col("b")).alias("w"))
+    assert {r.i: r.w for r in cut.collect()} == {0: [], 1: [1], 2: [3]}
+    plan = found and coded._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambdafunction" not in plan  # no interpreted steps per byte
+
+
+def test_chunks_take_one_sort_of_the_postings(spark, monkeypatch):
+    rows = spark.range(500).selectExpr("if(id % 3 = 0, 's', 't') as term", "id * 7 as doc_id", "1 as tf")
+    found = index.chunked(rows)
+    whole = sorted(found.collect())
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("order by") == 0 and "chunk" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window" in x)
+    monkeypatch.setattr(index, "RANGE", 90)
+    assert sorted(index.chunked(rows).collect()) == whole and index.order_violations(rows).isEmpty()
+
+
+def test_tokens_are_counted_by_bytes_as_by_columns(spark):
+    odd = "".join(map(chr, range(1, 0x250))) + " \u2028x\u00a0y A_b-C 0z \x7fq \x01r 你好a été \ufb01n"
+    texts = [odd, " ".join(odd), "Ab ab AB", "", None, "...", "a" * 5000, "x\u0101y X\u0101Y"] + [f"w{i} " * 3 for i in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = docs.select("doc_id", F.explode(T.index_tokens(F.col("text"))).alias("term")).groupBy("term", "doc_id").agg(F.count("*").cast("int").alias("tf"))
+    found = index.term_frequencies(docs)
+    assert sorted(found.collect()) == sorted(want.collect()) and "MapInArrow" in found._jdf.queryExecution().toString()
+    stats = {r.doc_id: (r.data_length, r.word_count) for r in index.document_stats(docs).collect()}
+    words = {r.doc_id: r.n for r in want.groupBy("doc_id").agg(F.count("*").alias("n")).collect()}
+    assert stats == {i: (len((t or "").encode()), words.get(i, 0)) for i, t in enumerate(texts)}
+    twice = spark.createDataFrame([(1, "b a"), (2, "c"), (1, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, index.term_frequencies(twice).collect())) == [("a", 1, 2), ("b", 1, 1), ("c", 2, 1)]
