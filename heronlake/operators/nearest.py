@@ -45,7 +45,7 @@ def hashes(vectors: np.ndarray, normals: np.ndarray) -> np.ndarray:
     return ((sums > 0).reshape(-1, tables, bits) << np.arange(bits)).sum(axis=2).astype(np.int32)
 
 
-def _heads(query: np.ndarray, order: list[np.ndarray], k: int) -> np.ndarray:
+def heads(query: np.ndarray, order: list[np.ndarray], k: int) -> np.ndarray:
     """Indices of each query's first k pairs in `order` (least important key first), queries ascending."""
     at = np.lexsort([*order, query])
     q = query[at]
@@ -119,7 +119,7 @@ class Search:
             qi, ci = qi[ok], ci[ok]
         qi = qi + at
         score = self._exact(qi, ci, c_by_dim)
-        best = _heads(qi, [ci, -rounded(score)], k)
+        best = heads(qi, [ci, -rounded(score)], k)
         return qi[best], ci[best], score[best]
 
     def best(self, chunks: Iterable[tuple[pa.Array, np.ndarray, np.ndarray | None]], ids_type: pa.DataType) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -138,7 +138,7 @@ class Search:
             query, score = np.r_[query, qi], np.r_[score, s]
             ids = pa.concat_arrays([ids, own.take(pa.array(ci))])
             places = np.asarray(pc.rank(ids, sort_keys="ascending", null_placement="at_start", tiebreaker="dense"))
-            kept = _heads(query, [places, -rounded(score)], self.k)
+            kept = heads(query, [places, -rounded(score)], self.k)
             query, score, ids = query[kept], score[kept], ids.take(pa.array(kept))
         return query, ids, score
 

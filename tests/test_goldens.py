@@ -446,3 +446,20 @@ def test_tokens_are_counted_by_bytes_as_by_columns(spark):
     assert stats == {i: (len((t or "").encode()), words.get(i, 0)) for i, t in enumerate(texts)}
     twice = spark.createDataFrame([(1, "b a"), (2, "c"), (1, "a")], "doc_id long, text string")
     assert sorted(map(tuple, index.term_frequencies(twice).collect())) == [("a", 1, 2), ("b", 1, 1), ("c", 2, 1)]
+
+
+def test_weights_are_added_up_in_blocks(spark, monkeypatch):
+    from heronlake.operators import adding
+
+    texts = [" ".join(f"w{(i * j) % 13}" for j in range(1, 2 + i % 9)) for i in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asks = spark.createDataFrame([(q, f"w{q % 13} w{q * 5 % 13} w1 w1") for q in range(30)] + [(40, "none"), (41, "")], "query_id long, text string")
+    built = index.build(docs)
+    monkeypatch.setattr(adding, "CELLS", 200)
+    for mode in ("or", "and"):
+        found = bm25.search(asks, built, mode, 7)
+        want = bm25.top_k(bm25.score(asks, built, mode), 7)
+        assert sorted(found.collect()) == sorted(want.select(found.columns).collect()) and found.count() > 0
+    assert "MapInArrow run" in found._jdf.queryExecution().toString()
+    monkeypatch.setattr(bm25, "PUSHED_TERMS", 1)  # more terms than may go with the function
+    assert sorted(bm25.search(asks, built, "and", 7).collect()) == sorted(found.collect())
